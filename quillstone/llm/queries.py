@@ -15,6 +15,18 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_license_scan(spark: SparkSession, sf: str) -> DataFrame:
+    from .license_scan import license_scan
+
+    return license_scan(table(spark, sf, "documents"))
+
+
+def op5_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
+    from .secret_scan import secret_scan
+
+    return secret_scan(table(spark, sf, "documents"))
+
+
 def op6_token_files(spark: SparkSession, sf: str) -> DataFrame:
     from .token_files import token_files
 
@@ -34,6 +46,8 @@ def op10_html_main_text(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_license_scan": op1_license_scan,
+    "op5_secret_scan": op5_secret_scan,
     "op6_token_files": op6_token_files,
     "op9_media_shards": op9_media_shards,
     "op10_html_main_text": op10_html_main_text,
