@@ -33,6 +33,12 @@ def op6_token_files(spark: SparkSession, sf: str) -> DataFrame:
     return token_files(table(spark, sf, "documents"), tokenizer_path("byte_bpe_50k.json"), end_id=2)
 
 
+def op7_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    from .decontamination import decontaminate
+
+    return decontaminate(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 def op9_media_shards(spark: SparkSession, sf: str) -> DataFrame:
     from .media_shards import media_columns
 
@@ -49,6 +55,7 @@ QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op5_secret_scan": op5_secret_scan,
     "op6_token_files": op6_token_files,
+    "op7_decontamination": op7_decontamination,
     "op9_media_shards": op9_media_shards,
     "op10_html_main_text": op10_html_main_text,
 }
