@@ -39,6 +39,12 @@ def op7_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     return decontaminate(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
+def op8_quality_knn(spark: SparkSession, sf: str) -> DataFrame:
+    from .quality_knn import classify_quality
+
+    return classify_quality(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 def op9_media_shards(spark: SparkSession, sf: str) -> DataFrame:
     from .media_shards import media_columns
 
@@ -56,6 +62,7 @@ QUERIES = {
     "op5_secret_scan": op5_secret_scan,
     "op6_token_files": op6_token_files,
     "op7_decontamination": op7_decontamination,
+    "op8_quality_knn": op8_quality_knn,
     "op9_media_shards": op9_media_shards,
     "op10_html_main_text": op10_html_main_text,
 }
