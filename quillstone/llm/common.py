@@ -68,7 +68,10 @@ def put_file(uri: str, parts) -> None:
 
 
 def batches(spark: SparkSession) -> None:
-    """Bound the rows of an Arrow batch in this session."""
+    """Bound the rows of an Arrow batch in this session; Python workers look for this package where the driver has it."""
+    home, known = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))), spark.sparkContext.environment
+    if home not in known.get("PYTHONPATH", "").split(os.pathsep):
+        known["PYTHONPATH"] = os.pathsep.join(x for x in (home, known.get("PYTHONPATH", "")) if x)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 

@@ -21,6 +21,12 @@ def op1_license_scan(spark: SparkSession, sf: str) -> DataFrame:
     return license_scan(table(spark, sf, "documents"))
 
 
+def op4_packing(spark: SparkSession, sf: str) -> DataFrame:
+    from .packing import pack
+
+    return pack(table(spark, sf, "documents"), tokenizer_path("word_bpe_49k.json"), end_id=1)
+
+
 def op5_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
     from .secret_scan import secret_scan
 
@@ -59,6 +65,7 @@ def op10_html_main_text(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     "op1_license_scan": op1_license_scan,
+    "op4_packing": op4_packing,
     "op5_secret_scan": op5_secret_scan,
     "op6_token_files": op6_token_files,
     "op7_decontamination": op7_decontamination,
