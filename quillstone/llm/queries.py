@@ -21,6 +21,12 @@ def op1_license_scan(spark: SparkSession, sf: str) -> DataFrame:
     return license_scan(table(spark, sf, "documents"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    from .substring_dedup import substring_dedup
+
+    return substring_dedup(table(spark, sf, "documents"), with_text=False)
+
+
 def op4_packing(spark: SparkSession, sf: str) -> DataFrame:
     from .packing import pack
 
@@ -65,6 +71,7 @@ def op10_html_main_text(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     "op1_license_scan": op1_license_scan,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_packing": op4_packing,
     "op5_secret_scan": op5_secret_scan,
     "op6_token_files": op6_token_files,
