@@ -136,3 +136,11 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_co
         F.col("id").alias(id_col), "n_words", n_hit.alias("n_hit"), F.size(items_found).cast("long").alias("n_items"),
         F.sha2(F.array_join(items_found, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
     )
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of docs without any window of an item; same columns."""
+    _, found = phrase_matches(docs, items, window, id_col, text_col, item_col, item_text_col)
+    hit = bounded(materialize(found.select(F.col("id").alias("__id"), F.col("key").alias("__hit")).distinct(), "contaminated"))
+    rows = docs.withColumn("__key", text_key(id_col, text_col))
+    return rows.join(hit, (F.col("__key") == F.col("__hit")) & F.col(id_col).eqNullSafe(F.col("__id")), "left_anti").select(*docs.columns)

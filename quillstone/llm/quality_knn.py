@@ -120,8 +120,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     return Model(np.stack([np.frombuffer(x, dtype=np.float32) for x in rows["terms"]]), rows["label"].to_numpy())
 
 
-def quality_scores(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
-    """The rows and columns of docs and a score column. Map-only."""
+def quality_scores(docs: DataFrame, model: Model | None, text_col: str = "text", out: str = "score") -> DataFrame:
+    """The rows and columns of docs and a score column named out. Map-only."""
     batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MAX_LABELLED vectors
 
@@ -133,7 +133,13 @@ def quality_scores(docs: DataFrame, model: Model | None, text_col: str = "text")
             return pd.Series(np.where(full, 0.5, 0.0))
         return pd.Series(np.where(full, held.score(text_terms(values)), 0.0))
 
-    return docs.withColumn("score", F.pandas_udf(score, "double")(F.coalesce(F.col(text_col), F.lit(""))))
+    return docs.withColumn(out, F.pandas_udf(score, "double")(F.coalesce(F.col(text_col), F.lit(""))))
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that score at least the threshold; same columns."""
+    scored = quality_scores(docs, fit(docs, labels, id_col, text_col, label_col), text_col, "__quality")
+    return scored.filter(F.col("__quality") >= threshold).select(*docs.columns)
 
 
 def classify_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = THRESHOLD) -> DataFrame:

@@ -21,6 +21,12 @@ def op1_license_scan(spark: SparkSession, sf: str) -> DataFrame:
     return license_scan(table(spark, sf, "documents"))
 
 
+def op2_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    from .near_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf, "documents"))
+
+
 def op3_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     from .substring_dedup import substring_dedup
 
@@ -69,8 +75,16 @@ def op10_html_main_text(spark: SparkSession, sf: str) -> DataFrame:
     return html_main_text(table(spark, sf, "pages"))
 
 
+def pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf)
+
+
 QUERIES = {
+    "pipeline": pipeline,
     "op1_license_scan": op1_license_scan,
+    "op2_near_dedup": op2_near_dedup,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_packing": op4_packing,
     "op5_secret_scan": op5_secret_scan,
