@@ -77,8 +77,9 @@ def next_links(rows: DataFrame, group: list[str], order: str, key: str) -> DataF
 def next_chain(rows: DataFrame, group: list[str], order: str, key: str, most: int = 4) -> DataFrame:
     """src, dst, steps: what follows within so many links."""
     w = W.partitionBy(*group).orderBy(order)
-    ahead = F.array(*(F.struct(F.lit(k).alias("steps"), F.lead(key, k).over(w).alias("dst")) for k in range(1, most + 1)))
-    return rows.select(*group, F.col(key).alias("src"), F.inline(ahead)).filter(F.col("dst").isNotNull())
+    led = rows.select(*group, F.col(key).alias("src"), *(F.lead(key, k).over(w).alias(f"__{k}") for k in range(1, most + 1)))
+    ahead = F.array_compact(F.array(*(F.when(F.col(f"__{k}").isNotNull(), F.struct(F.lit(k).alias("steps"), F.col(f"__{k}").alias("dst"))) for k in range(1, most + 1))))
+    return led.select(*group, "src", F.inline(ahead))
 
 
 def tree_integrity(nodes: DataFrame, group: str, key: str, parent: str, order: str) -> DataFrame:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import retrieval
+from . import documents, retrieval
 
-_PARTS = (retrieval,)
+_PARTS = (retrieval, documents)
 QUERIES: dict = {name: q for part in _PARTS for name, q in part.QUERIES.items()}
 ORACLES: dict = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}
