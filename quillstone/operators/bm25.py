@@ -40,9 +40,10 @@ def term_frequencies(rows: DataFrame, key: str, tokens: Column) -> DataFrame:
 def build_index(chunks: DataFrame, key: str, tokens: Column) -> Index:
     """The index of all chunks."""
     postings = term_frequencies(chunks, key, tokens)
-    sizes = chunks.select(F.col(key), F.size(tokens).alias("length"))
-    totals = sizes.agg(F.count("*").alias("n_chunks"), F.avg("length").alias("avg_length"))
-    counted = postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).crossJoin(F.broadcast(totals.select("n_chunks")))  # one row
+    counted = postings.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    # the mean length from the terms' counts: texts are cut into tokens once
+    totals = counted.agg(F.coalesce(F.sum("cf"), F.lit(0)).alias("cf")).crossJoin(chunks.agg(F.count("*").alias("n_chunks"))).select("n_chunks", (F.col("cf") / F.col("n_chunks")).alias("avg_length"))  # one row each
+    counted = counted.crossJoin(F.broadcast(totals.select("n_chunks")))  # one row
     raw = F.log(F.col("n_chunks") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     counted = counted.withColumn("raw", raw)
     mean = counted.agg(F.avg("raw").alias("mean"))

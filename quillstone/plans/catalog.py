@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import documents, retrieval
+from . import documents, graphs, policy, retrieval
 
-_PARTS = (retrieval, documents)
+_PARTS = (retrieval, documents, graphs, policy)
 QUERIES: dict = {name: q for part in _PARTS for name, q in part.QUERIES.items()}
 ORACLES: dict = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}

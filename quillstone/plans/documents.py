@@ -10,7 +10,14 @@ from pyspark.sql import functions as F
 from ..functions import ids
 from ..functions import text as T
 from ..operators import chunking, graph, hierarchy, html, rerank, validation
-from ..sources.tables import table
+from ..sources.tables import spread
+from ..sources.tables import table as _table
+
+def table(spark, sf, name):
+    """A table; long texts of one small file are dealt over all cores."""
+    df = _table(spark, sf, name)
+    return spread(df) if name in ("documents", "pages") else df
+
 
 
 def lines_of(spark, sf) -> DataFrame:

@@ -7,12 +7,19 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import bm25, dense, fusion, metrics, rerank
-from ..sources.tables import table
+from ..sources.tables import spread
+from ..sources.tables import table as _table
 from . import search
 
 K = 10
 
 
+def table(spark, sf, name):
+    """A table; long texts of one small file are dealt over all cores."""
+    df = _table(spark, sf, name)
+    return spread(df) if name in ("documents", "pages") else df
+
+
 def _corpus(spark: SparkSession, sf: str) -> search.Corpus:
     vectors = table(spark, sf, "embeddings")
     items = table(spark, sf, "benchmark")
