@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 #: Rows of an Arrow batch: with texts of some KB each, a batch stays at a few MB.
 BATCH_ROWS = 1000
 #: Bytes of text that the numpy word hashing takes at a time; a longer text goes alone.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 _OWN: dict[str, str] = {}
 
@@ -40,7 +40,19 @@ def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write a table into the shared folder and read it again: cuts lineage and survives lost executors."""
     spark, path = df.sparkSession, scratch(df.sparkSession, name)
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.__dict__["written"] = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove written intermediates on which nothing depends any more, and let Spark drop shuffle files that nothing refers to."""
+    for df in tables:
+        spark, path = df.sparkSession, df.__dict__.get("written")
+        if path:
+            drop_path(spark, path)
+    if tables:
+        spark._jvm.System.gc()  # the context cleaner acts on collected references
 
 
 def drop_path(spark: SparkSession, path: str) -> None:

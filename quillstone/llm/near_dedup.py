@@ -9,9 +9,9 @@ weighted Jaccard sketch: two texts agree in a component with the probability of
 
 Texts of equal words are one class before anything is paired. Bands of the signature give buckets. In each bucket every
 member is compared with one leader, the member that shares most buckets with others, so that a group of n copies gives about n
-pairs; connected components follow. Buckets that still hold several components are then searched whole, but only for pairs
-that the triangle inequality of the distance to their leader allows and that share a second bucket. Every pair is verified by
-the exact overlap of its multisets. Pairs go to their leader's task in salted parts.
+pairs; connected components follow. Members of buckets that still hold several components then meet in an exact prefix join
+(rarest tokens first), which leaves only pairs that can reach the threshold. Every pair is verified by the exact overlap of its
+multisets. Pairs go to their leader's task in salted parts.
 
 Null and empty texts are classes of their own. Rows of one id share its class; a null id becomes a negative number from its
 text. Repeated rows give one result each. Extra columns are not read.
@@ -24,6 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import WORD_TABLE, Hasher, batches, chunks, materialize, mix
@@ -34,6 +35,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 5
 #: Pairs of one leader that a task takes at once.
 LEADER_PAIRS = 2000
+#: Points that are drawn at once beyond the first of each process: bounds a task's memory.
+POINTS = 200_000
 _WORDS, _SHINGLES, _TEXT = Hasher(21), Hasher(22), Hasher(23)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -87,10 +90,11 @@ def signatures(sets: list[tuple[np.ndarray, np.ndarray]], size: int = BANDS * RO
         np.minimum.at(point, at, t)
         won = point[at] == t
         ids[at[won]] = name[won]
-        r, block = r + block, min(64, block * 2) if r else 1
+        r = r + block
         time = times[:, -1]
         go = time < point.reshape(len(sets), size).max(axis=1)[doc]
         seed, doc, weight, left, width, time = seed[go], doc[go], weight[go], left[go], width[go], time[go]
+        block = max(1, min(64, POINTS // max(1, len(seed))))  # few processes left: several points of each at once
     return ids.reshape(len(sets), size)
 
 
@@ -173,6 +177,49 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
     return rows.dropDuplicates(["__kept"]).select(*docs.columns)
 
 
+def _tokens(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Each text's multiset as distinct tokens: a shingle's repeats are tokens of their own."""
+    for pdf in rows:
+        nodes = pdf["node"].to_numpy()
+        for first, sets, _, _ in shingle_sets(list(pdf["text"])):
+            for k, (h, c) in enumerate(sets):
+                again = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
+                tokens = mix(np.repeat(h, c) + again.astype(np.uint64) * _STEP)
+                yield pd.DataFrame({"node": nodes[first + k], "token": tokens.view(np.int64), "size": np.int32(len(tokens))})
+
+
+def prefix_pairs(rows: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """(leader, node) pairs of different components that may reach the threshold; rows: node, comp, leader, sim (to that leader).
+
+    Exact: with tokens in order of rarity, two multisets of that similarity share a token among their first
+    size - ceil(threshold * size) + 1, and at the first one shared the tokens that are left must suffice. A text that differs
+    by many rare tokens of its own has no such token and costs nothing. Distances to a common leader must differ by at most
+    1 - threshold. Components that are settled around their leaders are not joined with themselves.
+    """
+    tokens = texts.join(rows.select("node"), "node", "left_semi").mapInPandas(_tokens, "node long, token long, size int")
+    tokens = materialize(tokens, "tokens")
+    counts = tokens.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1")
+    rare = W.partitionBy("node").orderBy(F.coalesce("n", F.lit(1)), "token")
+    ranked = tokens.join(counts, "token", "left").withColumn("pos", F.row_number().over(rare))
+    prefix = ranked.filter((F.col("pos") <= F.col("size") - F.ceil(F.col("size") * threshold) + 1) & F.col("n").isNotNull())
+    home = rows.select(F.col("node").alias("leader"), F.col("comp").alias("home"))
+    known = rows.join(home, "leader", "left").withColumn("settled", F.coalesce(F.col("home") == F.col("comp"), F.lit(False)))
+    prefix = materialize(prefix.select("node", "token", "size", "pos").join(known.select("node", "comp", "leader", "sim", "settled"), "node"), "prefix")
+
+    def pairs(x: DataFrame, y: DataFrame, once):
+        y = y.withColumnsRenamed({c: f"{c}2" for c in y.columns if c != "token"})
+        enough = 1 + F.least(F.col("size") - F.col("pos"), F.col("size2") - F.col("pos2")) >= threshold / (1 + threshold) * (F.col("size") + F.col("size2")) - 1e-9
+        near = (F.col("leader") != F.col("leader2")) | (F.abs(F.col("sim") - F.col("sim2")) <= 1 - threshold + 1e-9)
+        sizes = F.least("size", "size2") >= threshold * F.greatest("size", "size2") - 1e-9
+        return x.join(y, "token").filter(once & (F.col("comp") != F.col("comp2")) & enough & near & sizes).select(F.col("node").alias("leader"), F.col("node2").alias("node"))
+
+    loose, settled = prefix.filter(~F.col("settled")), prefix.filter("settled")
+    several = settled.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("token")
+    settled = settled.join(several, "token", "left_semi")
+    found = pairs(loose, prefix, F.col("settled2") | (F.col("node") < F.col("node2"))).unionByName(pairs(settled, settled, F.col("node") < F.col("node2")))
+    return found.distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY) -> DataFrame:
     """Per row: id and class_id, the smallest id of its group; and n_links, the verified links that found the group's text."""
     batches(docs.sparkSession)
@@ -196,19 +243,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     linked = first.filter(F.col("sim") >= threshold)
     comps = components(linked.select(F.col("leader").alias("a"), F.col("node").alias("b")))
 
-    # buckets of several components: what the leader's distances allow
+    # buckets of several components: an exact join of their members
     sims = first.select("leader", "node", "sim")
     placed = led.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    placed = placed.join(sims, ["leader", "node"], "left").withColumn("sim", F.coalesce("sim", F.lit(1.0)))
     mixed = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("bucket")
-    open_rows = placed.join(mixed, "bucket").filter(F.col("node") != F.col("leader")).join(nodes.select("node", "bands"), "node")
-    x = materialize(open_rows.select("bucket", "node", "comp", "sim", "bands"), "open")
-    y = x.withColumnsRenamed({"node": "node2", "comp": "comp2", "sim": "sim2", "bands": "bands2"})
-    common = F.array_intersect("bands", "bands2")
-    may = x.join(y, "bucket").filter(
-        (F.col("node") < F.col("node2")) & (F.col("comp") != F.col("comp2")) & (F.abs(F.col("sim") - F.col("sim2")) <= 1 - threshold + 1e-9) & (F.size(common) >= 2) & (F.array_min(common) == F.col("bucket"))
-    )
-    more = verified(may.select(F.col("node").alias("leader"), F.col("node2").alias("node")).distinct(), own).filter(F.col("sim") >= threshold)
+    members = placed.join(mixed, "bucket").select("node", "comp", "leader").distinct().join(sims, ["leader", "node"], "left").withColumn("sim", F.coalesce("sim", F.lit(1.0)))
+    near = members.groupBy("node", "comp").agg(F.max_by(F.struct("leader", "sim"), F.struct("sim", "leader")).alias("near"))
+    unsettled = materialize(near.select("node", "comp", "near.leader", "near.sim"), "unsettled")
+    more = verified(prefix_pairs(unsettled, own, threshold), own).filter(F.col("sim") >= threshold)
     links = linked.unionByName(more).select(F.col("leader").alias("a"), F.col("node").alias("b"))
     if not more.isEmpty():
         comps = components(links)
