@@ -34,7 +34,8 @@ def term_frequencies(rows: DataFrame, key: str, tokens: Column) -> DataFrame:
     """key, term, tf, length."""
     listed = rows.select(F.col(key), tokens.alias("tokens"))
     exploded = listed.select(key, F.size("tokens").alias("length"), F.explode("tokens").alias("term"))
-    return exploded.groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+    # every use keeps the length, so that statistics and scores share one exchange of the postings
+    return exploded.groupBy(key, "term").agg(F.count("*").alias("tf"), F.max("length").alias("length")).filter("length > 0")
 
 
 def build_index(chunks: DataFrame, key: str, tokens: Column) -> Index:

@@ -23,7 +23,8 @@ def lexical_scores(pairs: DataFrame, corpus: DataFrame, key: str, question_text:
     n = corpus.agg(F.count("*").alias("__n"))
     df = corpus.select(F.explode(tokens).alias("__term")).groupBy("__term").agg(F.count("*").alias("__df"))
     rows = pairs.withColumn("__row", F.xxhash64(*pairs.columns)).withColumn("__q", F.array_distinct(tokenize_code(F.col(question_text))))
-    terms = rows.select("__row", F.array_distinct(tokenize_code(F.col(chunk_text))).alias("__t"), F.explode("__q").alias("__term"))
+    cut = rows.select("__row", "__q", F.array_distinct(tokenize_code(F.col(chunk_text))).alias("__t"))  # once per pair, before the explode
+    terms = cut.select("__row", "__t", F.explode("__q").alias("__term"))
     weight = F.log(1.0 + (F.col("__n") - F.coalesce("__df", F.lit(0)) + 0.5) / (F.coalesce("__df", F.lit(0)) + 0.5))
     weighed = terms.join(df, "__term", "left").crossJoin(F.broadcast(n)).withColumn("__w", weight)  # one row
     cover = weighed.groupBy("__row").agg((F.sum(F.when(F.array_contains("__t", F.col("__term")), F.col("__w")).otherwise(0.0)) / F.sum("__w")).alias("__cover"))
