@@ -36,7 +36,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Words of class and id values that mark boilerplate.
 MARKED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|sidebars?|side|rail|widgets?|footer|masthead|topbar|toolbar|cookies?|consent|gdpr|notices?|alerts?|popups?|modals?|overlay|newsletter|subscribe|signup|login|search|share|sharing|social|related|recommended|more-links|tags|pagination|pager|comments?|replies|reply|respond|disqus|discussion|copyright|legal|skip|hidden)(?:$|[\s_-])"
+    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|nav\w*|menu\w*|breadcrumbs?|sidebars?|side|rail|widgets?|footer|masthead|topbar|toolbar|cookies?|consent|gdpr|notices?|alerts?|popups?|modals?|overlay|newsletter|subscribe|signup|login|search|share|sharing|social|related|recommended|more-links|tags|pagination|pager|comments?|replies|reply|respond|disqus|discussion|copyright|legal|skip|hidden|complementary|contentinfo|dialog|disclaimer)(?:$|[\s_-])"
 )
 _RAW = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(script|style)\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
 _TAG = re.compile(r"<(?:(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)|[!?][^>]*)>")
@@ -53,7 +53,7 @@ def blocks(page: str) -> list[dict]:
     found: list[dict] = []
     stack: list[tuple[str, bool, bool]] = []  # name, boilerplate, article
     text: list[str] = []
-    links, heading, anchors = 0, False, 0
+    links, heading, anchors, mute = 0, False, 0, False  # mute: inside inline boilerplate, such as a button in a paragraph
 
     def close():
         nonlocal links, text
@@ -68,8 +68,9 @@ def blocks(page: str) -> list[dict]:
     for m in _TAG.finditer(page):
         if m.start() > at:
             piece = page[at : m.start()]
-            text.append(piece)
-            if anchors:
+            if not mute:
+                text.append(piece)
+            if anchors and not mute:
                 links += len(_SPACE.sub(" ", html.unescape(piece)).strip())
         at = m.end()
         name = (m[2] or "").lower()
@@ -87,6 +88,7 @@ def blocks(page: str) -> list[dict]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
                     del stack[k:]
+                    mute = any(x[1] and x[0] not in BLOCKS for x in stack)
                     break
             if name in HEADINGS:
                 heading = False
@@ -105,7 +107,8 @@ def blocks(page: str) -> list[dict]:
             bad = name in DROPPED or name == "header" and not inside or bool(named and name not in ("html", "body", "article", "main") and MARKED.search(named))
             if block or bad:
                 stack.append((name, bad, name in ("article", "main")))
-    if at < len(page):
+                mute = mute or bad and not block
+    if at < len(page) and not mute:
         text.append(re.sub(r"<[^<>]*\Z", "", page[at:]))
     close()
     return found

@@ -309,7 +309,7 @@ def test_quality_of_odd_rows(spark, odd):
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body>
 <header><div>Site header</div></header><nav><ul><li><a href="/a">Menu one</a></li></ul></nav><div class="cookie-notice">We use cookies.</div><!-- ad --><div class="ad">Buy &amp; save</div>
-<article><h1>The  title</h1><p><b>First part of it.<br><p>Second &eacute; paragraph with <a href="x">a link</a> in the middle of the text.</p><p>Short.</p><form><input><label>Mail</label></form>
+<article><h1>The  title</h1><p><b>First part of it.<br><p>Second &eacute; paragraph with <a href="x">a link</a> in the middle of the text.</p><p>Short.<span class="ad">Buy</span><button>Go</button></p><form><input><label>Mail</label></form>
 <aside class="sidebar">Side</aside><div id="comments"><p>I like this article very much, it is the best of all and I will come back.</p></div></article><footer>&copy; x</footer></body></html>"""
 
 
