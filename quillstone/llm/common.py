@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -52,6 +53,7 @@ def release(*tables: DataFrame) -> None:
         if path:
             drop_path(spark, path)
     if tables:
+        gc.collect()
         spark._jvm.System.gc()  # the context cleaner acts on collected references
 
 

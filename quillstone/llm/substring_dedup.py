@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_TABLE, Hasher, batches, chunks, materialize
+from .common import SPACE_TABLE, Hasher, batches, chunks, materialize, mix, release
 from .native_text import text_key
 
 WINDOW, K = 50, 8
@@ -52,7 +52,7 @@ def _occurrences(window: int, k: int):
     def find(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in rows:
             texts = list(pdf["text"])
-            ids, keys = pdf["id"].to_numpy(), pdf["key"].to_numpy()
+            ords, keys = pdf["ord"].to_numpy(), pdf["key"].to_numpy()
             for first, low, start, end, bound in chunks(texts, SPACE_TABLE):
                 words = _WORDS.words(low, start, end)
                 _, doc, place, kmers = _nodes(words, bound, window, k)
@@ -65,7 +65,9 @@ def _occurrences(window: int, k: int):
                 before, after = np.zeros(len(place), dtype=np.int64), np.zeros(len(place), dtype=np.int64)
                 before[1:][inner] = edge
                 after[:-1][inner] = edge
-                yield pd.DataFrame({"id": ids[first + doc], "key": keys[first + doc], "node": kmers[place].view(np.int64), "pos": (place - bound[doc]).astype(np.int32), "before": before, "after": after})
+                # both edges as one key; 0 at a document's first and last node
+                around = np.where((before != 0) & (after != 0), mix(before.view(np.uint64) * np.uint64(3) + mix(after.view(np.uint64))).view(np.int64), 0)
+                yield pd.DataFrame({"ord": ords[first + doc], "key": keys[first + doc], "node": kmers[place].view(np.int64), "pos": (place - bound[doc]).astype(np.int32), "around": around})
 
     return find
 
@@ -82,6 +84,8 @@ def _decide(window: int, k: int):
         for pdf in rows:
             out = []
             texts = list(pdf["text"])
+            keys, orders = pdf["key"].tolist(), pdf["ord"].tolist()
+            at_nodes, at_inside, at_least = pdf["pos"].tolist(), pdf["inside"].tolist(), pdf["least"].tolist()
             for first, low, start, end, bound in chunks(texts, SPACE_TABLE):
                 words = _WORDS.words(low, start, end)
                 starts, doc, place, _ = _nodes(words, bound, window, k)
@@ -96,13 +100,13 @@ def _decide(window: int, k: int):
                     inside = np.zeros(len(nodes), dtype=bool)
                     least = np.full(len(nodes), _LAST, dtype=np.int64)
                     repeated = np.zeros(len(nodes), dtype=bool)
-                    i = np.searchsorted(nodes, pdf["pos"].iloc[row])
-                    inside[i], least[i], repeated[i] = pdf["inside"].iloc[row], pdf["least"].iloc[row], True
+                    i = np.searchsorted(nodes, at_nodes[row])
+                    inside[i], least[i], repeated[i] = at_inside[row], at_least[row], True
                     steps = np.arange(len(nodes))
                     left = np.maximum.accumulate(np.where(inside, -1, steps))  # where the path that holds a node begins and ends
                     right = np.minimum.accumulate(np.where(inside, len(nodes), steps)[::-1])[::-1]
                     sure = inside[which] & (nodes[left[which]] <= s) & (s + window <= nodes[np.minimum(right[which], len(nodes) - 1)] + k)
-                    order = pdf["ord"].iloc[row]
+                    order = orders[row]
                     covered = np.zeros(bound[d + 1] - bound[d] + 1, dtype=np.int32)
                     hit = s[sure & (least[which] < order)]
                     np.add.at(covered, hit, 1)
@@ -113,10 +117,8 @@ def _decide(window: int, k: int):
                     if len(ask):
                         second = _SECOND.words(low, start, end) if second is None else second
                     h2 = _SECOND.spans(second, ask, ask + window).view(np.int64) if len(ask) else ask
-                    out.append((pdf["id"].iloc[row], pdf["key"].iloc[row], order, lo.tolist(), hi.tolist(), (ask - bound[d]).astype(np.int32).tolist(), h1.tolist(), h2.tolist()))
-            frame = pd.DataFrame(out, columns=["id", "key", "ord", "lo", "hi", "ask", "h1", "h2"])
-            frame["id"] = frame["id"].astype(pdf["id"].dtype)
-            yield frame
+                    out.append((order, keys[row], lo, hi, (ask - bound[d]).astype(np.int32), h1, h2))
+            yield pd.DataFrame(out, columns=["ord", "key", "lo", "hi", "ask", "h1", "h2"])
 
     return decide
 
@@ -142,34 +144,40 @@ def _cut(window: int):
     return cut
 
 
+def _decided(texts: DataFrame, window: int, k: int) -> tuple[DataFrame, DataFrame]:
+    """Per document with repeated nodes: word spans that are certainly covered, and the windows to compare; and the nodes table."""
+    found = materialize(texts.mapInPandas(_occurrences(window, k), "ord long, key long, node long, pos int, around long"), "nodes")
+    nodes = found.groupBy("node").agg(F.min("ord").alias("least"), F.max("ord").alias("most"), F.min("around").alias("a"), F.max("around").alias("b"))
+    nodes = nodes.filter("least < most").select("node", "least", ((F.col("a") == F.col("b")) & (F.col("a") != 0)).alias("inside"))
+    repeated = found.select("ord", "key", "node", "pos").join(nodes, "node")
+    places = repeated.groupBy("ord", "key").agg(F.array_sort(F.collect_set(F.struct("pos", "inside", "least"))).alias("at"))  # at most a document's words
+    once = texts.join(places, ["ord", "key"]).select("ord", "key", "text", "at.pos", "at.inside", "at.least")
+    out = materialize(once.mapInPandas(_decide(window, k), "ord long, key long, lo array<int>, hi array<int>, ask array<int>, h1 array<long>, h2 array<long>"), "decided")
+    return out, found
+
+
+def _spans(decided: DataFrame) -> DataFrame:
+    """Per document with covered words: certain spans and starts of covered windows."""
+    asked = decided.select("ord", "key", F.inline(F.arrays_zip("ask", "h1", "h2")))
+    first = asked.groupBy("h1", "h2").agg(F.min("ord").alias("least"))
+    verified = asked.join(first, ["h1", "h2"]).filter(F.col("least") < F.col("ord")).groupBy("ord", "key").agg(F.collect_set("ask").alias("starts"))
+    sure = decided.select("ord", "key", "lo", "hi").dropDuplicates(["ord", "key"])
+    spans = sure.join(verified, ["ord", "key"], "left").filter((F.size("lo") > 0) | F.col("starts").isNotNull())
+    return materialize(spans, "spans")
+
+
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, k: int = K, with_text: bool = True) -> DataFrame:
-    """Per text: id, n_words, n_removed, kept_sha256 and the kept words joined by one space."""
+    """Per text: id, n_words, n_removed, kept_sha256 and the kept words joined by one space.
+
+    Each step is written before the next begins and drops what it needed itself, so that shuffles do not pile up.
+    """
     batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
-    order = F.coalesce(F.col("id").cast("long"), F.lit(_LAST))
-    texts = docs.select(F.col(id_col).alias("id"), text_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
-
-    found = texts.mapInPandas(_occurrences(window, k), f"id {kind}, key long, node long, pos int, before long, after long")
-    found = materialize(found, "nodes")
-    one = lambda c: (F.min(c) == F.max(c)) & (F.min(F.abs(F.signum(c))) > 0)  # noqa: E731  one edge on that side, no document's end
-    nodes = found.groupBy("node").agg(F.min(order).alias("least"), F.max(order).alias("most"), (one("before") & one("after")).alias("inside"))
-    repeated = found.select("id", "key", "node", "pos").join(nodes.filter("least < most").drop("most"), "node")
-    places = repeated.groupBy("id", "key").agg(F.array_sort(F.collect_set(F.struct("pos", "inside", "least"))).alias("at"))  # at most a document's words
-    places = places.select(F.col("id").alias("__id"), F.col("key").alias("__key"), F.col("at.pos").alias("pos"), F.col("at.inside").alias("inside"), F.col("at.least").alias("least"))
-
-    same = lambda a, b: (a["key"] == b["__key"]) & a["id"].eqNullSafe(b["__id"])
-    once = texts.join(places, same(texts, places)).select("id", "key", order.alias("ord"), "text", "pos", "inside", "least")
-    decided = materialize(once.mapInPandas(_decide(window, k), f"id {kind}, key long, ord long, lo array<int>, hi array<int>, ask array<int>, h1 array<long>, h2 array<long>"), "decided")
-
-    asked = decided.select("id", "key", "ord", F.inline(F.arrays_zip("ask", "h1", "h2")))
-    first = asked.groupBy("h1", "h2").agg(F.min("ord").alias("least")).withColumnsRenamed({"h1": "g1", "h2": "g2"})
-    again = asked.join(first, (asked.h1 == first.g1) & (asked.h2 == first.g2)).filter(F.col("least") < F.col("ord"))
-    verified = again.groupBy("id", "key").agg(F.collect_set("ask").alias("starts")).withColumnsRenamed({"id": "__vid", "key": "__vkey"})
-    spans = decided.select("id", "key", "lo", "hi").dropDuplicates(["id", "key"])
-    spans = spans.join(verified, (F.col("key") == F.col("__vkey")) & F.col("id").eqNullSafe(F.col("__vid")), "left").filter((F.size("lo") > 0) | F.col("starts").isNotNull())
-    spans = materialize(spans.select(F.col("id").alias("__id"), F.col("key").alias("__key"), "lo", "hi", "starts"), "spans")
-
-    all_texts = texts.join(spans, same(texts, spans), "left").select("id", "text", "lo", "hi", "starts")
+    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST)).alias("ord"), text_key(id_col, text_col).alias("key"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    decided, nodes = _decided(texts.select("ord", "key", "text"), window, k)
+    release(nodes)
+    spans = _spans(decided)
+    release(decided)
+    all_texts = texts.join(spans, ["ord", "key"], "left").select("id", "text", "lo", "hi", "starts")
     out = all_texts.mapInPandas(_cut(window), f"id {kind}, n_words long, n_removed long, kept_sha256 string, kept string")
-    columns = [F.col("id").alias(id_col), "n_words", "n_removed", "kept_sha256"]
-    return out.select(*columns, *["kept"] * with_text)
+    return out.select(F.col("id").alias(id_col), "n_words", "n_removed", "kept_sha256", *["kept"] * with_text)
