@@ -22,11 +22,17 @@ from .native_text import text_key
 
 # Candidate patterns. name, pattern, group of the value, least length of the value, strings of which a text has one.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+#: A private key from its BEGIN line to the next END line, with no other dashed line between; where that is missing, to the end of the
+#: base64 lines that follow (also with line ends written as \\n). Java and RE2 read it alike: the SQL has the same pattern.
+PEM = (
+    r"(-----BEGIN [A-Z ]*PRIVATE KEY-----(?:[^-]*(?:-{1,4}[^-]+){0,64}-----END [A-Z ]*PRIVATE KEY-----"
+    r"|(?:[\s\\rn]*(?:Proc-Type|DEK-Info|Content-Domain|Version|Comment):[^\r\n\\]*){0,8}(?:\s*[A-Za-z0-9+/=\\]{40,})*(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/=]+\r?(?m:$))?))"
+)
 KINDS = [
     ("assign", ASSIGN, 2, 12, ("password", "passwd", "secret", "token", "apikey", "api_key")),
     ("access", r"(AKIA[A-Z0-9]+)", 1, 18, ("akia",)),
     ("hex", r"([0-9a-f]{16,})", 1, 16, ()),  # runs of 16 and more are found whole, as by [0-9a-f]+ with a length test
-    ("pem", r"(-----BEGIN [A-Z ]*PRIVATE KEY-----)", 1, 0, ("-----begin",)),
+    ("pem", PEM, 1, 0, ("-----begin",)),
     ("github", r"(gh[pousr]_[A-Za-z0-9]{20,})", 1, 0, ("ghp_", "gho_", "ghu_", "ghs_", "ghr_")),
     ("slack", r"(xox[abprs]-[A-Za-z0-9-]{10,})", 1, 0, ("xox",)),
     ("jwt", r"(eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})", 1, 0, ("eyj",)),
@@ -84,7 +90,7 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def reported() -> Column:
-    """Spans of the result: kept base ones, and added ones that look live; a private key's header always counts."""
+    """Spans of the result: kept base ones, and added ones that look live; a private key always counts."""
     pem = [k for k, x in enumerate(KINDS) if x[0] == "pem"][0]
     return F.col("kept") & (F.col("base") | F.col("live") | (F.col("kind") == pem))
 
