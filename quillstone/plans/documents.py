@@ -231,7 +231,7 @@ def seeded_sample(spark, sf):
 def variant_filter(spark, sf):
     t = table(spark, sf, "conversations")
     originals = t.filter("turn = 0").select("conv_id", "text")
-    variants = t.filter("turn > 0").select("conv_id", "turn", F.when(F.col("turn") % 3 == 0, F.lit("điều 99")).otherwise(F.substring("text", 1, 60)).alias("text"))
+    variants = t.filter("turn > 0").select("conv_id", "turn", F.when(F.col("turn") % 3 == 0, F.lit("điều 99")).otherwise(F.col("text")).alias("text"))
     first = originals.withColumnRenamed("text", "q")
     rows = variants.join(first, "conv_id").select("conv_id", "turn", F.when(F.col("turn") == 1, F.col("q")).otherwise(F.col("text")).alias("text"))
     return validation.accept_variants(rows, originals, "conv_id", "text", "turn", 2).select("conv_id", "turn", "status")
@@ -270,7 +270,7 @@ def fingerprint(spark, sf):
 
 
 def legal_refs(spark, sf):
-    text = F.concat(F.substring("text", 1, 200), F.lit(" theo Điều  "), (F.col("doc_id") % 20).cast("string"), F.lit("a, khoản "), (F.col("doc_id") % 4).cast("string"), F.lit(" và điều 3 điểm b."))
+    text = F.concat("text", F.lit(" theo Điều  "), (F.col("doc_id") % 20).cast("string"), F.lit("a, khoản "), (F.col("doc_id") % 4).cast("string"), F.lit(" và điều 3 điểm b."))
     return table(spark, sf, "documents").select("doc_id", F.array_join(T.legal_refs(text), ",").alias("refs"))
 
 

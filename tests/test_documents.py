@@ -116,3 +116,22 @@ def test_stream_counts(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted((r["n_denied"], r["n_events"]) for r in spark.sql("SELECT * FROM denied").collect()) == [(5, 10), (5, 10)]
+
+
+def test_whole_texts_are_searched_and_compared(spark, tmp_path):
+    import re
+
+    from quillstone.plans import documents
+
+    rows = [(1, "x" * 300 + " Điều 12b, khoản 7"), (2, "khoản  5 " + "y " * 5000 + "điểm đ"), (3, "Điều 1 " * 50)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    want = {}
+    for i, t in rows:
+        low = f"{t} theo Điều  {i % 20}a, khoản {i % 4} và điều 3 điểm b.".lower()
+        want[i] = ",".join(sorted({re.sub(r"\s+", " ", x) for x in re.findall(r"điều\s+\d+[a-zđ]?|khoản\s+\d+|điểm\s+[a-zđ]", low)}))
+    assert {r["doc_id"]: r["refs"] for r in documents.legal_refs(spark, str(tmp_path)).collect()} == want
+    same = "the same words in the first sixty characters of every variant, "
+    turns = [(1, 0, "what is asked"), (1, 1, "replaced"), (1, 2, same + "first"), (1, 4, same + "second"), (1, 5, same + "first"), (1, 7, "z" * 401)]
+    spark.createDataFrame(turns, "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r["turn"]: r["status"] for r in documents.variant_filter(spark, str(tmp_path)).collect()}
+    assert got == {1: "duplicate", 2: "accepted", 4: "accepted", 5: "duplicate", 7: "length"}
