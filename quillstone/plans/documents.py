@@ -107,12 +107,18 @@ def parent_build(spark, sf):
     return parents.select("source", "article_key", "window", F.size("child_ids").alias("n_children"), "char_count", "page_start", "page_end", "n_ambiguous")
 
 
+#: Conversations of a question, from so many on that ten questions hold more.
+_BLOCK = 50
+
+
 def _child_hits(spark, sf) -> DataFrame:
-    # rank of a turn among all turns of its question (a bucket of conversations), by length
-    rows = table(spark, sf, "conversations").select((F.col("conv_id") % 10).alias("question_id"), F.col("conv_id").alias("parent_id"), (F.col("conv_id") * 100 + F.col("turn")).alias("child_id"), F.length("text").alias("size"))
+    # rank of a turn among all turns of its question (a bucket of conversations), by length; ten questions, more as the table grows
+    t = table(spark, sf, "conversations")
+    n = t.agg(F.greatest(F.lit(10), F.ceil(F.count_distinct("conv_id") / _BLOCK)).alias("__n"))
+    rows = t.crossJoin(F.broadcast(n)).select((F.col("conv_id") % F.col("__n")).alias("question_id"), F.col("conv_id").alias("parent_id"), (F.col("conv_id") * 100 + F.col("turn")).alias("child_id"), F.length("text").alias("size"))  # one row
     from pyspark.sql import Window as W
 
-    return rows.withColumn("rank", F.row_number().over(W.partitionBy("question_id").orderBy(F.col("size").desc(), "child_id"))).filter("rank <= 40")
+    return rows.withColumn("rank", F.row_number().over(W.partitionBy("question_id").orderBy(F.col("size").desc(), "child_id")))
 
 
 def parent_score(spark, sf):

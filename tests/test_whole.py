@@ -13,7 +13,7 @@ from test_catalog import norm
 WHOLE = {
     "legal_refs": {"substr(text, 1, 200)": "text"},
     "variant_filter": {"substr(text, 1, 60)": "text"},
-}
+} | dict.fromkeys(("parent_score", "child_to_parent", "context_budget", "context_expansion"), {" WHERE rank <= 40": ""})
 
 
 @pytest.mark.parametrize("name", sorted(WHOLE))
@@ -30,3 +30,11 @@ def test_whole(spark, name):
     found = con.execute(sql)
     names = [d[0] for d in found.description]
     assert sorted(tuple(norm(r[c]) for c in columns) for r in df.collect()) == sorted(tuple(norm(r[names.index(c)]) for c in columns) for r in found.fetchall())
+
+
+def test_questions_grow_with_the_conversations(spark, tmp_path):
+    rows = [(c, t, "x" * (1 + (c * 7 + t) % 90)) for c in range(1200) for t in range(3)]
+    spark.createDataFrame(rows, "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = catalog.QUERIES["child_to_parent"](spark, str(tmp_path)).collect()
+    assert sorted(r["child_id"] for r in got) == [c * 100 + t for c, t, _ in rows]
+    assert {r["question_id"] for r in got} == set(range(24)) and all(r["question_id"] == r["parent_id"] % 24 for r in got)
