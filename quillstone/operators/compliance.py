@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import snippet, tokenize_code
-from .bm25 import best_match
+from .bm25 import best_match, search_code
 from .rbac import any_word
 
 # Document types, thresholds and words of the rules.
@@ -117,13 +117,22 @@ def examples_per_class(rows: DataFrame, column: str, order: str, n: int = 5) ->
     return rows.withColumn("example", F.row_number().over(w)).filter(F.col("example") <= n)
 
 
-def checklist(internal: DataFrame, external: DataFrame, domain: str, code: str, key: str, text: str, citation: str) -> DataFrame:
-    """Items of a domain: internal rows, then external ones, numbered, with question, risk level and source."""
-    rows = internal.withColumn("__side", F.lit(0)).unionByName(external.withColumn("__side", F.lit(1)), allowMissingColumns=True)
-    number = F.row_number().over(W.partitionBy("domain").orderBy("__side", key))
-    out = rows.withColumn("domain", F.lit(domain)).withColumn("__n", number)
+def domain_external(internal: DataFrame, external: DataFrame, key: str, text: str, most: int = 5) -> DataFrame:
+    """The external rows that answer the domain's own texts best by BM25 over all external rows, with their rank; scores above zero."""
+    asked = internal.select(F.lit(1).alias("__domain"), text)  # terms of all internal rows count as one question
+    found = search_code(external, asked, tokenize_code(F.col(text)), tokenize_code(F.col(text)), key, "__domain", most)
+    return external.join(F.broadcast(found.select(key, "rank")), key)  # at most that many rows
+
+
+def checklist(internal: DataFrame, external: DataFrame, domain: str, code: str, key: str, text: str, citation: str, most: int = 5) -> DataFrame:
+    """Items of a domain: internal rows, then the best external ones in their order, numbered, with question, risk level and source."""
     question = F.concat(F.lit("Does the unit comply with: \""), snippet(F.trim(F.col(text)), 220), F.lit('"?'))
-    return out.select(F.concat(F.lit(f"CHK_{code}_"), F.lpad(F.col("__n").cast("string"), 2, "0")).alias("item_id"), "domain", question.alias("audit_question"), risk_level(F.col(text)).alias("risk_level"), F.col(citation).alias("source_citation"), F.lit(REVIEW).alias("review_status"), F.lit("extractive_rule_based").alias("generation_method"))
+    said = lambda df, side, at: df.select(F.lit(side).alias("__side"), at.alias("__at"), F.col(key).alias("__key"), question.alias("audit_question"), risk_level(F.col(text)).alias("risk_level"), F.col(citation).alias("source_citation"))
+    # cut to what is shown before rows are numbered
+    rows = said(internal, 0, F.lit(0)).unionByName(said(domain_external(internal, external, key, text, most), 1, F.col("rank")))
+    out = rows.withColumn("domain", F.lit(domain)).withColumn("__n", F.row_number().over(W.partitionBy("domain").orderBy("__side", "__at", "__key")).cast("string"))
+    item = F.concat(F.lit(f"CHK_{code}_"), F.lpad(F.col("__n"), F.greatest(F.lit(2), F.length("__n")), F.lit("0")))
+    return out.select(item.alias("item_id"), "domain", "audit_question", "risk_level", "source_citation", F.lit(REVIEW).alias("review_status"), F.lit("extractive_rule_based").alias("generation_method"))
 
 
 def unknown_citations(items: DataFrame, valid: DataFrame, citation: str) -> DataFrame:

@@ -146,8 +146,9 @@ def risk_level(spark, sf):
 
 
 def checklist(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", "text", F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("citation"))
-    return compliance.checklist(d.filter("doc_id % 100 = 0"), d.filter("doc_id % 100 = 1"), "Cash", "KHO", "doc_id", "text", "citation").select("item_id", "risk_level", "source_citation", F.length("audit_question").alias("n_chars"))
+    d = table(spark, sf, "documents").select("doc_id", "text", F.concat(F.lit("c"), F.col("doc_id").cast("string")).alias("citation"), F.coalesce(F.col("source").rlike("[02468]$"), F.lit(False)).alias("own"))
+    # sources of even numbers stand for the unit's own texts, all others for external ones
+    return compliance.checklist(d.filter("own"), d.filter("NOT own"), "Cash", "KHO", "doc_id", "text", "citation").select("item_id", "risk_level", "source_citation", F.length("audit_question").alias("n_chars"))
 
 
 def unknown_citations(spark, sf):
