@@ -27,17 +27,19 @@ def vector_faults(c: Column, dimension: int) -> Column:
     )
 
 
-def cosine_top_k(vectors: DataFrame, questions: DataFrame, key: str, query_key: str, vector: str, k: int, digits: int = 6) -> DataFrame:
+def cosine_top_k(vectors: DataFrame, questions: DataFrame, key: str, query_key: str, vector: str, k: int, digits: int = 6, within: str | None = None) -> DataFrame:
     """query, key, similarity, distance, rank. Every question meets every vector in blocks of questions: a stated query set.
 
-    Each task keeps the best k of its own vectors (WindowGroupLimit) before anything is shuffled.
+    Each task keeps the best k of its own vectors (WindowGroupLimit) before anything is shuffled. With within, a column of the
+    vectors, the best k of each of its values are kept, with that column.
     """
     q = questions.select(F.col(query_key), l2_normalize(F.col(vector)).alias("__q"))
     blocks = q.withColumn("__block", F.floor((F.row_number().over(W.orderBy(query_key)) - 1) / QUERY_BLOCK)).groupBy("__block").agg(F.collect_list(F.struct(query_key, "__q")).alias("__questions"))
-    v = vectors.select(F.col(key), l2_normalize(F.col(vector)).alias("__v"))
-    met = v.join(F.broadcast(blocks)).select(key, "__v", F.inline("__questions"))  # rows: vectors times questions, made and cut inside a task
-    scored = met.select(query_key, key, F.round(dot(F.col("__q"), F.col("__v")), digits).alias("similarity"))
-    order = W.partitionBy(query_key).orderBy(F.col("similarity").desc(), F.col(key))
+    group = [within] if within else []
+    v = vectors.select(F.col(key), *group, l2_normalize(F.col(vector)).alias("__v"))
+    met = v.join(F.broadcast(blocks)).select(key, *group, "__v", F.inline("__questions"))  # rows: vectors times questions, made and cut inside a task
+    scored = met.select(query_key, key, *group, F.round(dot(F.col("__q"), F.col("__v")), digits).alias("similarity"))
+    order = W.partitionBy(query_key, *group).orderBy(F.col("similarity").desc(), F.col(key))
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).withColumn("distance", F.round(1 - F.col("similarity"), digits))
 
 
