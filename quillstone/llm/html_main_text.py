@@ -1,7 +1,9 @@
 """Main text of web pages by two-pass block rules.
 
-First pass: each block is good, bad or undecided from its markup, link density, length and stop-word density.
-Second pass: undecided short blocks take the label of the nearest decided neighbour.
+First pass: each block is good, bad or undecided from its markup, link density, length and stop-word density. <article> and <main>
+are a prior only: their blocks need less length and fewer stop words, unless the page's only sure text lies outside of them.
+Second pass: undecided blocks take the label of the nearest decided neighbour on their side (in or out of an article); without
+one, the prior's.
 Null and empty html give an empty text; unclosed tags, scripts and comments end with the page.
 Repeated rows give repeated results; extra columns are not read.
 """
@@ -114,8 +116,8 @@ def blocks(page: str) -> list[dict]:
     return found
 
 
-def decide(b: dict) -> bool | None:
-    """First pass: True good, False bad, None undecided."""
+def decide(b: dict, prior: bool) -> bool | None:
+    """First pass: True good, False bad, None undecided. prior: articles count as likely main text."""
     if b["bad"]:
         return False
     words = b["text"].lower().split()
@@ -124,8 +126,8 @@ def decide(b: dict) -> bool | None:
         return False
     if b["heading"] or len(b["text"]) < SHORT:
         return None
-    if b["article"]:
-        return True
+    if prior and b["article"]:
+        return True if stops >= STOPS_LOW else None
     if stops >= STOPS_HIGH:
         return True if len(b["text"]) > LONG else None
     return None if stops >= STOPS_LOW else False
@@ -136,19 +138,20 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     found = blocks(page)
-    if any(b["article"] and not b["bad"] for b in found):
-        found = [b for b in found if b["article"]]  # the page says where its article is
-    said = [decide(b) for b in found]
-    sure = [i for i, x in enumerate(said) if x is not None]
+    plain = {b["article"] for b in found if decide(b, False)}  # the sides with sure text by density alone
+    prior = plain != {False}
+    said = [decide(b, prior) for b in found]
+    sure = {side: [i for i, x in enumerate(said) if x is not None and found[i]["article"] == side] for side in (False, True)}
     final = list(said)
     for i, x in enumerate(said):
         if x is None:
-            before = max((j for j in sure if j < i), default=None)
-            after = min((j for j in sure if j > i), default=None)
+            side = sure[found[i]["article"]]
+            before = max((j for j in side if j < i), default=None)
+            after = min((j for j in side if j > i), default=None)
             # marked boilerplate says nothing about an article's own short blocks
             near = [j for j in (before, after) if j is not None and not (found[i]["article"] and found[j]["bad"])]
             if not near:
-                final[i] = found[i]["article"]
+                final[i] = prior and found[i]["article"]
             elif found[i]["heading"] and after in near:
                 final[i] = said[after]
             else:

@@ -347,6 +347,19 @@ def test_html(spark):
     assert html_main_text.html_main_text(rows.limit(0)).count() == 0
 
 
+def test_html_story_outside_of_articles():
+    story = ["The cat sat on the mat and it was happy with that. " * 8, "It is in the house of the king and he has not been to it.", "And the end of it was that he was on the mat as well. " * 6]
+    cards = "".join(f"<article class='card'><h3><a href='/{k}'>Card {k}</a></h3><p>This is a teaser of the story that is to be read on page {k} of it.</p></article>" for k in range(3))
+    told = "".join(f"<p>{x}</p>" for x in story)
+    want = "\n\n".join(x.strip() for x in story)
+    assert html_main_text.main_text(f"<div id='content'>{told}</div>{cards}<footer>x</footer>") == want
+    assert html_main_text.main_text(f"<article><p>{story[0]}</p></article><div id='more'><p>{story[2]}</p></div>") == f"{story[0].strip()}\n\n{story[2].strip()}"
+    assert html_main_text.main_text(f"<div>tagline</div><article><p>{story[0]}</p></article><div>tagline</div>") == story[0].strip()
+    # in an article too, words without stop words follow their neighbours
+    junk = "Zzxq qwrt plmk vbnh ytre " * 6
+    assert html_main_text.main_text(f"<article><p>{story[0]}</p><ul><li><a href='/'>a list of links to other pages of the site</a></li><li>{junk}</li><li><a href='/'>and one more of those links to the rest of it</a></li></ul></article>") == story[0].strip()
+
+
 def test_html_articles_of_pages(spark):
     """On the made pages the main text is the article's blocks."""
     import html
