@@ -360,6 +360,35 @@ def test_html_story_outside_of_articles():
     assert html_main_text.main_text(f"<article><p>{story[0]}</p><ul><li><a href='/'>a list of links to other pages of the site</a></li><li>{junk}</li><li><a href='/'>and one more of those links to the rest of it</a></li></ul></article>") == story[0].strip()
 
 
+STORY = "The cat sat on the mat and it was happy with that. " * 8
+
+
+@pytest.mark.parametrize("wrapper", ['class="page no-sidebar"', 'class="layout has-comments"', 'class="side-by-side"', 'class="legal"', 'id="search-results"', 'class="widget"', 'class="comments-off main"', 'class="nav sidebar"'])
+def test_html_wrappers_do_not_erase_the_article(wrapper):
+    article = f"<article><h1>Title of it</h1><p>{STORY}</p><p><a href='/x'>See the whole report here</a></p><p>Short end.</p></article>"
+    want = f"Title of it\n\n{STORY.strip()}\n\nSee the whole report here\n\nShort end."
+    comments = f"<div id='comments'><article class='comment'><p>{STORY * 3}</p></article></div>"
+    for inner in (article, f"<form action='/'><input><label>Mail</label>{article}</form>"):
+        assert html_main_text.main_text(f"<body><nav><a href=1>Menu</a></nav><div {wrapper}>{inner}</div>{comments}</body>") == want
+
+
+def test_html_of_broken_quotes():
+    page = "<article><p title=\"it's>Hello</p><p class=\"x\">World</p><p title=\"a > b\">Bye</p></article>"
+    assert html_main_text.main_text(page) == "Hello\n\nWorld\n\nBye"
+
+
+def test_html_time_is_linear():
+    import time
+
+    took = []
+    for n in (2000, 8000):
+        page = "<body>" + "".join(f"<div><p>{STORY if k % 7 == 0 else 'short one'}</p><li>x</i></li>" for k in range(n))
+        began = time.process_time()
+        html_main_text.main_text(page)
+        took.append(time.process_time() - began)
+    assert took[1] < 8 * took[0]
+
+
 def test_html_articles_of_pages(spark):
     """On the made pages the main text is the article's blocks."""
     import html
