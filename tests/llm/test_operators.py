@@ -260,17 +260,31 @@ def test_packing(spark, docs, odd):
     assert packing.pack(odd.limit(0), queries.tokenizer_path("word_bpe_49k.json")).count() == 0
 
 
-@pytest.mark.parametrize("n,mean", [(1, 300), (40, 900), (3000, 500), (2000, 2500)])
-def test_plans_hold_the_histogram(n, mean):
+@pytest.mark.parametrize("n,mean,times", [(1, 300, 1), (40, 900, 1), (3000, 500, 1), (2000, 2500, 1), (1000, 700, 50), (3000, 900, 1000)])
+def test_plans_hold_the_histogram(n, mean, times):
     sizes = np.clip(np.random.default_rng(n).lognormal(np.log(mean), 1, n).astype(int), 1, 4096)
-    counts = Counter(sizes.tolist())
+    counts = Counter({s: k * times for s, k in Counter(sizes.tolist()).items()})
     plan = packing.plan_sequences(dict(counts))
     held = Counter()
-    for content, repeats in plan:
+    for content, repeats in plan.content:
         assert sum(s * k for s, k in content) <= 4096
         for s, k in content:
             held[s] += k * repeats
-    assert held == counts and sum(r for _, r in plan) <= sum(r for _, r in packing.best_fit(dict(counts), 4096))
+    assert held == counts and plan.sequences == sum(plan.origin.values()) and plan.origin["full"] >= counts[4096]
+    best = sum(r for _, r in packing.best_fit(dict(counts), 4096))
+    assert plan.bound <= plan.sequences <= best
+    assert times < 1000 or plan.origin["program"] > 0
+
+
+def test_the_cover_is_feasible_and_near_its_bound():
+    sizes = np.clip(np.random.default_rng(7).lognormal(np.log(700), 1, 2000).astype(int), 1, 4095)
+    counts = {s: 50 * k for s, k in Counter(sizes.tolist()).items()}
+    cover, bound = packing.configurations(counts, 4096)
+    held = Counter()
+    for content, x in cover.items():
+        for s, k in content:
+            held[s] += k * x
+    assert all(held[s] >= n * (1 - 1e-6) for s, n in counts.items()) and bound <= sum(cover.values()) + 1e-6 and sum(cover.values()) < 1.1 * bound
 
 
 def test_token_files(spark, docs, odd, tmp_path):
