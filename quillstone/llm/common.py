@@ -111,27 +111,50 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: A prime: hashes are polynomials modulo it.
+PRIME = 2**61 - 1
+_P, _LOW, _29 = np.uint64(PRIME), np.uint64(2**32 - 1), np.uint64(2**29 - 1)
+_U29, _U32, _U61 = np.uint64(29), np.uint64(32), np.uint64(61)
+
+
+def _fold(x: np.ndarray) -> np.ndarray:
+    x = (x & _P) + (x >> _U61)
+    return np.where(x >= _P, x - _P, x)
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo PRIME, of values below it."""
+    ah, al, bh, bl = a >> _U32, a & _LOW, b >> _U32, b & _LOW
+    mid, low = ah * bl + al * bh, al * bl
+    return _fold((ah * bh << np.uint64(3)) + (mid >> _U29) + ((mid & _29) << _U32) + (low & _P) + (low >> _U61))
+
+
 class Hasher:
-    """Polynomial hashes modulo 2**64 of words and of runs of words; the multiplier is odd and so has an inverse."""
+    """Polynomial hashes modulo a 61-bit prime of words and of runs of words.
+
+    Two different runs of n values collide for at most n of the 2**61 multipliers, so that no fixed pair of texts is prone to.
+    """
 
     def __init__(self, seed: int):
         rng = np.random.default_rng(seed)
-        self.bytes = rng.integers(0, 2**64, 256, dtype=np.uint64)
-        self.p = int(rng.integers(0, 2**63)) * 2 + 1
-        self.inv = pow(self.p, -1, 2**64)
+        self.bytes = rng.integers(1, PRIME, 256, dtype=np.uint64)
+        self.p = int(rng.integers(2**32, PRIME))
+        self.inv = pow(self.p, -1, PRIME)
         self.up = self.down = np.ones(1, dtype=np.uint64)
 
     def powers(self, n: int) -> None:
-        if len(self.up) < n:
-            n = max(n, 2 * len(self.up))
-            self.up, self.down = (np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n - 1, p, dtype=np.uint64)])) for p in (self.p, self.inv))
+        while len(self.up) < n:
+            step = len(self.up)
+            self.up, self.down = (np.concatenate([x, times(x, np.uint64(pow(p, step, PRIME)))]) for x, p in ((self.up, self.p), (self.down, self.inv)))
 
     def spans(self, values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """The hash of values[start:end] for each pair, whatever its place."""
         self.powers(len(values) + 1)
-        total = np.zeros(len(values) + 1, dtype=np.uint64)
-        np.cumsum(values * self.up[: len(values)], out=total[1:])
-        return mix((total[end] - total[start]) * self.down[start] + (end - start).astype(np.uint64))
+        terms = times(values, self.up[: len(values)])
+        high, low = (np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(x)]) for x in (terms >> _U32, terms & _LOW))
+        high, low = _fold(high[end] - high[start]), _fold(low[end] - low[start])
+        total = _fold((high >> _U29) + ((high & _29) << _U32) + low)
+        return _fold(times(total, self.down[start]) + (end - start).astype(np.uint64))
 
     def words(self, buffer: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         return self.spans(self.bytes[buffer], start, end)

@@ -27,10 +27,11 @@ def small_rows(spark: SparkSession, rows: list[tuple], schema: list[tuple[str, s
     return spark.range(1).select(F.inline(made))
 
 
-#: A table is broadcast only up to so many rows; beyond it, Spark shuffles both sides (AQE splits hot keys).
-BROADCAST_ROWS = 200_000
+#: A table is broadcast only up to so many rows and bytes (as text); beyond, Spark shuffles both sides (AQE splits hot keys).
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
 
 
-def bounded(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast a table whose row count was checked; otherwise leave the join to Spark."""
-    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+def bounded(df: DataFrame, most: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast a table whose rows and bytes were counted; otherwise leave the join to Spark. The table should be written or small."""
+    held = df.limit(most + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(F.length(F.to_json(F.struct("*")))), F.lit(0)).alias("size")).first()
+    return F.broadcast(df) if held["n"] <= most and held["size"] <= most_bytes else df

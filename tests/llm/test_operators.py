@@ -177,6 +177,25 @@ def test_substring_dedup_on_mosaics(spark, seed):
     assert got == want
 
 
+def test_substring_dedup_is_not_misled_by_hashes(spark):
+    """Words of 1024 characters on which polynomials modulo a power of two collide, in the middle of every window."""
+    word = "a"
+    for _ in range(10):
+        word += word.translate(str.maketrans("ab", "ba"))
+    base = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(base[:30] + [w] + base[31:])) for i, w in enumerate((word, word.translate(str.maketrans("ab", "ba"))))]
+    df = spark.createDataFrame([*rows, (2, rows[0][1])], "doc_id long, text string")
+    assert {r["doc_id"]: r["n_removed"] for r in substring_dedup.substring_dedup(df).collect()} == {0: 0, 1: 0, 2: 60}
+    assert {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(df).collect()} == {0: 0, 1: 0 if classes(rows)[1] == 0 else 1, 2: 0}
+
+
+def test_paths_are_compacted_by_joins(spark):
+    """Chains become one path each, a ring none."""
+    edges = [(1, 0, 11, 0, 5), (2, 11, 12, 5, 6), (3, 12, 13, 6, 7), (4, 13, 0, 7, 0), (7, 21, 22, 3, 3), (8, 22, 21, 3, 3)]
+    nodes = spark.createDataFrame([(n, b, a, g, h, b != 0 and a != 0) for n, b, a, g, h in edges], "node long, before long, after long, gap int, ahead int, inside boolean")
+    assert sorted(map(tuple, substring_dedup.paths(nodes).collect())) == [(2, 2, 0), (3, 2, 6)]
+
+
 def classes(rows):
     sets = {}
     for i, t in rows:
