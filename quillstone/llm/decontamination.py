@@ -5,8 +5,9 @@ one window) takes the places of its rarest terms as anchors. The index stores th
 term, text, position. Postings are shifted by the anchor's offset in its item, so that matches of one item in one text meet
 on the same start; starts on which a window's anchors all meet are kept, and the window's words there are compared.
 
-Null texts have no words; null ids are kept; repeated rows give one result each. Items without words have no windows.
-Extra columns are not read.
+Null and empty texts have no words; very long ones are one row of one task; null ids are kept; repeated rows give one result each.
+Items without words have no windows; repeated items and ties between rarest terms change nothing. An empty table of documents gives
+an empty result, an empty one of items no matches. Extra columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import fresh, materialize
 from .native_text import bounded, text_key, words_of
 
 WINDOW = 10
@@ -87,15 +88,15 @@ def phrase_matches(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_c
     cand = materialize(cand, "candidates")
 
     # the words at a candidate's place must be the window's: texts with candidates only
-    with_words = docs.select(F.col(id_col).alias("id"), text_key(id_col, text_col).alias("key"), F.col(text_col).alias("text")).join(bounded(cand.select("key").distinct()), "key", "left_semi")
-    with_words = with_words.dropDuplicates(["id", "key"]).select(F.col("id").alias("__id"), "key", words_of(F.col("text")).alias("words"))
-    at = cand.join(with_words, (cand.key == with_words.key) & cand.id.eqNullSafe(F.col("__id"))).select("id", cand.key, "item", "shift", "windows", "words")
-    at = at.join(bounded(words.select("item", "item_id", F.col("words").alias("own"))), "item")
-    exact = F.filter(
-        "windows",
-        lambda w: (F.col("shift") + w["s"] >= 0) & (F.slice("words", F.greatest(F.col("shift") + w["s"], F.lit(0)) + 1, w["len"]) == F.slice("own", w["s"] + 1, w["len"])),
-    )
-    found = at.select("id", "key", "item_id", "shift", F.inline(exact)).select("id", "key", "item_id", (F.col("shift") + F.col("s")).alias("start"), "len")
+    own = F.slice("own", F.col("w.s") + 1, F.col("w.len"))
+    placed = cand.select("id", "key", "item", "shift", F.explode("windows").alias("w")).join(bounded(words.select("item", "item_id", F.col("words").alias("own"))), "item")
+    placed = placed.select("id", "key", "item_id", (F.col("shift") + F.col("w.s")).alias("start"), F.col("w.len").alias("len"), own.alias("own")).filter("start >= 0")
+    # one row for each text: its words are cut once and never repeated; there are at most as many placements as words and items allow
+    placed = materialize(placed.groupBy(F.col("id").alias("__id"), "key").agg(F.collect_set(F.struct("item_id", "start", "len", "own")).alias("places")), "places")
+    rows = docs.select(F.col(id_col).alias("id"), text_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"))
+    met = rows.join(bounded(placed), (rows.key == placed.key) & rows.id.eqNullSafe(F.col("__id"))).select("id", rows.key, "places", words_of(F.col("text")).alias("words"))
+    exact = F.filter("places", lambda p: F.slice(F.col("words"), p["start"] + 1, p["len"]) == p["own"])
+    found = met.select("id", "key", F.inline(F.transform(exact, lambda p: F.struct(p["item_id"].alias("item_id"), p["start"].alias("start"), p["len"].alias("len")))))
     return texts, found
 
 
@@ -142,5 +143,6 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, i
     """The rows of docs without any window of an item; same columns."""
     _, found = phrase_matches(docs, items, window, id_col, text_col, item_col, item_text_col)
     hit = bounded(materialize(found.select(F.col("id").alias("__id"), F.col("key").alias("__hit")).distinct(), "contaminated"))
-    rows = docs.withColumn("__key", text_key(id_col, text_col))
-    return rows.join(hit, (F.col("__key") == F.col("__hit")) & F.col(id_col).eqNullSafe(F.col("__id")), "left_anti").select(*docs.columns)
+    own, key, other = fresh(docs, "__key"), fresh(docs, "__hit"), fresh(docs, "__id")
+    hit = hit.withColumnsRenamed({"__hit": key, "__id": other})
+    return docs.withColumn(own, text_key(id_col, text_col)).join(hit, (F.col(own) == F.col(key)) & F.col(id_col).eqNullSafe(F.col(other)), "left_anti").select(*docs.columns)

@@ -4,7 +4,9 @@ A text's UTF-8 bytes, padded by spaces to a positive multiple of 192, become an
 Each task writes tar shards of bounded size into the shared folder; a member's name is the SHA-256 of its bytes, and a
 shard holds one member per digest. Rows carry digest, shard, offset and length. Metadata columns come from range reads
 of the first 33 bytes of a member; features from the decoded samples.
-Null is an empty text (one row of spaces); ties and repeated rows share a member and have equal values.
+Null is an empty text, and an empty one a row of spaces; a very long text is one member. Ties and repeated rows have equal values and
+share a member where one task writes them into one shard (a text that several tasks meet is stored by each). An empty table gives
+no shards and an empty result. Extra columns are not read, whatever their names. The shards are the operator's output and stay.
 """
 
 from __future__ import annotations
@@ -128,20 +130,19 @@ def _reader(folder: str):
         name, handle, last, seen = None, None, None, None
         for pdf in rows:
             out = []
-            for key, n, shard, offset, length in zip(pdf["__id"], pdf["n_bytes"], pdf["shard"], pdf["offset"], pdf["length"], strict=True):
+            for shard, offset, length in zip(pdf["shard"], pdf["offset"], pdf["length"], strict=True):
                 if shard != name:
                     name, handle, last = shard, fs.open_input_file(f"{root}/{shard}"), None
                 if last != offset:  # rows come in order of shard and offset: copies share one read
                     handle.seek(offset)
                     head = handle.read(HEADER_BYTES)
-                    width, height, depth = read_header(head)
                     data = head + handle.read(length - HEADER_BYTES)
                     samples = decode_png(data)
                     payload = samples.tobytes()
-                    seen = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), features(samples), width, height, depth)
+                    seen = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), features(samples))
                     last = offset
-                out.append((key, n, *seen))
-            yield pd.DataFrame(out, columns=["__id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", "bit_depth"])
+                out.append(seen)
+            yield pd.concat([pdf, pd.DataFrame(out, columns=["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"], index=pdf.index)], axis=1)
 
     return read
 
@@ -156,37 +157,38 @@ def write_shards(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col:
 
 
 def read_metadata(index: DataFrame, folder: str) -> DataFrame:
-    """Width, height and bit depth of each row's member, from header-only range reads."""
-    kind = index.schema["__id"].dataType.simpleString()
+    """The index rows with width, height and bit depth of each one's member, from header-only range reads."""
 
     def read(rows):
         fs, root = fs_of(folder)
         name, handle = None, None
         for pdf in rows:
             out = []
-            for key, shard, offset in zip(pdf["__id"], pdf["shard"], pdf["offset"], strict=True):
+            for shard, offset in zip(pdf["shard"], pdf["offset"], strict=True):
                 if shard != name:
                     name, handle = shard, fs.open_input_file(f"{root}/{shard}")
                 handle.seek(offset)
-                out.append((key, *read_header(handle.read(HEADER_BYTES))))
-            yield pd.DataFrame(out, columns=["__id", "width", "height", "bit_depth"])
+                out.append(read_header(handle.read(HEADER_BYTES)))
+            yield pd.concat([pdf, pd.DataFrame(out, columns=["width", "height", "bit_depth"], index=pdf.index)], axis=1)
 
-    return _by_shard(index).mapInPandas(read, f"__id {kind}, width long, height long, bit_depth int")
+    return _by_shard(index).mapInPandas(read, f"{_columns(index)}, width long, height long, bit_depth int")
+
+
+def _columns(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 
 
 def _by_shard(index: DataFrame) -> DataFrame:
-    return index.repartition("shard").sortWithinPartitions("shard", "offset")
+    """Rows of one shard together; as many parts as there are shards, so that none is sized by the small index."""
+    shards = max(1, index.select("shard").distinct().count())
+    return index.repartition(shards, "shard").sortWithinPartitions("shard", "offset")
 
 
 def media_columns(docs: DataFrame, folder: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per text: sizes, digests and features of what was stored and read back."""
+    """One row per text: where its member is (digest, shard, offset, length), its header's metadata, sizes, digests and features of what was read back."""
     folder = folder or scratch(docs.sparkSession, "media")
-    index = write_shards(docs, folder, id_col, text_col)
-    kind = index.schema["__id"].dataType.simpleString()
-    out = _by_shard(index).mapInPandas(
-        _reader(folder),
-        f"__id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, width long, height long, bit_depth int",
-    )
+    index = read_metadata(write_shards(docs, folder, id_col, text_col), folder)
+    out = index.mapInPandas(_reader(folder), f"{_columns(index)}, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
     return out.withColumnRenamed("__id", id_col)
 
 

@@ -13,8 +13,12 @@ pairs; connected components follow. Members of buckets that still hold several c
 (rarest tokens first), which leaves only pairs that can reach the threshold. Every pair is verified by the exact overlap of its
 multisets. Pairs go to their leader's task in salted parts.
 
-Null and empty texts are classes of their own. Rows of one id share its class; a null id becomes a negative number from its
-text. Repeated rows give one result each. Extra columns are not read.
+"Equal words" means two equal 61-bit hashes of the words; overlaps are exact on shingles' 61-bit hashes.
+
+Null and empty texts are classes of their own. Rows of one id share its class. A null id stays null and its class is named by a
+negative number from its text where no other row is in it. A very long text is one row of one task. Repeated rows give one result
+each; of leaders that tie, the smallest id leads. An empty table gives an empty result. Extra columns are not read, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -27,12 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD_TABLE, Hasher, batches, chunks, materialize, mix
+from .common import WORD_TABLE, Hasher, batches, chunks, fresh, materialize, mix, release
 from .native_text import text_key
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: Bands of so many components: a pair at 0.8 shares none with probability 0.00007.
-BANDS, ROWS = 24, 5
+#: Most components of a band; at 0.8 there are 24 bands of 5, and a pair shares none with probability 0.00007.
+ROWS = 5
 #: Pairs of one leader that a task takes at once.
 LEADER_PAIRS = 2000
 #: Points that are drawn at once beyond the first of each process: bounds a task's memory.
@@ -54,7 +58,7 @@ def shingle_sets(texts: list, n: int = SHINGLE) -> Iterator[tuple[int, list[tupl
         yield first, sets, _SHINGLES.spans(words, bound[:-1], bound[1:]), _TEXT.spans(words, bound[:-1], bound[1:])
 
 
-def signatures(sets: list[tuple[np.ndarray, np.ndarray]], size: int = BANDS * ROWS) -> np.ndarray:
+def signatures(sets: list[tuple[np.ndarray, np.ndarray]], size: int = 120) -> np.ndarray:
     """BagMinHash: for each multiset the ids of the smallest points of its components (0: no shingles)."""
     lengths = [len(h) for h, _ in sets]
     doc = np.repeat(np.arange(len(sets)), lengths)
@@ -98,21 +102,23 @@ def signatures(sets: list[tuple[np.ndarray, np.ndarray]], size: int = BANDS * RO
     return ids.reshape(len(sets), size)
 
 
-def band_keys(ids: np.ndarray) -> np.ndarray:
+def band_keys(ids: np.ndarray, bands: int, rows: int) -> np.ndarray:
     """One key for each band of each signature."""
-    key = np.zeros((len(ids), BANDS), dtype=np.uint64)
-    for j in range(ROWS):
-        key = mix(key * np.uint64(31) + ids[:, j * BANDS : (j + 1) * BANDS])
-    return mix(key + np.arange(1, BANDS + 1, dtype=np.uint64) * _STEP).view(np.int64)
+    key = np.zeros((len(ids), bands), dtype=np.uint64)
+    for j in range(rows):
+        key = mix(key * np.uint64(31) + ids[:, j * bands : (j + 1) * bands])
+    return mix(key + np.arange(1, bands + 1, dtype=np.uint64) * _STEP).view(np.int64)
 
 
-def _sketch(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for pdf in rows:
-        texts, keys = list(pdf["text"]), pdf["ord"].to_numpy()
-        for first, sets, c1, c2 in shingle_sets(texts):
-            bands = band_keys(signatures(sets))
-            full = [len(h) > 0 for h, _ in sets]
-            yield pd.DataFrame({"ord": keys[first : first + len(sets)], "full": full, "c1": c1.view(np.int64), "c2": c2.view(np.int64), "bands": [b.tolist() if f else [] for b, f in zip(bands, full, strict=True)]})
+def _sketch(n_bands: int, n_rows: int):
+    def sketch(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in rows:
+            for first, sets, c1, c2 in shingle_sets(list(pdf["text"])):
+                bands = band_keys(signatures(sets, n_bands * n_rows), n_bands, n_rows)
+                full, own = [len(h) > 0 for h, _ in sets], pdf.iloc[first : first + len(sets)]
+                yield pd.DataFrame({"id": own["id"], "ord": own["ord"], "full": full, "c1": c1.view(np.int64), "c2": c2.view(np.int64), "bands": [b.tolist() if f else [] for b, f in zip(bands, full, strict=True)]})
+
+    return sketch
 
 
 def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
@@ -172,9 +178,10 @@ def stable_id(id_col: str, text_col: str):
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY) -> DataFrame:
     """The rows of docs with the smallest id of their group, once each; same columns."""
-    kept = near_duplicates(docs, id_col, text_col, threshold).filter(F.col(id_col) == F.col("class_id")).select(F.col("class_id").alias("__kept")).distinct()
-    rows = docs.withColumn("__kept", stable_id(id_col, text_col)).join(kept, "__kept", "left_semi")
-    return rows.dropDuplicates(["__kept"]).select(*docs.columns)
+    kept = _classes(docs, id_col, text_col, threshold).filter(F.col("ord") == F.col("class_id")).select(F.col("class_id").alias("__kept")).distinct()
+    own = fresh(docs, "__kept")
+    rows = docs.withColumn(own, stable_id(id_col, text_col)).join(kept.withColumnRenamed("__kept", own), own, "left_semi")
+    return rows.dropDuplicates([own]).select(*docs.columns)
 
 
 def _tokens(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -198,7 +205,7 @@ def prefix_pairs(rows: DataFrame, texts: DataFrame, threshold: float) -> DataFra
     """
     tokens = texts.join(rows.select("node"), "node", "left_semi").mapInPandas(_tokens, "node long, token long, size int")
     tokens = materialize(tokens, "tokens")
-    counts = tokens.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1")
+    counts = materialize(tokens.groupBy("token").agg(F.count("*").alias("n")).filter("n > 1"), "counts")
     rare = W.partitionBy("node").orderBy(F.coalesce("n", F.lit(1)), "token")
     ranked = tokens.join(counts, "token", "left").withColumn("pos", F.row_number().over(rare))
     prefix = ranked.filter((F.col("pos") <= F.col("size") - F.ceil(F.col("size") * threshold) + 1) & F.col("n").isNotNull())
@@ -222,18 +229,31 @@ def prefix_pairs(rows: DataFrame, texts: DataFrame, threshold: float) -> DataFra
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY) -> DataFrame:
     """Per row: id and class_id, the smallest id of its group; and n_links, the verified links that found the group's text."""
+    return _classes(docs, id_col, text_col, threshold).select(F.col("id").alias(id_col), "class_id", "n_links")
+
+
+def bands_for(threshold: float) -> tuple[int, int]:
+    """(bands, components of each): the fewest bands by which a pair at the threshold is missed with probability 0.0001 at most."""
+    rows = max(2, min(ROWS, round(1 + 5 * threshold)))
+    return max(2, -(-int(np.ceil(np.log(0.0001) / np.log1p(-(threshold**rows)))) // 1)), rows
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> DataFrame:
+    """Per row: id, ord (the id, or a number in its place), class_id, n_links."""
     batches(docs.sparkSession)
-    texts = docs.select(stable_id(id_col, text_col).alias("ord"), F.col(text_col).alias("text"))
-    sketches = materialize(texts.select("ord", "text").mapInPandas(_sketch, "ord long, full boolean, c1 long, c2 long, bands array<long>"), "sketches")
+    texts = docs.select(F.col(id_col).alias("id"), stable_id(id_col, text_col).alias("ord"), F.col(text_col).alias("text"))
+    kind = docs.schema[id_col].dataType.simpleString()
+    sketches = materialize(texts.mapInPandas(_sketch(*bands_for(threshold)), f"id {kind}, ord long, full boolean, c1 long, c2 long, bands array<long>"), "sketches")
 
     # rows of equal words: one node, named by its smallest id
     nodes = sketches.filter("full").groupBy("c1", "c2").agg(F.min("ord").alias("node"), F.min_by("bands", "ord").alias("bands"))
     nodes = materialize(nodes, "nodes")
     bands = nodes.select("node", F.explode("bands").alias("bucket"))
-    shared = bands.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-    members = materialize(bands.join(shared, "bucket"), "members")
+    # written before it meets the rows: both sides of the join are plain shuffles, of which Spark splits a hot bucket
+    shared = materialize(bands.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "buckets")
+    members = members_table = materialize(bands.join(shared, "bucket"), "members")
     degree = members.groupBy("node").agg(F.sum("n").alias("degree"))
-    leaders = members.join(degree, "node").groupBy("bucket").agg(F.max_by("node", F.struct("degree", -F.col("node"))).alias("leader"))
+    leaders = materialize(members.join(degree, "node").groupBy("bucket").agg(F.max_by("node", F.struct("degree", -F.col("node"))).alias("leader")), "leaders")
     led = materialize(members.select("bucket", "node").join(leaders, "bucket"), "led")
     pairs = led.filter(F.col("node") != F.col("leader")).select("leader", "node").distinct()
 
@@ -246,7 +266,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # buckets of several components: an exact join of their members
     sims = first.select("leader", "node", "sim")
     placed = led.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    mixed = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("bucket")
+    placed = materialize(placed, "placed")
+    mixed = materialize(placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("bucket"), "mixed")
     members = placed.join(mixed, "bucket").select("node", "comp", "leader").distinct().join(sims, ["leader", "node"], "left").withColumn("sim", F.coalesce("sim", F.lit(1.0)))
     near = members.groupBy("node", "comp").agg(F.max_by(F.struct("leader", "sim"), F.struct("sim", "leader")).alias("near"))
     unsettled = materialize(near.select("node", "comp", "near.leader", "near.sim"), "unsettled")
@@ -258,5 +279,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     named = nodes.select("c1", "c2", "node").join(comps, "node", "left").join(degree, "node", "left")
     named = named.select("c1", "c2", F.coalesce("comp", "node").alias("comp"), F.coalesce("n_links", F.lit(0)).alias("n_links")).withColumn("full", F.lit(True))
-    out = sketches.select("ord", "full", "c1", "c2").join(named, ["full", "c1", "c2"], "left")
-    return out.select(F.col("ord").alias(id_col), F.coalesce("comp", "ord").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    named = materialize(named, "named")
+    release(members_table, led, own, first, unsettled, shared, leaders, placed, mixed)
+    out = sketches.select("id", "ord", "full", "c1", "c2").join(named, ["full", "c1", "c2"], "left")
+    return out.select("id", "ord", F.coalesce("comp", "ord").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))

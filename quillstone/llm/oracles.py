@@ -46,8 +46,8 @@ def secrets() -> str:
 WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text FROM documents),
 raw AS ({" UNION ALL ".join(parts)}),
 sp AS (SELECT *, sum(length(p) + length(m)) OVER (PARTITION BY doc_id, kind ORDER BY i) AS e, length(v) >= least AS kept FROM raw),
-own AS (SELECT v, count(DISTINCT source) AS owners FROM sp WHERE kept GROUP BY v),
-f AS (SELECT sp.*, e - length(m) AS s, coalesce(owners <= {S.MAX_OWNERS} AND len(list_distinct(string_split(sp.v, ''))) >= {S.MIN_DISTINCT}, false) AS live FROM sp LEFT JOIN own USING (v)),
+own AS (SELECT v, count(DISTINCT source) AS owners, count(DISTINCT (source, doc_id)) AS repos FROM sp WHERE kept GROUP BY v),
+f AS (SELECT sp.*, e - length(m) AS s, coalesce(owners <= {S.MAX_OWNERS} AND repos <= {S.MAX_REPOS} * owners AND len(list_distinct(string_split(sp.v, ''))) >= {S.MIN_DISTINCT}, false) AS live FROM sp LEFT JOIN own USING (v)),
 r AS (SELECT *, name || ':' || s::BIGINT || ':' || e::BIGINT AS said, kept AND (kind < {S.BASE_KINDS} OR live OR name = 'pem') AS shown FROM f),
 a AS (SELECT doc_id, {", ".join(f"count(*) FILTER (kept AND kind = {k}) AS n_{S.KINDS[k][0]}" for k in range(S.BASE_KINDS))}, string_agg(said, ',' ORDER BY s, kind) FILTER (kept AND kind < {S.BASE_KINDS}) AS base, string_agg(said, ',' ORDER BY s, kind) FILTER (shown) AS spans, count(*) FILTER (shown AND live) AS n_live, count(*) FILTER (shown AND NOT live) AS n_example FROM r GROUP BY doc_id)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example FROM d LEFT JOIN a USING (doc_id)"""

@@ -6,8 +6,9 @@ bounded sample of labelled texts gives latent vectors. The sample's vectors are
 text's cosine with all of them is computed exactly in blocks, and its nearest neighbours vote with their similarity.
 
 Only labelled rows that are not held out are learnt from; language, source, id and label of a text are never inputs of its
-score. Whole texts are read. Null and empty texts score 0. Without labels every other text scores 0.5. Repeated rows give one
-result each; a null id is not held out.
+score. Whole texts are read, however long. Null and empty texts score 0. Without labels every other text scores 0.5. Repeated rows
+give one result each, but only one row of an id is learnt from; a null id is not held out. Neighbours that tie with the last one vote
+too. Empty tables give empty results. Extra columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_TABLE, Hasher, batches, chunks
+from .common import SPACE_TABLE, Hasher, batches, chunks, fresh
 
 #: Most labelled texts that the model holds; with more labels, those of the smallest hashes of their id.
 MAX_LABELLED = 4000
@@ -112,7 +113,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         for pdf in rows:
             yield pd.DataFrame({"id": pdf["id"].astype(str), "label": pdf["label"], "terms": [x.tobytes() for x in text_terms(list(pdf["text"]))]})
 
-    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(known), F.col("id") == F.col("__id")).filter(F.length("text") > 0)  # at most `most` rows
+    found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(known), F.col("id") == F.col("__id")).filter(F.length("text") > 0)  # at most `most` ids
+    found = found.groupBy("id", "label").agg(F.min("text").alias("text"))  # of rows that share an id, one
     rows = found.select("id", "label", "text").mapInPandas(terms, "id string, label int, terms binary").toPandas()
     if not len(rows):
         return None
@@ -138,8 +140,9 @@ def quality_scores(docs: DataFrame, model: Model | None, text_col: str = "text",
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that score at least the threshold; same columns."""
-    scored = quality_scores(docs, fit(docs, labels, id_col, text_col, label_col), text_col, "__quality")
-    return scored.filter(F.col("__quality") >= threshold).select(*docs.columns)
+    own = fresh(docs, "__quality")
+    scored = quality_scores(docs, fit(docs, labels, id_col, text_col, label_col), text_col, own)
+    return scored.filter(F.col(own) >= threshold).select(*docs.columns)
 
 
 def classify_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = THRESHOLD) -> DataFrame:

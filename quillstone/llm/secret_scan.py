@@ -6,7 +6,9 @@ and distinct repositories within an owner: a value that many owners hold is a co
 rich in characters looks live. Base kinds are always reported; the added kinds only when they look live or have an
 unmistakable form.
 
-Null and empty texts have no spans. Repeated rows give one result each; null ids, owners and repositories count as values.
+Null and empty texts have no spans; very long ones are one row of one task. Repeated rows give one result each; null ids, owners
+and repositories count as values; spans that start at one place come in the order of kinds. An empty table gives an empty result.
+Extra columns are not read, whatever their names; redaction returns them as they are.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import fresh, materialize
 from .native_text import text_key
 
 # Candidate patterns. name, pattern, group of the value, least length of the value, strings of which a text has one.
@@ -39,8 +41,8 @@ KINDS = [
     ("urlauth", r"([a-z][a-z0-9+.-]{1,20}://[^\s/:@]{1,64}:[^\s/:@]{3,64}@)", 1, 0, ("://",)),
 ]
 BASE_KINDS = 3
-#: A value of more owners is a copied example; a live-looking value has at least so many distinct characters.
-MAX_OWNERS, MIN_DISTINCT = 2, 6
+#: A value of more owners, or of more repositories for each owner, is a copied example; a live-looking value has at least so many distinct characters.
+MAX_OWNERS, MAX_REPOS, MIN_DISTINCT = 2, 1000, 6
 
 
 def _found(text: Column, low: Column, kind: int) -> Column:
@@ -84,8 +86,9 @@ def secret_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = once.select("id", "key", "owner", "repo", "copies", F.inline("found"))
     order = W.partitionBy("id", "key", "owner", "repo", "kind").orderBy("i").rowsBetween(W.unboundedPreceding, 0)
     rows = rows.withColumn("end", F.sum(F.col("before") + F.col("size")).over(order)).withColumn("start", F.col("end") - F.col("size"))
-    spans = rows.join(ownership(rows.filter("kept")), "value", "left")
-    live = (F.col("n_owners") <= MAX_OWNERS) & (F.col("rich") >= MIN_DISTINCT)
+    # written before it meets the rows: both sides of the join are plain shuffles, of which Spark splits a hot value
+    spans = rows.join(materialize(ownership(rows.filter("kept")), "owners"), "value", "left")
+    live = (F.col("n_owners") <= MAX_OWNERS) & (F.col("n_repos") <= MAX_REPOS * F.col("n_owners")) & (F.col("rich") >= MIN_DISTINCT)
     return without, spans.withColumn("base", F.col("kind") < BASE_KINDS).withColumn("live", F.coalesce(live, F.lit(False)))
 
 
@@ -130,16 +133,17 @@ def redact_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.array().cast("array<struct<start:bigint,end:bigint>>"),
         lambda done, s: F.when((F.size(done) > 0) & (F.element_at(done, -1)["end"] >= s["start"]), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(F.element_at(done, -1)["start"].alias("start"), F.greatest(F.element_at(done, -1)["end"], s["end"]).alias("end"))))).otherwise(F.concat(done, F.array(s))),
     )
-    cut = cut.withColumn("__cut", merged).withColumnRenamed("id", "__id").withColumnRenamed("key", "__key")
-    keyed = docs.withColumn("__k", text_key(id_col, text_col))
-    joined = keyed.join(cut, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__k") == F.col("__key")), "left")
+    own, key, other, spans_col = (fresh(docs, x) for x in ("__k", "__key", "__id", "__cut"))
+    cut = cut.select(F.col("id").alias(other), F.col("key").alias(key), merged.alias(spans_col))
+    keyed = docs.withColumn(own, text_key(id_col, text_col))
+    joined = keyed.join(cut, F.col(id_col).eqNullSafe(F.col(other)) & (F.col(own) == F.col(key)), "left")
     text = F.col(text_col)
     pieces = F.transform(
-        F.sequence(F.lit(0), F.size("__cut")),
+        F.sequence(F.lit(0), F.size(spans_col)),
         lambda i: F.substring(
             text,
-            F.coalesce(F.get("__cut", i - 1)["end"], F.lit(0)).cast("int") + 1,
-            (F.coalesce(F.get("__cut", i)["start"], F.length(text).cast("long")) - F.coalesce(F.get("__cut", i - 1)["end"], F.lit(0))).cast("int"),
+            F.coalesce(F.get(spans_col, i - 1)["end"], F.lit(0)).cast("int") + 1,
+            (F.coalesce(F.get(spans_col, i)["start"], F.length(text).cast("long")) - F.coalesce(F.get(spans_col, i - 1)["end"], F.lit(0))).cast("int"),
         ),
     )
-    return joined.withColumn(text_col, F.when(F.col("__cut").isNull(), text).otherwise(F.array_join(pieces, mark))).select(*docs.columns)
+    return joined.withColumn(text_col, F.when(F.col(spans_col).isNull(), text).otherwise(F.array_join(pieces, mark))).select(*docs.columns)

@@ -6,7 +6,9 @@ chunk of every id that has more than j chunks, a bitmap that says which of them
 next chunk is at the bit's rank on the next level. No block is decoded to reach a token.
 
 Layout: magic, counts, then doc ids, token offsets and for each level chunks, bitmap and ranks, as little-endian arrays.
-Null texts are empty documents; null ids sort first and come back null; repeated rows are kept, each as its own document.
+Null and empty texts are documents of the end id alone; a very long text is held whole by one task; null ids sort first and come back
+null; repeated rows are kept, each as its own document, rows of one id in the order of their texts. An empty table gives no files and
+an empty result. Extra columns are not read, whatever their names. The files are the operator's output and stay in their folder.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ from .tokens import encoder
 
 MAGIC = b"QDAC0001"
 BLOCK = 512
+#: Tokens after which a task begins its next file: bounds what it holds.
+FILE_TOKENS = 4_000_000
 _NULL_ID = -(2**63)
 _ONES = np.array([bin(i).count("1") for i in range(256)], dtype=np.uint8)
 
@@ -99,35 +103,45 @@ class TokenFile:
         return int(self.tokens(i, i + 1)[0])
 
 
-def _writer(path: str, folder: str, end_id: int):
+def _writer(path: str, folder: str, end_id: int, file_tokens: int):
     def write(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part, tool = TaskContext.get().partitionId(), encoder(path)
-        keys, counts, ids = [], [], []
+        keys, counts, ids, number, held = [], [], [], 0, 0
         end = np.array([end_id], dtype=np.uint32).tobytes()
+
+        def done() -> pd.DataFrame:
+            nonlocal keys, counts, ids, number, held
+            name = f"tokens-{part:06d}-{number:06d}.dac"
+            put_file(f"{folder}/{name}", pack(np.array(keys, dtype=np.int64), np.array(counts, dtype=np.int64), np.concatenate(ids)))
+            row = pd.DataFrame({"part": [part], "number": [number], "name": [name], "n_tokens": [held]})
+            keys, counts, ids, number, held = [], [], [], number + 1, 0
+            return row
+
         for pdf in rows:
             for key, got in zip(pdf["id"], tool.encode(list(pdf["text"])), strict=True):
                 keys.append(key)
                 counts.append(len(got) // 4 + 1)
                 ids.append(np.frombuffer(got + end, dtype=np.uint32))
+                held += counts[-1]
+                if held >= file_tokens:
+                    yield done()
         if keys:
-            name = f"tokens-{part:06d}.dac"
-            put_file(f"{folder}/{name}", pack(np.array(keys, dtype=np.int64), np.array(counts, dtype=np.int64), np.concatenate(ids)))
-            yield pd.DataFrame({"part": [part], "name": [name], "n_tokens": [sum(counts)]})
+            yield done()
 
     return write
 
 
-def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[str, int]]:
+def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", file_tokens: int = FILE_TOKENS) -> list[tuple[str, int]]:
     """Write all documents in ascending id order; (file, tokens before it) of each file, in order.
 
-    Documents are dealt into ranges of ids, one file each. Only one small row per file comes to the driver.
+    Documents are dealt into ranges of ids; a task begins a new file after file_tokens tokens. Only one small row per file comes to the driver.
     """
     batches(docs.sparkSession)
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NULL_ID)).alias("id"), F.col(text_col).alias("text"))
     dealt = rows.repartitionByRange("id").sortWithinPartitions("id", "text")
-    stats = dealt.mapInPandas(_writer(tokenizer_path, folder, end_id), "part int, name string, n_tokens long").collect()
+    stats = dealt.mapInPandas(_writer(tokenizer_path, folder, end_id, file_tokens), "part int, number int, name string, n_tokens long").collect()
     out, before = [], 0
-    for row in sorted(stats, key=lambda r: r["part"]):
+    for row in sorted(stats, key=lambda r: (r["part"], r["number"])):
         out.append((row["name"], before))
         before += row["n_tokens"]
     return out
@@ -139,15 +153,15 @@ def read_token_files(spark: SparkSession, folder: str, files: list[tuple[str, in
     def read(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in rows:
             for name, before in zip(pdf["name"], pdf["before"], strict=True):
-                file, out = TokenFile(f"{folder}/{name}"), []
-                step = 1000
+                file, step = TokenFile(f"{folder}/{name}"), 1000
                 for k in range(0, file.n_docs, step):
+                    out = []
                     bounds = file.offsets[k : min(k + step, file.n_docs) + 1]
                     ids = file.tokens(int(bounds[0]), int(bounds[-1])).astype("<u4")
                     for key, a, b in zip(file.doc_ids[k : k + step].tolist(), bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                         own = ids[a - bounds[0] : b - bounds[0]]
                         out.append((None if key == _NULL_ID else key, before + a, b - a, zlib.crc32(own.tobytes())))
-                yield pd.DataFrame({c: pd.array([r[i] for r in out], dtype="Int64") for i, c in enumerate(("doc_id", "start", "n_tokens", "ids_crc32"))})
+                    yield pd.DataFrame({c: pd.array([r[i] for r in out], dtype="Int64") for i, c in enumerate(("doc_id", "start", "n_tokens", "ids_crc32"))})
 
     if not files:
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
