@@ -152,3 +152,27 @@ def redact(c: Column) -> Column:
     secret = r"(?i:api[_-]?key|password|secret|token|bearer\s)"
     keyed = F.regexp_replace(c, rf'("[^"]*{secret}[^"]*"\s*:\s*)(?:"(?:[^"\\]|\\.)*"|\[[^\[\]]*\]|\{{[^{{}}]*\}}|[^,}}\]\s]+)', r'$1"[REDACTED]"')
     return F.regexp_replace(keyed, rf'"(?:[^"\\]|\\.)*{secret}(?:[^"\\]|\\.)*"(?!\s*:)', '"[REDACTED-SUSPECTED-SECRET]"')
+
+
+def citation(title: Column, number: Column, article: Column, clause: Column, chunk: Column) -> Column:
+    """Title, number (where the title lacks it), article with a numeric clause, chunk id; empty parts are left out."""
+    where = F.when(article != "", F.concat(F.lit("Điều "), article, F.when(clause.rlike(r"^\d+$"), F.concat(F.lit(" khoản "), clause)).otherwise("")))
+    return F.concat_ws(" | ", F.nullif(title, F.lit("")), F.when((number != "") & ~F.contains(title, number), number), where, chunk)
+
+
+def index_text(parts: list[Column], article: Column, body: Column) -> Column:
+    """What is indexed for a chunk: a header of the parts that are not empty and its article, then the text on a line of its own."""
+    filled = [F.nullif(F.coalesce(p, F.lit("")), F.lit("")) for p in parts]
+    header = F.trim(F.concat_ws(" ", *filled, F.when(F.coalesce(article, F.lit("")) != "", F.concat(F.lit("Điều "), article))))
+    return F.when(header != "", F.concat(header, F.lit("\n"), body)).otherwise(body)
+
+
+#: Code points of a quoted chunk.
+QUOTED = 400
+
+
+def quotation(citation_text: Column, text: Column, most: int = QUOTED) -> Column:
+    """One line of an extractive answer: the citation and the text's beginning as it stands."""
+    flat = F.replace(F.trim(text), F.lit("\n"), F.lit(" "))
+    said = F.when(F.length(flat) > most, F.concat(F.rtrim(F.substring(flat, 1, most)), F.lit("..."))).otherwise(flat)
+    return F.concat(F.lit("- ["), citation_text, F.lit("] "), said)

@@ -52,6 +52,33 @@ def build_index(chunks: DataFrame, key: str, tokens: Column) -> Index:
     return Index(chunks.select(key), postings, terms, totals)
 
 
+#: Question terms that are broadcast at most; beyond, the join with the tokens is left to Spark.
+TERMS = 500_000
+
+
+def build_search_index(chunks: DataFrame, questions: DataFrame, key: str, tokens: Column, query_tokens: Column) -> Index:
+    """The part of the index that these questions need.
+
+    Document frequencies of all terms are counted in the tasks before anything is shuffled (a term's count per task, not a row per
+    posting); only tokens of the questions' terms are shuffled as postings.
+    """
+    listed = chunks.select(F.col(key), tokens.alias("tokens"))
+    # beside its distinct terms each chunk gives a row without a term, which carries its length
+    each = listed.select(F.size("tokens").alias("n"), F.explode(F.concat(F.array(F.lit(None).cast("string")), F.array_distinct("tokens"))).alias("term"))
+    counted = each.groupBy("term").agg(F.count("*").alias("df"), F.sum(F.when(F.col("term").isNull(), F.col("n"))).alias("cf"))
+    totals = counted.filter("term IS NULL").select(F.col("df").alias("n_chunks"), (F.col("cf") / F.col("df")).alias("avg_length"))  # one row
+    raw = F.log(F.col("n_chunks") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    known = counted.filter("term IS NOT NULL").select("term", "df").crossJoin(F.broadcast(totals.select("n_chunks"))).withColumn("raw", raw)  # one row
+    asked = questions.select(F.explode(query_tokens).alias("term")).distinct()
+    few = asked.limit(TERMS + 1).count() <= TERMS
+    asked = F.broadcast(asked) if few else asked
+    mean = known.agg(F.avg("raw").alias("mean"))
+    terms = known.join(asked, "term", "left_semi").crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))  # one row
+    exploded = listed.select(key, F.size("tokens").alias("length"), F.explode("tokens").alias("term")).join(asked, "term", "left_semi")
+    postings = exploded.groupBy(key, "term").agg(F.count("*").alias("tf"), F.max("length").alias("length"))
+    return Index(chunks.select(key), postings, terms, totals)
+
+
 def scores(index: Index, questions: DataFrame, query_key: str, tokens: Column, key: str) -> DataFrame:
     """query, chunk, score for every pair that shares a term; a repeated question token adds repeatedly."""
     asked = term_frequencies(questions, query_key, tokens).select(query_key, "term", F.col("tf").alias("times"))
@@ -74,18 +101,18 @@ def top_k(scored: DataFrame, query_key: str, key: str, k: int, index: Index | No
 
 
 def search_legal(chunks: DataFrame, questions: DataFrame, tokens: Column, query_tokens: Column, key: str, query_key: str, k: int) -> DataFrame:
-    index = build_index(chunks, key, tokens)
+    index = build_search_index(chunks, questions, key, tokens, query_tokens)
     return top_k(scores(index, questions, query_key, query_tokens, key), query_key, key, k, index, questions)
 
 
 def search_code(chunks: DataFrame, questions: DataFrame, tokens: Column, query_tokens: Column, key: str, query_key: str, k: int) -> DataFrame:
-    index = build_index(chunks, key, tokens)
+    index = build_search_index(chunks, questions, key, tokens, query_tokens)
     found = top_k(scores(index, questions, query_key, query_tokens, key), query_key, key, k, positive_only=True)
     return found.withColumn("score", F.round("score", 6))
 
 
 def best_match(left: DataFrame, right: DataFrame, left_key: str, right_key: str, left_tokens: Column, right_tokens: Column) -> DataFrame:
     """Each left row with its best right row by BM25 over the right side; null where no score is above zero; ties to the smallest key."""
-    index = build_index(right, right_key, right_tokens)
+    index = build_search_index(right, left, right_key, right_tokens, left_tokens)
     found = top_k(scores(index, left, left_key, left_tokens, right_key), left_key, right_key, 1, positive_only=True)
     return left.select(left_key).join(found.select(left_key, right_key, "score"), left_key, "left")

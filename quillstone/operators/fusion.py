@@ -55,3 +55,10 @@ def support_distribution(fused: DataFrame, question: str) -> DataFrame:
 def rank_change(ranked: DataFrame, query_key: str, before: str, after: str) -> DataFrame:
     """Places gained (positive) or lost."""
     return ranked.withColumn("rank_change", F.col(before) - F.col(after))
+
+
+def fuse_by_id(lexical: DataFrame, semantic: DataFrame, query_key: str, key: str, k: int = RRF_K, weights: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
+    """The other family's order: score down, then key; the score on eight digits."""
+    fused = fuse(lexical, semantic, query_key, key, k, weights)
+    order = W.partitionBy(query_key).orderBy(F.round("rrf_score", RANK_DIGITS).desc(), key)
+    return fused.withColumn("fused_rank", F.row_number().over(order)).withColumn("rrf_score", F.round("rrf_score", 8))

@@ -36,6 +36,11 @@ def two_edge_paths(first: DataFrame, second: DataFrame) -> DataFrame:
     return first.select(F.col("src").alias("a"), F.col("dst").alias("via")).join(second.select(F.col("src").alias("via"), F.col("dst").alias("b")), "via").select("a", "via", "b")
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """Cut a loop's lineage in the shared checkpoint folder, where the session has one; a short loop in a test goes without."""
+    return df.checkpoint() if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df
+
+
 def neighbours(edges: DataFrame, seeds: DataFrame, hops: int, seed: str = "seed") -> DataFrame:
     """seed, node, hop: nodes within so many edges, either way, at their least distance; the seed itself is left out.
 
@@ -47,7 +52,7 @@ def neighbours(edges: DataFrame, seeds: DataFrame, hops: int, seed: str = "seed"
     for hop in range(1, hops + 1):
         step = frontier.join(both, frontier.node == both["__a"]).select(seed, F.col("__b").alias("node")).distinct()
         frontier = step.join(known.select(seed, "node"), [seed, "node"], "left_anti").withColumn("hop", F.lit(hop))
-        known = known.unionByName(frontier)
+        known, frontier = cut(known.unionByName(frontier)), cut(frontier)
     return known.filter("hop > 0")
 
 
@@ -57,7 +62,7 @@ def ancestors(nodes: DataFrame, node_id: str, parent: str, most: int = 32) -> Da
     up = up.withColumn("up", F.coalesce("up", "id"))
     for _ in range(max(1, (most - 1).bit_length())):
         next_up = up.select(F.col("id").alias("up"), F.col("up").alias("__up"), F.col("depth").alias("__depth"))
-        up = up.join(next_up, "up", "left").select("id", F.coalesce("__up", "up").alias("up"), (F.col("depth") + F.when(F.col("up") == F.col("id"), 0).otherwise(F.coalesce("__depth", F.lit(0)))).alias("depth"))
+        up = cut(up.join(next_up, "up", "left").select("id", F.coalesce("__up", "up").alias("up"), (F.col("depth") + F.when(F.col("up") == F.col("id"), 0).otherwise(F.coalesce("__depth", F.lit(0)))).alias("depth")))
     roots = nodes.filter(F.col(parent).isNull()).select(F.col(node_id).alias("root"))
     return up.join(roots, F.col("up") == F.col("root"), "left").select(F.col("id").alias(node_id), "root", "depth")
 
@@ -82,8 +87,8 @@ def next_chain(rows: DataFrame, group: list[str], order: str, key: str, most: in
     return led.select(*group, "src", F.inline(ahead))
 
 
-def tree_integrity(nodes: DataFrame, group: str, key: str, parent: str, order: str) -> DataFrame:
-    """One row of counts that must be 0: duplicate ids, missing parents, parents in another document, parents after children, blank texts."""
+def tree_integrity(nodes: DataFrame, group: str, key: str, parent: str, order: str, text: str | None = None) -> DataFrame:
+    """One row of counts that must be 0: duplicate ids, missing parents, parents in another document, parents after children, and with a text column blank texts."""
     own = nodes.select(F.col(group).alias("g"), F.col(key).alias("k"), F.col(parent).alias("p"), F.col(order).alias("o"))
     up = own.select(F.col("k").alias("p"), F.col("g").alias("pg"), F.col("o").alias("po"), F.lit(True).alias("known"))
     joined = own.join(up.dropDuplicates(["p"]), "p", "left")
@@ -92,7 +97,8 @@ def tree_integrity(nodes: DataFrame, group: str, key: str, parent: str, order: s
         F.count("*").alias("n_nodes"), F.count_if(F.col("p").isNotNull() & F.col("known").isNull()).alias("missing_parents"),
         F.count_if(F.col("pg") != F.col("g")).alias("foreign_parents"), F.count_if(F.col("po") >= F.col("o")).alias("late_parents"),
     )
-    return links.crossJoin(duplicates)  # one row each
+    blank = nodes.agg(F.count_if(F.trim(F.coalesce(text, F.lit(""))) == "").alias("blank_texts")) if text else None
+    return links.crossJoin(duplicates).crossJoin(blank) if text else links.crossJoin(duplicates)  # one row each
 
 
 def graph_hints(hits: DataFrame, edges: DataFrame, query_key: str, doc: str, rank: str, documents: int = 5, relations: int = 25, without: str = "CONTAINS") -> DataFrame:
@@ -160,3 +166,67 @@ def wiki_faults(pages: DataFrame, key: str, text: str, home: str = "Home") -> Da
     linked = links.filter(F.col("src").cast("string") != home).select("target").distinct()
     orphan = names.filter(F.col("target") != home).join(linked, "target", "left_anti").select(F.lit("orphan_page").alias("fault"), F.col("target").alias("page"), F.lit(None).cast("string").alias("target"))
     return broken.unionByName(orphan)
+
+
+def unverified(edges: DataFrame, status: str = "status") -> DataFrame:
+    """Edges whose status is known and not VERIFIED (an unknown one is not compared)."""
+    return edges.filter(F.col(status) != "VERIFIED")
+
+
+def trusted(edges: DataFrame, status: str = "status") -> DataFrame:
+    """Edges that are verified; those without a status count as verified."""
+    return edges.filter(F.coalesce(F.col(status), F.lit("VERIFIED")) == "VERIFIED")
+
+
+def in_force(rows: DataFrame, status: str, expired: str, include_history: bool = False) -> DataFrame:
+    """Rows that have not expired, or all with the history; without a status a row is left out unless the history is asked for."""
+    return rows if include_history else rows.filter(F.col(status) != expired)
+
+
+def linked_from(edges: DataFrame, nodes: DataFrame, targets: DataFrame, kind: str, order: list[str]) -> DataFrame:
+    """For each of the given target nodes the nodes that an edge of that kind leads from, numbered in order.
+
+    edges: src, dst, kind and properties; nodes: node and properties; targets: dst.
+    """
+    met = edges.filter(F.col("kind") == kind).join(targets.select("dst").distinct(), "dst").join(nodes.withColumnRenamed("node", "src"), "src")
+    return met.withColumn("place", F.row_number().over(W.partitionBy("dst").orderBy(*order)))
+
+
+def first_rows(rows: DataFrame, number: str, key: str, limit: int) -> DataFrame:
+    """The first rows by a number kept as text (none or no number: 0 and null), then key: a top-k, not a sort of all rows."""
+    return rows.orderBy(F.expr(f"try_cast(coalesce(`{number}`, '0') AS BIGINT)").asc_nulls_last(), key).limit(limit)
+
+
+def review_queue(edges: DataFrame) -> DataFrame:
+    """Proposed edges, the most confident first."""
+    order = W.partitionBy("kind").orderBy(F.col("confidence").desc_nulls_first(), "src", "dst")
+    return edges.filter(F.col("status") == "PROPOSED").withColumn("place", F.row_number().over(order))
+
+
+def wiki_totals(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """what (nodes or edges), kind and count; a kind of null counts all edges."""
+    by_kind = nodes.groupBy("kind").agg(F.count("*").alias("n")).select(F.lit("nodes").alias("what"), "kind", "n")
+    edge = edges.groupBy("kind").agg(F.count("*").alias("n")).select(F.lit("edges").alias("what"), "kind", "n")
+    return by_kind.unionByName(edge).unionByName(edges.agg(F.count("*").alias("n")).select(F.lit("edges").alias("what"), F.lit(None).cast("string").alias("kind"), "n"))
+
+
+def secure_children(edges: DataFrame, nodes: DataFrame, roles: list[str], limit: int = 200) -> DataFrame:
+    """src, dst of parent-child edges whose child the roles may see: its own roles, else its parent's, else none; the first `limit` by id."""
+    from .rbac import overlaps, validate_roles
+
+    own = nodes.select(F.col("node").alias("dst"), F.col("roles").alias("__child"))
+    up = nodes.select(F.col("node").alias("src"), F.col("roles").alias("__parent"))
+    met = edges.join(own, "dst").join(up, "src").withColumn("__roles", F.coalesce("__child", "__parent", F.array().cast("array<string>")))
+    return met.filter(overlaps(F.col("__roles"), validate_roles(roles))).select("src", "dst").orderBy("src", "dst").limit(limit)
+
+
+class GraphSession:
+    """Named queries over node and edge tables, as a graph server's session would run them: name -> function(nodes, edges, parameters)."""
+
+    def __init__(self, nodes: DataFrame, edges: DataFrame, catalogue: dict):
+        self.nodes, self.edges, self.catalogue = nodes, edges, dict(catalogue)
+
+    def run(self, name: str, **parameters) -> DataFrame:
+        if name not in self.catalogue:
+            raise ValueError(f"unknown query: {name}")
+        return self.catalogue[name](self.nodes, self.edges, **parameters)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable
+from typing import Protocol
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -87,3 +88,27 @@ def query_set(questions: DataFrame, question: str, text: str, variants: DataFram
     n = F.row_number().over(W.partitionBy(question).orderBy("order"))
     more = variants.withColumn("__n", n).filter(F.col("__n") <= most).select(question, F.concat(F.lit("Q"), F.col("__n").cast("string")).alias("query_id"), F.col("text"), F.lit("variant").alias("origin"))
     return base.unionByName(more)
+
+
+class OcrProvider(Protocol):
+    """Recognises the text of a page image."""
+
+    def read(self, image: bytes) -> str: ...
+
+
+def recognise(pages: DataFrame, image: str, make: Callable[[], OcrProvider], out: str = "text") -> DataFrame:
+    """Pages with their recognised text; the provider is made once in each task, a page that fails gives null."""
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema)
+
+    def read(rows):
+        tool = make()
+        for pdf in rows:
+            said = []
+            for data in pdf[image]:
+                try:
+                    said.append(tool.read(bytes(data)) if data is not None else None)
+                except Exception:  # noqa: BLE001 - a page that cannot be read is reported by its null
+                    said.append(None)
+            yield pdf.assign(**{out: said})
+
+    return pages.mapInPandas(read, f"{columns}, `{out}` string")

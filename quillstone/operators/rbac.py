@@ -45,7 +45,7 @@ def overlaps(allowed: Column, roles: list[str]) -> Column:
 
 def visible(rows: DataFrame, allowed: str, roles: list[str]) -> DataFrame:
     """Rows that any of the roles may see."""
-    return rows.filter(overlaps(F.col(allowed), roles))
+    return rows.filter(overlaps(F.col(allowed), validate_roles(roles)))
 
 
 def visible_single(rows: DataFrame, allowed: str, role: str | None) -> DataFrame:

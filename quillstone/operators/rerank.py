@@ -71,3 +71,32 @@ def citation_check(answers: DataFrame, evidence: DataFrame, query_key: str, answ
     valid = F.filter("__used", lambda x: F.array_contains("__known", x))
     invalid = F.array_except("__used", "__known")
     return rows.select(*answers.columns, valid.alias("cited"), invalid.alias("unknown"), drop_labels(F.col(answer), invalid).alias("clean_answer"))
+
+
+def rerank_parents(parents: DataFrame, question: str, parent: str, logit: str, limit: int) -> DataFrame:
+    """The first `limit` parents by parent_rank with a model's score between 0 and 1, their new rank and the places gained.
+
+    Order: score down, former rank, id.
+    """
+    from .fusion import RANK_DIGITS
+
+    scored = parents.filter(F.col("parent_rank") <= limit).withColumn("parent_rerank_score", sigmoid(F.col(logit)))
+    order = W.partitionBy(question).orderBy(F.round("parent_rerank_score", RANK_DIGITS).desc(), "parent_rank", parent)
+    ranked = scored.withColumn("parent_rerank_rank", F.row_number().over(order))
+    return ranked.withColumn("parent_rank_change", F.col("parent_rank") - F.col("parent_rerank_rank"))
+
+
+def parent_gate(parents: DataFrame, min_score: float) -> DataFrame:
+    """Adds accepted (score at least the bound; null fails) and warned: an accepted parent whose place was inferred stays, with a warning."""
+    accepted = F.coalesce(F.col("parent_rerank_score") >= min_score, F.lit(False))
+    return parents.withColumn("accepted", accepted).withColumn("warned", accepted & F.coalesce(F.col("ambiguous"), F.lit(False)))
+
+
+def final_parents(parents: DataFrame, question: str, parent: str, logit: str, length: str, limit: int, top_k: int, min_score: float, most: int) -> DataFrame:
+    """Rerank, gate, the best top_k accepted ones, and the context budget once more over them in their new order."""
+    from .hierarchy import context_budget
+
+    accepted = parent_gate(rerank_parents(parents, question, parent, logit, limit), min_score).filter("accepted")
+    place = F.row_number().over(W.partitionBy(question).orderBy("parent_rerank_rank"))
+    kept = accepted.withColumn("final_parent_rank", place).filter(F.col("final_parent_rank") <= top_k)
+    return context_budget(kept, question, parent, "final_parent_rank", length, most)

@@ -120,3 +120,40 @@ def accept_variants(variants: DataFrame, originals: DataFrame, question: str, te
     number = F.sum(F.col("status").isNull().cast("int")).over(W.partitionBy(question).orderBy(order).rowsBetween(W.unboundedPreceding, 0))
     rows = rows.withColumn("status", F.when(F.col("status").isNotNull(), F.col("status")).when(number > most, "surplus").otherwise("accepted"))
     return rows.drop("__q", "__refs", "__n", "__first")
+
+
+def unique_headings(rows: DataFrame, key: str, text: str, least: int = 12, most: int = 110) -> DataFrame:
+    """Lower-cased headings of that many characters that a single row has: key, heading."""
+    from ..functions.text import heading_of
+
+    said = rows.select(F.col(key), F.lower(heading_of(F.col(text))).alias("heading")).filter(F.length("heading").between(least, most))
+    return said.groupBy("heading").agg(F.count("*").alias("__n"), F.min(key).alias(key)).filter("__n = 1").select(key, "heading")
+
+
+def long_texts(rows: DataFrame, key: str, text: str, tokens: int = 512, chars_per_token: int = 3) -> DataFrame:
+    """Rows whose text a model of so many tokens would probably cut: key, n_chars."""
+    return rows.select(F.col(key), F.length(text).alias("n_chars")).filter(F.col("n_chars") > tokens * chars_per_token)
+
+
+def with_metadata(content: DataFrame, metadata: DataFrame, key: str) -> DataFrame:
+    """Content rows with their metadata; those without keep nulls. A repeated metadata id counts once."""
+    return content.join(metadata.dropDuplicates([key]), key, "left")
+
+
+def running_sequence(pieces: DataFrame, doc: str, order: list[str], text: str, least: int) -> DataFrame:
+    """Pieces of enough trimmed characters with their number in their document, from 1."""
+    kept = pieces.withColumn(text, F.trim(text)).filter(F.length(text) >= least)
+    return kept.withColumn("seq", F.row_number().over(W.partitionBy(doc).orderBy(*order)))
+
+
+def in_hit_order(hits: DataFrame, rows: DataFrame, query: str, key: str, rank: str) -> DataFrame:
+    """The stored rows of hits by id, in the order of their rank; ids that are not stored drop out and leave no gap in place."""
+    found = hits.select(query, key, rank).join(rows, key)
+    return found.withColumn("place", F.row_number().over(W.partitionBy(query).orderBy(rank, key)))
+
+
+def domain_catalog(chunks: DataFrame, domains: DataFrame, doc: str, domain: str, unknown: str = "UNCLASSIFIED") -> DataFrame:
+    """Per domain: documents and chunks; documents without a domain count under the name given."""
+    per_doc = chunks.groupBy(doc).agg(F.count("*").alias("n"))
+    named = per_doc.join(domains.select(doc, domain).dropDuplicates([doc]), doc, "left").withColumn(domain, F.coalesce(domain, F.lit(unknown)))
+    return named.groupBy(domain).agg(F.count("*").alias("n_documents"), F.sum("n").alias("n_chunks"))

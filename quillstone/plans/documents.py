@@ -226,8 +226,7 @@ def round_robin_pick(spark, sf):
 
 
 def unique_headings(spark, sf):
-    rows = table(spark, sf, "documents").select("doc_id", F.lower(T.heading_of(F.col("text"))).alias("heading")).filter(F.length("heading").between(12, 110))
-    return rows.groupBy("heading").agg(F.count("*").alias("n"), F.min("doc_id").alias("doc_id")).filter("n = 1").select("doc_id", "heading")
+    return validation.unique_headings(table(spark, sf, "documents"), "doc_id", "text")
 
 
 def seeded_sample(spark, sf):
@@ -244,7 +243,7 @@ def variant_filter(spark, sf):
 
 
 def citation_labels(spark, sf):
-    answers = table(spark, sf, "benchmark").select("item_id", F.concat(F.substring("text", 1, 20), F.lit(" [E1] and [E2] or [E9] [E1]")).alias("answer"))
+    answers = table(spark, sf, "benchmark").select("item_id", F.concat("text", F.lit(" [E1] and [E2] or [E9] [E1]")).alias("answer"))
     evidence = table(spark, sf, "benchmark").select("item_id", F.explode(F.array(F.lit("E1"), F.lit("E2"), F.lit("E3"))).alias("label")).filter("label <> 'E2' OR item_id % 2 = 0")
     out = rerank.citation_check(answers, evidence, "item_id", "answer")
     return out.select("item_id", F.array_join("cited", ",").alias("cited"), F.array_join("unknown", ",").alias("unknown"), F.length("clean_answer").alias("n_chars"))
@@ -253,8 +252,7 @@ def citation_labels(spark, sf):
 def citation_build(spark, sf):
     title, number = F.concat(F.lit("Doc "), F.col("doc_id").cast("string")), F.when(F.col("doc_id") % 3 == 0, F.lit("")).otherwise(F.concat(F.lit("No "), F.col("doc_id").cast("string")))
     article, clause = F.when(F.col("doc_id") % 2 == 0, (F.col("doc_id") % 9).cast("string")).otherwise(""), F.when(F.col("doc_id") % 4 == 0, "p1").otherwise("2")
-    where = F.when(article != "", F.concat(F.lit("Điều "), article, F.when(clause.rlike(r"^\d+$"), F.concat(F.lit(" khoản "), clause)).otherwise("")))
-    said = F.concat_ws(" | ", F.nullif(title, F.lit("")), F.when((number != "") & ~F.contains(title, number), number), where, F.concat(F.lit("c"), F.col("doc_id").cast("string")))
+    said = T.citation(title, number, article, clause, F.concat(F.lit("c"), F.col("doc_id").cast("string")))
     return table(spark, sf, "documents").select("doc_id", said.alias("citation"))
 
 
@@ -305,7 +303,7 @@ _LEVELS = (
 _FIXED = "pieces AS (SELECT doc_id, s, substr(text, s + 1, 800) AS piece, length(text) AS n FROM documents, LATERAL (SELECT unnest(CASE WHEN length(text) = 0 THEN []::BIGINT[] WHEN length(text) <= 800 THEN [0] ELSE list_transform(range(0, ceil((length(text) - 800) / 680.0)::BIGINT + 1), lambda i: i * 680) END) AS s)), fixed AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY s)::INTEGER AS n, s AS start, least(s + 800, n) AS e, regexp_replace(piece, '^\\s+|\\s+$', '', 'g') AS piece FROM pieces WHERE regexp_matches(piece, '\\S'))"
 _GREEDY = "list_reduce({lens}, lambda s, x: {{'g': CASE WHEN s.u > 0 AND s.u + x.n > {most} THEN s.g + 1 ELSE s.g END, 'u': CASE WHEN s.u > 0 AND s.u + x.n > {most} THEN 0 ELSE s.u END + x.n + {gap}, 'n': 0::BIGINT, 'gs': list_append(s.gs, CASE WHEN s.u > 0 AND s.u + x.n > {most} THEN s.g + 1 ELSE s.g END)}}, {{'g': 1::BIGINT, 'u': 0::BIGINT, 'n': 0::BIGINT, 'gs': []::BIGINT[]}}).gs"
 _AS_STRUCT = "list_transform({list}, lambda y: {{'g': 0::BIGINT, 'u': 0::BIGINT, 'n': length(y)::BIGINT, 'gs': []::BIGINT[]}})"
-_HITS = "sized AS (SELECT conv_id % 10 AS question_id, conv_id AS parent_id, conv_id * 100 + turn AS child_id, length(text) AS size FROM conversations), hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY size DESC, child_id) AS rank FROM sized) WHERE rank <= 40)"
+_HITS = "sized AS (SELECT conv_id % n AS question_id, conv_id AS parent_id, conv_id * 100 + turn AS child_id, length(text) AS size FROM conversations, (SELECT greatest(10, ceil(count(DISTINCT conv_id) / 50))::BIGINT AS n FROM conversations)), hits AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY size DESC, child_id) AS rank FROM sized)"
 _SCORED = _HITS + ", ranked AS (SELECT *, row_number() OVER (PARTITION BY question_id, parent_id ORDER BY rank, child_id) AS r FROM hits), sc AS (SELECT question_id, parent_id, sum(CASE WHEN r <= 3 THEN 1.0 / (60 + rank) ELSE 0 END) AS score, min(rank) AS best_child_rank, min_by(child_id, r) AS anchor, count(*) AS n_children FROM ranked GROUP BY ALL), scored AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round(score, 9) DESC, best_child_rank, parent_id) AS parent_rank FROM sc)"
 _CHILDREN = _LINES + ", kids AS (SELECT conv_id % 50 AS source, conv_id || ':' || turn || ':' || (conv_id * 100 + turn) AS child_id, conv_id * 100 + turn AS num, turn, line, CASE WHEN turn % 5 = 0 THEN 'Chương ' || ((conv_id + turn) % 3) END AS mc, CASE WHEN turn % 5 = 1 AND conv_id % 2 = 0 THEN 'Điều ' || turn END AS ma, nullif(regexp_extract(line, '^(Chương \\d+)', 1), '') AS hc, nullif(regexp_extract(line, '^(Điều \\d+[a-zđ]?)\\.', 1), '') AS ha FROM lines), c1 AS (SELECT *, last_value(coalesce(mc, hc) IGNORE NULLS) OVER (PARTITION BY source ORDER BY num, child_id ROWS UNBOUNDED PRECEDING) AS chapter FROM kids), c2 AS (SELECT *, coalesce((lag(chapter) OVER (PARTITION BY source ORDER BY num, child_id) <> chapter)::INTEGER, 0) AS turned FROM c1), c3 AS (SELECT *, sum(turned) OVER (PARTITION BY source ORDER BY num, child_id ROWS UNBOUNDED PRECEDING) AS run FROM c2), c4 AS (SELECT *, last_value(coalesce(ma, ha) IGNORE NULLS) OVER (PARTITION BY source, run ORDER BY num, child_id ROWS UNBOUNDED PRECEDING) AS article FROM c3), res AS (SELECT *, CASE WHEN ma IS NOT NULL THEN 'metadata' WHEN ha IS NOT NULL THEN 'heading_inferred' WHEN article IS NOT NULL THEN 'carried_forward' ELSE 'document_fallback' END AS method FROM c4), kids2 AS (SELECT *, coalesce(mc <> hc, false) OR coalesce(ma <> ha, false) OR method IN ('carried_forward', 'document_fallback') AS ambiguous FROM res)"
 #: the tree of the lines: level, live path of slugs
@@ -355,15 +353,15 @@ ORACLES = {
     "key_overlap": "SELECT count(*) FILTER (d.doc_id IS NOT NULL AND l.doc_id IS NOT NULL) AS \"both\", count(*) FILTER (l.doc_id IS NULL) AS only_first, count(*) FILTER (d.doc_id IS NULL) AS only_second FROM (SELECT DISTINCT doc_id FROM documents) d FULL JOIN (SELECT DISTINCT doc_id FROM labels) l ON d.doc_id = l.doc_id",
     "round_robin_pick": "SELECT source, doc_id, round FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS round FROM documents) ORDER BY round, source, doc_id LIMIT 24",
     "unique_headings": "WITH h AS (SELECT doc_id, lower(regexp_replace(regexp_extract(text, '^([^\\n]*)', 1), '[.:]+\\s*$', '')) AS heading FROM documents) SELECT min(doc_id) AS doc_id, heading FROM h WHERE length(heading) BETWEEN 12 AND 110 GROUP BY heading HAVING count(*) = 1",
-    "citation_labels": "SELECT item_id, CASE WHEN item_id % 2 = 0 THEN 'E1,E2' ELSE 'E1' END AS cited, CASE WHEN item_id % 2 = 0 THEN 'E9' ELSE 'E2,E9' END AS unknown, length(trim(regexp_replace(substr(text, 1, 20) || CASE WHEN item_id % 2 = 0 THEN ' [E1] and [E2] or  [E1]' ELSE ' [E1] and  or  [E1]' END, '\\s+', ' ', 'g'))) AS n_chars FROM benchmark",
+    "citation_labels": "SELECT item_id, CASE WHEN item_id % 2 = 0 THEN 'E1,E2' ELSE 'E1' END AS cited, CASE WHEN item_id % 2 = 0 THEN 'E9' ELSE 'E2,E9' END AS unknown, length(trim(regexp_replace(text || CASE WHEN item_id % 2 = 0 THEN ' [E1] and [E2] or  [E1]' ELSE ' [E1] and  or  [E1]' END, '\\s+', ' ', 'g'))) AS n_chars FROM benchmark",
     "citation_build": "SELECT doc_id, concat_ws(' | ', 'Doc ' || doc_id, CASE WHEN doc_id % 3 <> 0 THEN 'No ' || doc_id END, CASE WHEN doc_id % 2 = 0 THEN 'Điều ' || (doc_id % 9) || CASE WHEN doc_id % 4 = 0 THEN '' ELSE ' khoản 2' END END, 'c' || doc_id) AS citation FROM documents",
     "stable_ids": "SELECT doc_id, 'P_' || substr(sha256(source || '||' || lang || '||1'), 1, 16) AS parent_id, substr(sha1(source || '::' || lang), 1, 16) AS tree_id, source || '_D' || (doc_id % 5) || CASE WHEN doc_id % 2 = 0 THEN 'K3' ELSE '' END || '_' || lpad((doc_id % 1000)::VARCHAR, 3, '0') AS chunk_id, CASE WHEN doc_id % 2 = 0 THEN source ELSE substr(sha1(lang), 1, 12) END AS document_id FROM documents",
     "numeric_suffix_order": "SELECT doc_id, row_number() OVER (ORDER BY doc_id % 9 = 0, CASE WHEN doc_id % 9 <> 0 THEN doc_id * 7919 % 10007 END, doc_id)::INTEGER AS place FROM documents",
     "fingerprint": "SELECT count(*) AS n_rows, sum(('0x' || substr(h, 1, 12))::BIGINT)::HUGEINT::VARCHAR AS digest_a, sum(('0x' || substr(h, 13, 12))::BIGINT)::HUGEINT::VARCHAR AS digest_b FROM (SELECT sha256(doc_id || ':' || length(text)) AS h FROM documents)",
-    "legal_refs": "WITH t AS (SELECT doc_id, lower(substr(text, 1, 200) || ' theo Điều  ' || (doc_id % 20) || 'a, khoản ' || (doc_id % 4) || ' và điều 3 điểm b.') AS t FROM documents) SELECT doc_id, array_to_string(list_sort(list_distinct(list_transform(list_concat(regexp_extract_all(t, 'điều\\s+\\d+[a-zđ]?'), regexp_extract_all(t, 'khoản\\s+\\d+'), regexp_extract_all(t, 'điểm\\s+[a-zđ]')), lambda r: regexp_replace(r, '\\s+', ' ', 'g')))), ',') AS refs FROM t",
+    "legal_refs": "WITH t AS (SELECT doc_id, lower(text || ' theo Điều  ' || (doc_id % 20) || 'a, khoản ' || (doc_id % 4) || ' và điều 3 điểm b.') AS t FROM documents) SELECT doc_id, array_to_string(list_sort(list_distinct(list_transform(list_concat(regexp_extract_all(t, 'điều\\s+\\d+[a-zđ]?'), regexp_extract_all(t, 'khoản\\s+\\d+'), regexp_extract_all(t, 'điểm\\s+[a-zđ]')), lambda r: regexp_replace(r, '\\s+', ' ', 'g')))), ',') AS refs FROM t",
     "normalize_dedupe": "SELECT doc_id, md5(trim(regexp_replace(regexp_replace(lower(text), '[^\\p{L}\\p{N}\\s]', ' ', 'g'), '\\s+', ' ', 'g'))) AS digest FROM documents",
     "display_fields": "SELECT doc_id, CASE WHEN length(text) > 80 THEN rtrim(substr(text, 1, 80)) || '...' ELSE text END AS snippet, CASE WHEN doc_id % 2 = 0 THEN 'p. ' || (doc_id % 5) ELSE 'p. ' || (doc_id % 5) || '-' || (doc_id % 5 + 1) END AS pages, CASE WHEN doc_id % 7 > doc_id % 4 THEN '↑' || (doc_id % 7 - doc_id % 4) WHEN doc_id % 7 < doc_id % 4 THEN '↓' || (doc_id % 4 - doc_id % 7) ELSE '=' END AS arrow FROM documents",
-    "variant_filter": "WITH o AS (SELECT conv_id, text AS q FROM conversations WHERE turn = 0), v AS (SELECT c.conv_id, turn, q, CASE WHEN turn = 1 THEN q WHEN turn % 3 = 0 THEN 'điều 99' ELSE substr(text, 1, 60) END AS t FROM conversations c JOIN o USING (conv_id) WHERE turn > 0), n AS (SELECT *, trim(regexp_replace(regexp_replace(lower(t), '[^\\p{L}\\p{N}\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS k, trim(regexp_replace(regexp_replace(lower(q), '[^\\p{L}\\p{N}\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS kq FROM v), f AS (SELECT *, row_number() OVER (PARTITION BY conv_id, k ORDER BY turn) AS first FROM n), s AS (SELECT conv_id, turn, CASE WHEN length(trim(t)) NOT BETWEEN 5 AND 400 THEN 'length' WHEN k = kq OR first > 1 THEN 'duplicate' WHEN t = 'điều 99' THEN 'invented_reference' END AS status FROM f) SELECT conv_id, turn, coalesce(status, CASE WHEN sum((status IS NULL)::INTEGER) OVER (PARTITION BY conv_id ORDER BY turn) > 2 THEN 'surplus' ELSE 'accepted' END) AS status FROM s",
+    "variant_filter": "WITH o AS (SELECT conv_id, text AS q FROM conversations WHERE turn = 0), v AS (SELECT c.conv_id, turn, q, CASE WHEN turn = 1 THEN q WHEN turn % 3 = 0 THEN 'điều 99' ELSE text END AS t FROM conversations c JOIN o USING (conv_id) WHERE turn > 0), n AS (SELECT *, trim(regexp_replace(regexp_replace(lower(t), '[^\\p{L}\\p{N}\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS k, trim(regexp_replace(regexp_replace(lower(q), '[^\\p{L}\\p{N}\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS kq FROM v), f AS (SELECT *, row_number() OVER (PARTITION BY conv_id, k ORDER BY turn) AS first FROM n), s AS (SELECT conv_id, turn, CASE WHEN length(trim(t)) NOT BETWEEN 5 AND 400 THEN 'length' WHEN k = kq OR first > 1 THEN 'duplicate' WHEN t = 'điều 99' THEN 'invented_reference' END AS status FROM f) SELECT conv_id, turn, coalesce(status, CASE WHEN sum((status IS NULL)::INTEGER) OVER (PARTITION BY conv_id ORDER BY turn) > 2 THEN 'surplus' ELSE 'accepted' END) AS status FROM s",
 }
 
 # "at" is a keyword in DuckDB

@@ -119,5 +119,5 @@ ORACLES = {
     "tenant_delete": "SELECT doc_id, source FROM documents WHERE source <> 'src3' OR source IS NULL",
     "wiki_pages": "WITH e AS (SELECT 'n' || n_nationkey AS id, n_name AS name, 'Chua co du lieu.' AS note, '- PART_OF: [[r' || r_regionkey || '|' || r_name || ']]' AS links FROM nation JOIN region ON r_regionkey = n_regionkey UNION ALL SELECT 'r' || r_regionkey, r_name, 'region', 'Chua co du lieu.' FROM region) SELECT id, md5(concat_ws(chr(10), '---', 'id: ' || id, '---', '# ' || name, '**note**: ' || note, '## Links', links)) AS digest, id AS front_id FROM e",
     "wiki_faults": "WITH l AS (SELECT 'n' || n_nationkey AS page, unnest(['n' || (n_nationkey * 2), 'missing' || (n_nationkey % 3)]) AS target FROM nation), p AS (SELECT 'n' || n_nationkey AS page FROM nation) SELECT 'broken_link' AS fault, page, target FROM l WHERE target NOT IN (SELECT page FROM p) UNION ALL SELECT 'orphan_page', page, NULL FROM p WHERE page NOT IN (SELECT target FROM l)",
-    "context_search": "WITH RECURSIVE s AS (SELECT q.vec_id AS query_id, v.vec_id, v.label AS doc, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS similarity FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0), n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM s) WHERE rank <= 200), d AS (SELECT * FROM n WHERE rank <= 5), e AS (SELECT DISTINCT label AS a, label + 1 AS b FROM embeddings WHERE (label + 1) % 4 <> 0), b AS (SELECT a, b FROM e UNION SELECT b, a FROM e), w AS (SELECT DISTINCT query_id, doc AS node, 0 AS hop FROM d UNION SELECT query_id, b.b, hop + 1 FROM w JOIN b ON node = b.a WHERE hop < 2), m AS (SELECT query_id, node AS doc, min(hop) AS hop FROM w GROUP BY ALL HAVING min(hop) > 0), f AS (SELECT * FROM (SELECT n.query_id, n.vec_id, n.doc, m.hop, n.similarity, row_number() OVER (PARTITION BY n.query_id, n.doc ORDER BY similarity DESC, vec_id) AS r FROM n JOIN m ON m.query_id = n.query_id AND m.doc = n.doc) WHERE r <= 2) SELECT query_id, vec_id, doc, 0 AS hop, similarity FROM d UNION ALL SELECT query_id, vec_id, doc, hop, similarity FROM f",
+    "context_search": "WITH RECURSIVE s AS (SELECT q.vec_id AS query_id, v.vec_id, v.label AS doc, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS similarity FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0), n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM s)), d AS (SELECT * FROM n WHERE rank <= 5), e AS (SELECT DISTINCT label AS a, label + 1 AS b FROM embeddings WHERE (label + 1) % 4 <> 0), b AS (SELECT a, b FROM e UNION SELECT b, a FROM e), w AS (SELECT DISTINCT query_id, doc AS node, 0 AS hop FROM d UNION SELECT query_id, b.b, hop + 1 FROM w JOIN b ON node = b.a WHERE hop < 2), m AS (SELECT query_id, node AS doc, min(hop) AS hop FROM w GROUP BY ALL HAVING min(hop) > 0), f AS (SELECT * FROM (SELECT n.query_id, n.vec_id, n.doc, m.hop, n.similarity, row_number() OVER (PARTITION BY n.query_id, n.doc ORDER BY similarity DESC, vec_id) AS r FROM n JOIN m ON m.query_id = n.query_id AND m.doc = n.doc) WHERE r <= 2) SELECT query_id, vec_id, doc, 0 AS hop, similarity FROM d UNION ALL SELECT query_id, vec_id, doc, hop, similarity FROM f",
 }

@@ -199,7 +199,6 @@ def _oracles() -> dict[str, str]:
         "best_match": f"WITH {best} SELECT item_id, doc_id, round(score, 6) AS score FROM benchmark LEFT JOIN lex USING (item_id)",
         "document_class": "SELECT doc_id, CASE WHEN doc_id % 4 = 1 OR doc_id % 5 = 0 THEN 'INTERNAL_POLICY' WHEN doc_id % 4 = 0 THEN 'EXTERNAL_REQUIREMENT' ELSE 'UNKNOWN' END AS class, CASE doc_id % 3 WHEN 0 THEN 'Luật' WHEN 1 THEN 'Thông tư' END AS type FROM documents",
         "risk_level": "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'MEDIUM' ELSE 'LOW' END AS risk_level FROM documents",
-        "checklist": "WITH r AS (SELECT doc_id, text, row_number() OVER (ORDER BY doc_id % 100, doc_id) AS n FROM documents WHERE doc_id % 100 IN (0, 1)) SELECT 'CHK_KHO_' || lpad(n::VARCHAR, 2, '0') AS item_id, 'LOW' AS risk_level, 'c' || doc_id AS source_citation, length('Does the unit comply with: \"' || CASE WHEN length(trim(text)) > 220 THEN rtrim(substr(trim(text), 1, 220)) || '...' ELSE trim(text) END || '\"?') AS n_chars FROM r",
         "unknown_citations": "SELECT doc_id * 2 AS citation FROM labels WHERE doc_id * 2 NOT IN (SELECT doc_id FROM documents)",
         "class_examples": "SELECT source, doc_id, example FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS example FROM documents) WHERE example <= 5",
         "gap_report": f"WITH {_POL}, bq AS (SELECT item_id, text || ' tối thiểu 9 %' AS text FROM benchmark), {best.replace('FROM documents', 'FROM pol').replace('FROM benchmark', 'FROM bq')}, m AS (SELECT item_id, f FROM bq LEFT JOIN lex USING (item_id) LEFT JOIN pol USING (doc_id)), c AS (SELECT CASE WHEN f IS NULL THEN 'CHUA_DU_BANG_CHUNG' WHEN f >= 9 THEN 'DAP_UNG' ELSE 'CHENH_LECH' END AS k FROM m) SELECT k AS classification, (SELECT count(*) FROM c WHERE c.k = u.k) AS n FROM unnest(['DAP_UNG', 'CHENH_LECH', 'THIEU', 'CHUA_DU_BANG_CHUNG']) u(k)",

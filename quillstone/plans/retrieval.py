@@ -169,13 +169,13 @@ def bm25_sql(tokens: str = _TOKENS, docs: str = "documents", fill: bool = True,
     own = tokens.format(text="text")
     zero = f"UNION ALL SELECT item_id, doc_id, 0.0 FROM benchmark, (SELECT doc_id FROM {docs} ORDER BY doc_id LIMIT {k})" if fill else ""
     return f"""
-sizes AS (SELECT doc_id, {own} AS toks FROM {docs}),
-post AS (SELECT doc_id, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT doc_id, len(toks) AS dl, unnest(toks) AS term FROM sizes) GROUP BY ALL),
+sizes AS MATERIALIZED (SELECT doc_id, {own} AS toks FROM {docs}),
+post AS MATERIALIZED (SELECT doc_id, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT doc_id, len(toks) AS dl, unnest(toks) AS term FROM sizes) GROUP BY ALL),
 tot AS (SELECT count(*) AS n, avg(len(toks)) AS av FROM sizes),
-raw AS (SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf, ln((SELECT n FROM tot) - count(*) + 0.5) - ln(count(*) + 0.5) AS r FROM post GROUP BY term),
-terms AS (SELECT term, df, cf, CASE WHEN r < 0 THEN 0.25 * (SELECT avg(r) FROM raw) ELSE r END AS idf FROM raw),
+raw AS MATERIALIZED (SELECT term, df, cf, ln(n - df + 0.5) - ln(df + 0.5) AS r FROM (SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM post GROUP BY term), tot),
+terms AS (SELECT term, df, cf, CASE WHEN r < 0 THEN 0.25 * m ELSE r END AS idf FROM raw, (SELECT avg(r) AS m FROM raw)),
 asked AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({own}) AS term FROM benchmark) GROUP BY ALL),
-scored AS (SELECT item_id, doc_id, sum(times * idf * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / (SELECT av FROM tot)))) AS score FROM post JOIN asked USING (term) JOIN terms USING (term) GROUP BY ALL),
+scored AS (SELECT item_id, doc_id, sum(times * idf * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / av))) AS score FROM post JOIN asked USING (term) JOIN terms USING (term), tot GROUP BY ALL),
 padded AS (SELECT item_id, doc_id, max(score) AS score FROM (SELECT * FROM scored {zero}) GROUP BY ALL),
 lex AS (SELECT * FROM (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM padded) WHERE rank <= {k} {"AND score > 0" if positive else ""})"""
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -116,10 +117,10 @@ def answer_status(found: DataFrame, questions: DataFrame, query: str, answers: D
     return rows.select(query, F.coalesce("n_accepted", F.lit(0)).alias("n_accepted"), status.alias("status"))
 
 
-def context_block(found: DataFrame, c: Corpus, most: int = 2000) -> DataFrame:
-    """Per question the accepted evidence as one delimited text, in label order."""
+def context_block(found: DataFrame, c: Corpus) -> DataFrame:
+    """Per question the accepted evidence, whole, as one delimited text, in label order."""
     rows = found.filter("accepted").join(c.chunks.select(c.key, c.text), c.key)
-    piece = F.concat(F.lit("["), "label", F.lit("] "), F.substring(c.text, 1, most))
+    piece = F.concat(F.lit("["), "label", F.lit("] "), c.text)
     return rows.groupBy(c.query).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", piece.alias("p")))), lambda x: x["p"]), "\n---\n").alias("context"))
 
 
@@ -138,11 +139,131 @@ def parent_retrieval(hits: DataFrame, children: DataFrame, parents: DataFrame, q
 
 def secure_search(c: Corpus, allowed: str, roles: list[str], cfg: SearchConfig = SearchConfig()) -> DataFrame:
     """Hybrid search over what the roles may see: term statistics come from the permitted rows alone; vectors are filtered before ranking; the result is checked once more."""
-    permitted = rbac.visible(c.chunks, allowed, roles)
-    vectors = c.vectors.join(permitted.select(c.key), c.key, "left_semi")
-    own = Corpus(permitted, vectors, c.questions, c.query_vectors, c.key, c.query, c.text, c.vector)
-    fused = fusion.fuse(lexical(own, cfg.candidate_k, "code"), semantic(own, cfg.candidate_k), c.query, c.key, cfg.rrf_k).filter(F.col("fused_rank") <= cfg.top_k)
-    return rbac.post_filter(fused, c.chunks, c.key, allowed, roles)
+    return secure_retrieve(c, allowed, roles, "hybrid", cfg)
+
+
+SECURE_METHODS = ["bm25", "dense", "hybrid", "hybrid_rerank"]
+
+
+def permitted_corpus(c: Corpus, allowed: str, roles: list[str]) -> Corpus:
+    """The corpus as the roles see it: chunks and vectors that none of them may see are not in it."""
+    permitted = rbac.visible(c.chunks, allowed, rbac.validate_roles(roles))
+    return Corpus(permitted, c.vectors.join(permitted.select(c.key), c.key, "left_semi"), c.questions, c.query_vectors, c.key, c.query, c.text, c.vector)
+
+
+def secure_retrieve(c: Corpus, allowed: str, roles: list[str], method: str = "hybrid_rerank", cfg: SearchConfig = SearchConfig()) -> DataFrame:
+    """query, key, rank, score over what the roles may see, filtered before any scoring, before reranking and once more at the end.
+
+    Unknown roles and methods are errors.
+    """
+    if method not in SECURE_METHODS:
+        raise ValueError(f"unknown method: {method}")
+    own = permitted_corpus(c, allowed, roles)
+    if method == "bm25":
+        rows = lexical(own, cfg.top_k, "code").select(c.query, c.key, "rank", "score")
+    elif method == "dense":
+        rows = semantic(own, cfg.top_k).select(c.query, c.key, "rank", F.col("similarity").alias("score"))
+    else:
+        fused = fusion.fuse_by_id(lexical(own, cfg.candidate_k, "code"), semantic(own, cfg.candidate_k), c.query, c.key, cfg.rrf_k)
+        if method == "hybrid":
+            rows = fused.filter(F.col("fused_rank") <= cfg.top_k).select(c.query, c.key, F.col("fused_rank").alias("rank"), F.col("rrf_score").alias("score"))
+        else:
+            safe = rbac.post_filter(fused.filter(F.col("fused_rank") <= cfg.candidate_k), c.chunks, c.key, allowed, roles)
+            texts = safe.join(own.chunks.select(c.key, F.col(c.text).alias("chunk_text")), c.key).join(c.questions.select(c.query, F.col(c.text).alias("question_text")), c.query)
+            scored = rerank.lexical_scores(texts, own.chunks, c.key, "question_text", "chunk_text", c.text)
+            best = rerank.rerank(scored, c.query, c.key, "rerank_score", "fused_rank", cfg.candidate_k, cfg.top_k)
+            rows = best.select(c.query, c.key, F.col("final_rank").alias("rank"), F.col("rerank_score").alias("score"))
+    return rbac.post_filter(rows, c.chunks, c.key, allowed, roles)
+
+
+def secure_statistics(c: Corpus, allowed: str, roles: list[str], cfg: SearchConfig = SearchConfig()) -> DataFrame:
+    """Per question: chunks visible and hidden, and how many of the unrestricted best candidates the roles may not see."""
+    seen = rbac.overlaps(F.col(allowed), rbac.validate_roles(roles))
+    counts = c.chunks.agg(F.count_if(seen).alias("n_visible"), F.count_if(~seen).alias("n_hidden"))
+    first = lexical(c, cfg.candidate_k, "code").select(c.query, c.key).join(c.chunks.select(c.key, allowed), c.key)
+    n = rbac.rejected(first, allowed, c.query, roles)
+    return c.questions.select(c.query).join(n, c.query, "left").select(c.query, F.coalesce("n_rejected", F.lit(0)).alias("n_rejected")).crossJoin(F.broadcast(counts))  # one row
+
+
+def leak_audit(c: Corpus, allowed: str, cases: list[tuple[str, object, object, list[str], list[str]]], cfg: SearchConfig = SearchConfig(), methods: list[str] = SECURE_METHODS) -> DataFrame:
+    """Per case and method: whether the target shows up for roles that may not see it, and its rank for those that may.
+
+    cases: (name, question, target, roles without access, roles with access), a short list.
+    """
+    spark, parts = c.chunks.sparkSession, []
+    kinds = f"case string, {c.query} {c.questions.schema[c.query].dataType.simpleString()}, {c.key} {c.chunks.schema[c.key].dataType.simpleString()}, outsider boolean"
+    if not cases:
+        return spark.createDataFrame([], "case string, method string, leaked boolean, authorized_rank int")
+    for roles in sorted({tuple(x[3]) for x in cases} | {tuple(x[4]) for x in cases}):
+        own = [(name, question, target, roles == tuple(without)) for name, question, target, without, with_access in cases if roles in (tuple(without), tuple(with_access))]
+        asked = F.broadcast(spark.createDataFrame(own, kinds))  # a row for each case
+        for method in methods:
+            found = secure_retrieve(c, allowed, list(roles), method, cfg)
+            parts.append(asked.join(found.select(c.query, c.key, "rank"), [c.query, c.key], "left").select("case", F.lit(method).alias("method"), "outsider", "rank"))
+    rows = reduce(DataFrame.unionByName, parts)
+    return rows.groupBy("case", "method").agg(F.max(F.col("outsider") & F.col("rank").isNotNull()).alias("leaked"), F.min(F.when(~F.col("outsider"), F.col("rank"))).alias("authorized_rank"))
+
+
+NO_CONTEXT = "Không tìm thấy đủ thông tin trong phạm vi tài liệu được phép truy cập."
+
+
+def extractive_answers(found: DataFrame, questions: DataFrame, query: str, citation: str, text: str) -> DataFrame:
+    """Per question its evidence quoted in rank order, one line for each; a fixed sentence where there is none."""
+    from ..functions.text import quotation
+
+    lines = found.groupBy(query).agg(F.array_sort(F.collect_list(F.struct("rank", quotation(F.col(citation), F.col(text)).alias("line")))).alias("__l"))
+    said = F.array_join(F.transform("__l", lambda x: x["line"]), "\n")
+    return questions.select(query).join(lines, query, "left").select(query, F.coalesce(said, F.lit(NO_CONTEXT)).alias("answer"), F.coalesce(F.size("__l"), F.lit(0)).alias("n_evidence"))
+
+
+def internal_lookup(c: Corpus, allowed: str, roles: list[str], citation: str, user: str = "demo_user", cfg: SearchConfig = SearchConfig(), method: str = "hybrid_rerank") -> tuple[DataFrame, DataFrame]:
+    """(answers, audit events): per question an extractive answer over what the roles may see; unknown roles are DENIED, answered with the fixed sentence and logged."""
+    try:
+        roles = rbac.validate_roles(roles)
+    except ValueError as e:
+        answers = c.questions.select(c.query, F.lit(NO_CONTEXT).alias("answer"), F.lit(0).alias("n_evidence"), F.lit("DENIED").alias("status"))
+        keys, reason = F.array().cast("array<string>"), F.lit(str(e))
+        return answers, _audit(answers.withColumn("keys", keys), c.query, user, roles, method, reason)
+    found = secure_retrieve(c, allowed, roles, method, cfg).join(c.chunks.select(c.key, F.col(c.text).alias("__text"), F.col(citation).alias("__citation")), c.key)
+    answers = extractive_answers(found, c.questions, c.query, "__citation", "__text").withColumn("status", F.lit("SUCCESS"))
+    keys = found.groupBy(c.query).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", c.key))), lambda x: x[c.key].cast("string")).alias("keys"))
+    return answers, _audit(answers.join(keys, c.query, "left"), c.query, user, roles, method, F.lit(None).cast("string"))
+
+
+def _audit(rows: DataFrame, query: str, user: str, roles: list[str], method: str, reason) -> DataFrame:
+    held = F.coalesce("keys", F.array().cast("array<string>"))
+    return rows.select(F.lit(user).alias("user_id_demo"), F.array(*map(F.lit, roles)).cast("array<string>").alias("user_role"), F.lit("internal_lookup").alias("action"), F.col(query).cast("string").alias("query"), F.lit(method).alias("retrieval_method"), held.alias("retrieved_chunk_ids"), "status", reason.alias("reason"))
+
+
+def ask(c: Corpus, cfg: SearchConfig = SearchConfig(), answers: DataFrame | None = None) -> DataFrame:
+    """Baseline questions: nearest chunks, gate by distance, status and the delimited context of what was accepted."""
+    found = evidence(c, "semantic", cfg)
+    return answer_status(found, c.questions, c.query, answers).join(context_block(found, c), c.query, "left")
+
+
+def status(c: Corpus) -> DataFrame:
+    """One row: chunks, vectors, and chunks without a vector."""
+    bare = c.chunks.select(c.key).join(c.vectors.select(c.key), c.key, "left_anti").agg(F.count("*").alias("n_missing"))
+    return c.chunks.agg(F.count("*").alias("n_chunks")).crossJoin(c.vectors.agg(F.count("*").alias("n_vectors"))).crossJoin(bare)  # one row each
+
+
+def hierarchical_modes(c: Corpus, variants: DataFrame, children: DataFrame, parents: DataFrame, question: str, cfg: SearchConfig = SearchConfig()) -> DataFrame:
+    """mode, question, n_hits, n_parents, context_chars for single or several queries of a question, flat or by parents.
+
+    variants: question, query (whose first is the question itself); children: key, parent_id, char_count; parents: parent_id, char_count.
+    """
+    hits = hybrid(c, cfg).filter(F.col("fused_rank") <= cfg.candidate_k).join(variants, c.query)
+    first = variants.groupBy(question).agg(F.min(c.query).alias(c.query))
+    single = hits.join(first, [question, c.query], "left_semi").select(question, c.key, F.col("fused_rank").alias("rank"))
+    multi = fusion.fuse_queries(hits, question, c.query, c.key, k=cfg.rrf_k).select(question, c.key, F.col("multi_query_rank").alias("rank"))
+    parts = []
+    for name, found in (("single", single), ("multi", multi)):
+        flat = found.filter(F.col("rank") <= cfg.top_k).join(children.select(c.key, "parent_id", "char_count"), c.key)
+        counted = (F.count("*").alias("n_hits"), F.countDistinct("parent_id").alias("n_parents"))
+        parts.append(flat.groupBy(question).agg(*counted, F.sum("char_count").cast("long").alias("context_chars")).withColumn("mode", F.lit(f"{name}_flat")))
+        placed = parent_retrieval(found, children, parents, question, c.key, "rank", cfg).filter("selected")
+        parts.append(placed.groupBy(question).agg(F.sum("n_children").alias("n_hits"), F.count("*").alias("n_parents"), F.sum("char_count").cast("long").alias("context_chars")).withColumn("mode", F.lit(f"{name}_parent")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def expand_context(direct: DataFrame, chunks: DataFrame, edges: DataFrame, query: str, key: str, doc: str, score: DataFrame, hops: int, per_doc: int) -> DataFrame:

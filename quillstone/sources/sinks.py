@@ -103,3 +103,26 @@ def encrypt(c: Column, key: Column) -> Column:
 
 def decrypt(c: Column, key: Column) -> Column:
     return F.aes_decrypt(F.unbase64(c), key, F.lit("GCM")).cast("string")
+
+
+def write_evaluation(rows: DataFrame, path: str, required: list[str]) -> str:
+    """A report in a folder of its own, and only then the pointer latest.txt to it: a failed run leaves the last good one in place."""
+    import uuid
+
+    missing = set(required) - set(rows.columns)
+    if missing:
+        raise ValueError(f"the report lacks {sorted(missing)}")
+    spark, name = rows.sparkSession, f"report-{uuid.uuid4().hex[:12]}"
+    rows.write.json(f"{path}/{name}")
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    out = fs.create(hadoop.Path(f"{path}/latest.txt"), True)
+    out.writeBytes(name)
+    out.close()
+    return f"{path}/{name}"
+
+
+def latest_evaluation(spark: SparkSession, path: str) -> DataFrame:
+    """The report that latest.txt names."""
+    name = spark.read.text(f"{path}/latest.txt").first()["value"]
+    return spark.read.json(f"{path}/{name}")

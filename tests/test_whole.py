@@ -1,37 +1,7 @@
-"""Queries that read more than their registered SQL does, against that SQL without its cuts."""
-
-import os
-
-import duckdb
-import pytest
+"""Queries over whole tables and whole texts."""
 
 from quillstone.plans import catalog
 
-from test_catalog import norm
-
-#: query: cuts of the registered SQL and what stands in their place
-WHOLE = {
-    "legal_refs": {"substr(text, 1, 200)": "text"},
-    "variant_filter": {"substr(text, 1, 60)": "text"},
-} | dict.fromkeys(("parent_score", "child_to_parent", "context_budget", "context_expansion"), {" WHERE rank <= 40": ""})
-
-
-@pytest.mark.parametrize("name", sorted(WHOLE))
-def test_whole(spark, name):
-    sf = "/root/testdata/sf0.01"
-    sql = catalog.ORACLES[name]
-    for cut, whole in WHOLE[name].items():
-        sql = sql.replace(cut, whole)
-    con = duckdb.connect()
-    for p in os.listdir(sf):
-        con.execute(f"CREATE VIEW {p[:-8]} AS SELECT * FROM '{sf}/{p}'")
-    df = catalog.QUERIES[name](spark, sf)
-    columns = sorted(df.columns)
-    found = con.execute(sql)
-    names = [d[0] for d in found.description]
-    assert sorted(tuple(norm(r[c]) for c in columns) for r in df.collect()) == sorted(tuple(norm(r[names.index(c)]) for c in columns) for r in found.fetchall())
-
-
 def test_questions_grow_with_the_conversations(spark, tmp_path):
     rows = [(c, t, "x" * (1 + (c * 7 + t) % 90)) for c in range(1200) for t in range(3)]
     spark.createDataFrame(rows, "conv_id long, turn int, text string").write.parquet(f"{tmp_path}/conversations.parquet")
