@@ -260,14 +260,17 @@ def plan_sequences(counts: dict[int, int], capacity: int = CAPACITY) -> Plan:
             if 10 * sum(less.values()) > 9 * sum(left.values()):
                 break
             plan, left = plan + more, less
+        done = plan.total() + full
         ends = {"fitted": Counter(dict(best_fit(left, capacity)))}
-        if sum(left.values()) <= LAST:
+        if sum(left.values()) <= LAST and done + ends["fitted"].total() > bound:
             pieces, ends["priced"] = [s for s in sorted(left) for _ in range(left[s])], Counter()
             while pieces:
                 ends["priced"][tuple(sorted(Counter(priced(pieces, capacity)).items(), reverse=True))] += 1
         for name, end in ends.items():
             origin = {"full": full, "program": plan.total(), "priced": 0, "fitted": 0} | {name: end.total()}
             found.append(Plan(list((Counter(start) + plan + end).items()), origin, bound))
+        if min(x.sequences for x in found) == bound:
+            break  # none can be smaller
     return min(found, key=lambda x: (x.sequences, -x.origin["program"]))
 
 
