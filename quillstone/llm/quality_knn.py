@@ -1,8 +1,8 @@
 """Quality by nearest-neighbour voting over labelled latent-semantic vectors.
 
-A text's terms are its byte-class trigrams (letters, capitals, digits, spaces, line ends and each sign are classes) and a few
-measures of repetition. Weighted by log count and inverse document frequency, a truncated singular value decomposition of a
-bounded sample of labelled texts gives latent vectors. The sample's vectors are broadcast (their number is a parameter); every
+A text's terms are its words (hashed), its byte-class trigrams (letters, capitals, digits, spaces, line ends and each sign are
+classes) and a few measures of repetition. Weighted by log count and inverse document frequency, a truncated singular value
+decomposition of a bounded sample of labelled texts gives latent vectors. The sample's vectors are broadcast (their number is a parameter); every
 text's cosine with all of them is computed exactly in blocks, and its nearest neighbours vote with their similarity.
 
 Only labelled rows that are not held out are learnt from; language, source, id and label of a text are never inputs of its
@@ -24,8 +24,12 @@ from .common import SPACE_TABLE, Hasher, batches, chunks, fresh
 
 #: Most labelled texts that the model holds; with more labels, those of the smallest hashes of their id.
 MAX_LABELLED = 4000
-#: Trigram buckets, latent dimensions, neighbours that vote, power of the similarity in a vote.
-BUCKETS, DIMENSIONS, NEIGHBOURS, POWER = 2039, 48, 15, 6
+#: Buckets of class trigrams and of words, and the words' weight beside the trigrams' unit norm.
+BUCKETS, WORDS, WORD_WEIGHT = 2039, 2048, 0.5
+#: Latent dimensions, neighbours that vote, power of the similarity in a vote.
+DIMENSIONS, NEIGHBOURS, POWER = 48, 15, 6
+#: Texts whose vectors are made at a time.
+BLOCK = 500
 THRESHOLD = 0.7
 #: Weights of the measures of repetition beside the trigrams' unit norm.
 _SHAPES = 6
@@ -34,8 +38,8 @@ _HASHER = Hasher(8)
 
 
 def text_terms(texts: list) -> np.ndarray:
-    """Term counts of each text, then its measures of repetition, as one row each."""
-    out = np.zeros((len(texts), BUCKETS + _SHAPES), dtype=np.float32)
+    """Logarithmic counts of each text's trigrams and words, then its measures of repetition, as one row each."""
+    out = np.zeros((len(texts), BUCKETS + WORDS + _SHAPES), dtype=np.float32)
     for first, low, start, end, bound in chunks(texts, SPACE_TABLE):
         words = _HASHER.words(low, start, end)
         for k in range(len(bound) - 1):
@@ -47,9 +51,11 @@ def text_terms(texts: list) -> np.ndarray:
             if len(c) > 2:
                 out[first + k, :BUCKETS] = np.bincount((c[:-2] * 2209 + c[1:-1] * 47 + c[2:]) % BUCKETS, minlength=BUCKETS)
             w, n = words[a:b], b - a
+            out[first + k, BUCKETS : BUCKETS + WORDS] = np.bincount((w % np.uint64(WORDS)).astype(np.int64), minlength=WORDS)
+            np.log1p(out[first + k], out=out[first + k])
             _, counts = np.unique(w, return_counts=True)
             pairs = np.unique(w[:-1] * np.uint64(3) + w[1:]).size / max(1, n - 1)
-            out[first + k, BUCKETS:] = (
+            out[first + k, BUCKETS + WORDS :] = (
                 (w[1:] == w[:-1]).mean() if n > 1 else 0,
                 (w[2:] == w[:-2]).mean() if n > 2 else 0,
                 1 - pairs if n > 1 else 0,
@@ -63,11 +69,13 @@ def text_terms(texts: list) -> np.ndarray:
 class Model:
     """What is broadcast: term weights, projection and the labelled vectors."""
 
-    def __init__(self, counts: np.ndarray, labels: np.ndarray, seed: int = 8):
+    def __init__(self, terms: np.ndarray, labels: np.ndarray, seed: int = 8):
         self.labels = labels.astype(np.float32)
-        seen = (counts[:, :BUCKETS] > 0).sum(axis=0)
-        self.idf = np.log((1 + len(counts)) / (1 + seen)).astype(np.float32) + 0.1
-        x = self.weigh(counts)
+        seen = (terms[:, : BUCKETS + WORDS] > 0).sum(axis=0)
+        self.idf = np.log((1 + len(terms)) / (1 + seen)).astype(np.float32) + 0.1
+        x = np.empty(terms.shape, dtype=np.float32)
+        for at in range(0, len(terms), BLOCK):
+            x[at : at + BLOCK] = self.weigh(terms[at : at + BLOCK])
         rng = np.random.default_rng(seed)
         size = min(DIMENSIONS, *x.shape)
         q = np.linalg.qr(x @ rng.standard_normal((x.shape[1], min(size + 12, x.shape[1]))).astype(np.float32))[0]
@@ -75,26 +83,29 @@ class Model:
             q = np.linalg.qr(x @ np.linalg.qr(x.T @ q)[0])[0]
         _, s, vt = np.linalg.svd(q.T @ x, full_matrices=False)
         self.projection = np.ascontiguousarray(vt[:size].T)
-        self.vectors = self.place(counts)
-
-    def weigh(self, counts: np.ndarray) -> np.ndarray:
-        x = np.log1p(counts[:, :BUCKETS]) * self.idf
-        norm = np.linalg.norm(x, axis=1, keepdims=True)
-        return np.hstack([x / np.where(norm > 0, norm, 1), counts[:, BUCKETS:]]).astype(np.float32)
-
-    def place(self, counts: np.ndarray) -> np.ndarray:
-        z = self.weigh(counts) @ self.projection
+        self.vectors = np.concatenate([self.place(terms[at : at + BLOCK]) for at in range(0, len(terms), BLOCK)])
+
+    def weigh(self, terms: np.ndarray) -> np.ndarray:
+        x = terms.astype(np.float32)
+        x[:, : BUCKETS + WORDS] *= self.idf
+        for part, weight in ((x[:, :BUCKETS], 1.0), (x[:, BUCKETS : BUCKETS + WORDS], WORD_WEIGHT)):
+            norm = np.linalg.norm(part, axis=1, keepdims=True)
+            part *= weight / np.where(norm > 0, norm, 1)
+        return x
+
+    def place(self, terms: np.ndarray) -> np.ndarray:
+        z = self.weigh(terms) @ self.projection
         norm = np.linalg.norm(z, axis=1, keepdims=True)
         return z / np.where(norm > 0, norm, 1)
 
-    def score(self, counts: np.ndarray) -> np.ndarray:
+    def score(self, terms: np.ndarray) -> np.ndarray:
         """Similarity-weighted share of good labels among the nearest labelled texts."""
-        out, k = np.zeros(len(counts)), min(NEIGHBOURS, len(self.labels))
-        for at in range(0, len(counts), 500):
-            sims = np.round(self.place(counts[at : at + 500]) @ self.vectors.T, 5)
+        out, k = np.zeros(len(terms)), min(NEIGHBOURS, len(self.labels))
+        for at in range(0, len(terms), BLOCK):
+            sims = np.round(self.place(terms[at : at + BLOCK]) @ self.vectors.T, 5)
             least = np.partition(sims, -k, axis=1)[:, -k][:, None]
             votes = np.where(sims >= least, np.maximum(sims, 1e-3) ** POWER, 0)
-            out[at : at + 500] = (votes @ self.labels) / votes.sum(axis=1)
+            out[at : at + BLOCK] = (votes @ self.labels) / votes.sum(axis=1)
         return out.clip(0, 1)  # rounding may pass the bounds
 
 
@@ -111,7 +122,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def terms(rows: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in rows:
-            yield pd.DataFrame({"id": pdf["id"].astype(str), "label": pdf["label"], "terms": [x.tobytes() for x in text_terms(list(pdf["text"]))]})
+            yield pd.DataFrame({"id": pdf["id"].astype(str), "label": pdf["label"], "terms": [x.tobytes() for x in text_terms(list(pdf["text"])).astype(np.float16)]})
 
     found = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(known), F.col("id") == F.col("__id")).filter(F.length("text") > 0)  # at most `most` ids
     found = found.groupBy("id", "label").agg(F.min("text").alias("text"))  # of rows that share an id, one
@@ -119,7 +130,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if not len(rows):
         return None
     rows = rows.assign(n=rows["id"].str.len()).sort_values(["n", "id", "terms"])
-    return Model(np.stack([np.frombuffer(x, dtype=np.float32) for x in rows["terms"]]), rows["label"].to_numpy())
+    return Model(np.stack([np.frombuffer(x, dtype=np.float16) for x in rows["terms"]]), rows["label"].to_numpy())
 
 
 def quality_scores(docs: DataFrame, model: Model | None, text_col: str = "text", out: str = "score") -> DataFrame:

@@ -355,6 +355,44 @@ def test_quality(spark):
     assert np.mean([p == q for p, q in held]) > 0.95 and all(0 <= r["score"] <= 1 for r in got.values())
 
 
+def test_quality_scores_equal_brute_force(spark):
+    """Terms counted one by one, every cosine with every labelled vector, neighbours by sorting."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    model = quality_knn.fit(docs, labels)
+    got = {r["doc_id"]: r["score"] for r in quality_knn.classify_quality(docs, labels).collect()}
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    learnt = [r["doc_id"] for r in labels.collect() if r["quality"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2 and texts.get(r["doc_id"])]
+    assert len(model.labels) == len(set(learnt))
+    n, m = quality_knn.BUCKETS, quality_knn.WORDS
+    for i in sorted(texts)[:60]:
+        raw = (texts[i] or "").encode()
+        if not raw.strip():
+            assert got[i] == 0
+            continue
+        counts = Counter((int(quality_knn._CLASS[a]) * 2209 + int(quality_knn._CLASS[b]) * 47 + int(quality_knn._CLASS[c])) % n for a, b, c in zip(raw, raw[1:], raw[2:], strict=False))
+        for w in TOKEN.findall(texts[i]):
+            buffer = np.frombuffer(w.encode(), dtype=np.uint8)
+            counts[n + int(quality_knn._HASHER.words(buffer, np.array([0]), np.array([len(buffer)]))[0]) % m] += 1
+        x = np.zeros(n + m + quality_knn._SHAPES)
+        for k, v in counts.items():
+            x[k] = np.log1p(v) * model.idf[k]
+        x[:n] /= np.linalg.norm(x[:n]) or 1
+        x[n : n + m] *= quality_knn.WORD_WEIGHT / (np.linalg.norm(x[n : n + m]) or 1)
+        x[n + m :] = quality_knn.text_terms([texts[i]])[0, n + m :]
+        z = x @ model.projection
+        sims = sorted(((float(z @ v / np.linalg.norm(z)), float(label)) for v, label in zip(model.vectors, model.labels, strict=True)), reverse=True)
+        least = sims[min(quality_knn.NEIGHBOURS, len(sims)) - 1][0]
+        votes = [(max(s, 1e-3) ** quality_knn.POWER, label) for s, label in sims if s >= least - 1e-5]
+        assert abs(got[i] - sum(v * label for v, label in votes) / sum(v for v, _ in votes)) < 0.02
+
+
+def test_quality_vectors_hold_words():
+    same, other = "the cat sat on the mat in a hat today", "qzx vjk wpf hg xqj zzv kp q vkw qqxzj"
+    a, b = quality_knn.text_terms([same, other])
+    assert (a[: quality_knn.BUCKETS] == b[: quality_knn.BUCKETS]).all() and (a != b).any()  # equal shape, different words
+
+
 def test_quality_of_odd_rows(spark, odd):
     labels = spark.createDataFrame([(1, 1), (5, 0), (None, 1), (6, None)], "doc_id long, quality int")
     rows = quality_knn.classify_quality(odd, labels).collect()
