@@ -2,16 +2,18 @@
 
 Every rolling word 2-gram of every text meets the 2-grams of the licence templates in a join on their hash, with the words
 compared. A match votes for its diagonal: word position minus template position. Votes are a bit set of template positions,
-aggregated by (text, template, diagonal); diagonals a few words apart (inserted or missing words) merge; a merged run is
-kept when its votes cover enough of the template. Base phrases merge nothing and need every vote: a run is then a place
-where the phrase's words stand consecutively.
+aggregated by (text, template, diagonal); diagonals a few words apart (inserted or missing words) merge. A merged run is verified:
+taken in the template's order, its words' first places must rise, others don't count; it is kept when the verified votes cover enough
+of the template. Base phrases merge nothing and need every vote: a run is then a place where the phrase's words stand
+consecutively. Templates longer than 64 words (whole licences) are searched in parts that each name the licence.
 
+An empty table gives an empty result. Very long texts are rows of words like others; places that tie or repeat are reported each.
 Null and empty texts: no words, score 0. Repeated rows give one result each; null ids are kept. Extra columns are not read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -19,7 +21,7 @@ from .native_text import small_rows, text_key, words_of
 
 # Base phrases and their labels.
 BASE = [("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved")]
-# Licence notices as their publishers word them, up to 64 words each.
+# Licence notices as their publishers word them.
 NOTICES = [
     ("licensed under the apache license version 2 0", "apache-2.0"),
     ("released under the mit license", "mit"),
@@ -46,22 +48,49 @@ MERGE_GAP, COVERAGE = 2, 0.8
 SHORT_NOTICE = 10
 
 
+#: Most words of a template: its votes are the bits of one long.
+TEMPLATE_WORDS = 64
+
+
+def parts(text: str) -> list[str]:
+    """A template's text in parts of about equal length, of at most TEMPLATE_WORDS words."""
+    words = text.split()
+    n = max(1, -(-len(words) // TEMPLATE_WORDS))
+    return [" ".join(words[k * len(words) // n : (k + 1) * len(words) // n]) for k in range(n)]
+
+
+def all_templates(base=BASE, notices=NOTICES) -> list[tuple[str, str, bool]]:
+    """(text, label, base) of every template."""
+    return [(p, label, True) for p, label in base] + [(part, label, False) for p, label in notices for part in parts(p)]
+
+
 def template_grams(templates: list[tuple[str, str, bool]]) -> list[tuple]:
     """(template, label, base, position, word, next word, votes of the whole template, bit) for each voting 2-gram."""
     rows = []
     for t, (text, label, base) in enumerate(templates):
         words = text.split()
         votes = [j for j in range(len(words) - 1) if base or not {words[j], words[j + 1]} <= COMMON]
-        if not votes or len(words) > 64:
+        if not votes or len(words) > TEMPLATE_WORDS:
             raise ValueError(f"a template needs 2 to 64 words, not all common: {text!r}")
         rows += [(t, label, base, j, words[j], words[j + 1], len(votes), 1 << j) for j in votes]
     return rows
 
 
+def in_order(diagonals: Column) -> Column:
+    """Votes of a merged run whose first places rise in the template's order; diagonals: array of (diagonal, bits)."""
+
+    def step(held: Column, j: Column) -> Column:
+        place = F.array_min(F.transform(F.filter(diagonals, lambda d: F.bit_get(d["bits"], j) == 1), lambda d: d["diagonal"] + j))
+        return F.when(place > held["last"], F.struct((held["n"] + 1).alias("n"), place.alias("last"))).otherwise(held)
+
+    first = F.struct(F.lit(0).alias("n"), F.lit(-1).alias("last"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(TEMPLATE_WORDS - 1)), first, step, lambda held: held["n"])
+
+
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base=BASE, notices=NOTICES) -> DataFrame:
-    """Per text: n_words, n_base, first_word, last_word, base_labels, labels, score (best cover of a template)."""
+    """Per text: n_words, n_base, first_word, last_word, base_labels, labels, score (best cover of a template), spans (label:first word:end of each run)."""
     spark: SparkSession = docs.sparkSession
-    grams = template_grams([(p, label, True) for p, label in base] + [(p, label, False) for p, label in notices])
+    grams = template_grams(all_templates(base, notices))
     templates = small_rows(
         spark,
         grams,
@@ -78,13 +107,13 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         (placed.gram == templates.gram) & (placed.word == templates.w1) & (placed.next == templates.w2),
         "left",
     ).filter(F.col("end") | F.col("t").isNotNull())
-    met = met.select("id", "key", "t", "label", "base", "votes", (F.col("pos") - F.col("j")).alias("diagonal"), "bit", F.when(F.col("end"), F.col("pos")).alias("n_words"))
+    met = met.select("id", "key", "t", "label", "base", "votes", (F.col("pos") - F.col("j")).alias("diagonal"), "bit", F.when(F.col("end"), F.col("pos")).alias("n_words"), F.when(F.col("t").isNotNull(), F.col("pos")).alias("pos"))
 
     # all later groups are inside a text: one shuffle of matches
     diagonals = (
         met.repartition("id", "key")
         .groupBy("id", "key", "t", F.when(F.col("t").isNotNull(), F.col("diagonal")).alias("diagonal"))
-        .agg(F.first("label").alias("label"), F.first("base").alias("base"), F.first("votes").alias("votes"), F.bit_or("bit").alias("bits"), F.max("n_words").alias("n_words"), F.count("n_words").alias("copies"))
+        .agg(F.first("label").alias("label"), F.first("base").alias("base"), F.first("votes").alias("votes"), F.bit_or("bit").alias("bits"), F.min("pos").alias("first"), F.max("pos").alias("last"), F.max("n_words").alias("n_words"), F.count("n_words").alias("copies"))
     )
     by_template = W.partitionBy("id", "key", "t").orderBy("diagonal")
     apart = F.when(F.col("base"), 0).otherwise(MERGE_GAP)
@@ -94,10 +123,15 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         .groupBy("id", "key", "t", "run")
         .agg(
             F.first("label").alias("label"), F.first("base").alias("base"), F.min("diagonal").alias("start"), F.max("n_words").alias("n_words"), F.max("copies").alias("copies"), F.first("votes").alias("votes"),
-            (F.bit_count(F.bit_or("bits")) / F.first("votes")).alias("cover"),
+            F.min("first").alias("first"), F.max("last").alias("last"), F.bit_count(F.bit_or("bits")).alias("voted"), F.collect_list(F.struct("diagonal", "bits")).alias("diagonals"),
         )
     )
-    kept = F.col("t").isNotNull() & (F.col("cover") >= F.when(F.col("base") | (F.col("votes") <= SHORT_NOTICE), 1.0).otherwise(COVERAGE))
+    needed = F.when(F.col("base") | (F.col("votes") <= SHORT_NOTICE), 1.0).otherwise(COVERAGE)
+    # only runs of enough votes on several diagonals are verified: on one diagonal places rise with the template's
+    runs = runs.withColumn("cover", F.col("voted") / F.col("votes"))
+    runs = runs.withColumn("cover", F.when((F.size("diagonals") > 1) & (F.col("cover") >= needed), in_order(F.col("diagonals")) / F.col("votes")).otherwise(F.col("cover"))).drop("diagonals")
+    kept = F.col("t").isNotNull() & (F.col("cover") >= needed)
+    span = F.struct("first", "last", "label")
     place = kept & F.col("base")
     out = runs.groupBy("id", "key").agg(
         F.max("n_words").cast("long").alias("n_words"),
@@ -107,7 +141,8 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         F.array_join(F.array_sort(F.collect_set(F.when(place, F.col("label")))), ",").alias("base_labels"),
         F.array_join(F.array_sort(F.collect_set(F.when(kept, F.col("label")))), ",").alias("labels"),
         F.coalesce(F.max(F.when(kept, F.col("cover"))), F.lit(0.0)).alias("score"),
+        F.array_join(F.transform(F.array_sort(F.collect_set(F.when(kept, span))), lambda s: F.concat_ws(":", s["label"], s["first"].cast("string"), (s["last"] + 2).cast("string"))), ",").alias("spans"),
         F.max("copies").alias("copies"),
     )
     out = out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    return out.select(F.col("id").alias(id_col), "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+    return out.select(F.col("id").alias(id_col), "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans")

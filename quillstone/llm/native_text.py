@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,9 +24,11 @@ def text_key(id_col: str, text_col: str) -> Column:
 
 
 def small_rows(spark: SparkSession, rows: list[tuple], schema: list[tuple[str, str]]) -> DataFrame:
-    """A table of parameter rows from literals, without Python data on the executors."""
-    made = F.array(*(F.struct(*(F.lit(v).cast(kind).alias(name) for v, (name, kind) in zip(row, schema, strict=True))) for row in rows))
-    return spark.range(1).select(F.inline(made))
+    """A table of parameter rows from one literal, without Python data on the executors."""
+    names = [name for name, _ in schema]
+    kind = "array<struct<" + ", ".join(f"`{name}`: {kind}" for name, kind in schema) + ">>"
+    listed = json.dumps([dict(zip(names, row, strict=True)) for row in rows], ensure_ascii=False)
+    return spark.range(1).select(F.inline(F.from_json(F.lit(listed), kind)))
 
 
 #: A table is broadcast only up to so many rows and bytes (as text); beyond, Spark shuffles both sides (AQE splits hot keys).

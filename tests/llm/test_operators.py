@@ -50,6 +50,22 @@ def test_license_scan(spark, docs, odd):
     assert license_scan.license_scan(odd.limit(0)).count() == 0
     notice = spark.createDataFrame([(1, "Permission is hereby granted, free of charge, to any one person obtaining a copy of this software and associated documentation files")], "doc_id long, text string")
     assert license_scan.license_scan(notice).first()["labels"] == "mit"  # an inserted word shifts the diagonal by one
+    assert license_scan.license_scan(notice).first()["spans"] == "mit:0:21"
+
+
+def test_license_runs_are_verified_in_order(spark):
+    notice = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda omicron"
+    swapped = "gamma delta epsilon alpha beta gamma zeta eta theta iota kappa lambda omicron"  # enough votes, some out of order
+    rows = spark.createDataFrame([(1, notice), (2, notice.replace("zeta", "zeta so")), (3, swapped)], "doc_id long, text string")
+    found = {r["doc_id"]: r["score"] for r in license_scan.license_scan(rows, base=[], notices=[(notice, "greek")]).collect()}
+    assert found == {1: 1.0, 2: 10 / 11, 3: 0.0}
+
+
+def test_licences_of_any_length(spark):
+    text = " ".join(f"word{k}" for k in range(300))
+    assert all(len(p.split()) <= 64 for p in license_scan.parts(text)) and " ".join(license_scan.parts(text)) == text
+    row = license_scan.license_scan(spark.createDataFrame([(1, "see " + text)], "doc_id long, text string"), base=[], notices=[(text, "long")]).first()
+    assert row["labels"] == "long" and row["spans"].startswith("long:1:61,") and row["spans"].endswith(":301")
 
 
 def secrets(text):
