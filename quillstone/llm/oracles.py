@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from . import decontamination as D
 from . import license_scan as L
 from . import secret_scan as S
 
@@ -64,5 +65,14 @@ sizes AS (SELECT DISTINCT n FROM bw),
 dw AS (SELECT doc_id, s, n, array_to_string(w[s + 1:s + n], ' ') AS q FROM (SELECT doc_id, w, n, unnest(range(0, len(w) - n + 1)) AS s FROM d, sizes WHERE len(w) >= n)),
 hit AS (SELECT doc_id, s, dw.n, item_id FROM dw JOIN bw ON dw.q = bw.q AND dw.n = bw.n),
 cov AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM hit) GROUP BY doc_id),
-it AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, array_to_string(list_sort(list_distinct(list(item_id))), ',') AS items FROM hit GROUP BY doc_id)
-SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN it USING (doc_id)"""
+it AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, array_to_string(list_sort(list_distinct(list(item_id))), ',') AS items FROM hit GROUP BY doc_id),
+words AS (SELECT doc_id, unnest(w) AS word, unnest(range(0, len(w))) AS pos FROM d),
+df AS (SELECT word, count(*) AS df FROM words GROUP BY word),
+win AS (SELECT item_id, w, s, least(len(w), 10) AS n FROM (SELECT item_id, w, unnest(range(0, greatest(len(w) - 10, 0) + 1)) AS s FROM (SELECT DISTINCT * FROM b) WHERE len(w) > 0)),
+each AS (SELECT *, w[o + 1] AS word FROM (SELECT *, unnest(range(s, s + n)) AS o FROM win)),
+anc AS (SELECT e.*, least(n, {D.ANCHORS}) AS needed FROM each e LEFT JOIN df USING (word) QUALIFY row_number() OVER (PARTITION BY item_id, w, s ORDER BY coalesce(df, 0), o) <= {D.ANCHORS}),
+sh AS (SELECT doc_id, item_id, w AS iw, s, n, needed, o, pos - o AS shift FROM words JOIN anc USING (word)),
+met AS (SELECT *, CASE WHEN max(o) OVER f > min(o) OVER f THEN 2 ELSE 1 END AS got FROM sh WINDOW f AS (PARTITION BY doc_id, item_id, iw, s ORDER BY shift RANGE BETWEEN CURRENT ROW AND {D.SLOP} FOLLOWING)),
+cand AS (SELECT DISTINCT doc_id, item_id, iw[s + 1:s + n] AS own, shift + s AS start, n FROM met WHERE got >= needed),
+nr AS (SELECT doc_id, count(DISTINCT item_id) AS n_near FROM cand JOIN d USING (doc_id) WHERE len(list_intersect(list_distinct(own), w[greatest(start - {D.SLOP}, 0) + 1:greatest(start + n + {D.SLOP}, 0)])) >= {D.NEAR} * len(list_distinct(own)) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0) AS n_near_items FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN it USING (doc_id) LEFT JOIN nr USING (doc_id)"""
