@@ -76,3 +76,16 @@ met AS (SELECT *, CASE WHEN max(o) OVER f > min(o) OVER f THEN 2 ELSE 1 END AS g
 cand AS (SELECT DISTINCT doc_id, item_id, iw[s + 1:s + n] AS own, shift + s AS start, n FROM met WHERE got >= needed),
 nr AS (SELECT doc_id, count(DISTINCT item_id) AS n_near FROM cand JOIN d USING (doc_id) WHERE len(list_intersect(list_distinct(own), w[greatest(start - {D.SLOP}, 0) + 1:greatest(start + n + {D.SLOP}, 0)])) >= {D.NEAR} * len(list_distinct(own)) GROUP BY doc_id)
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0) AS n_near_items FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN it USING (doc_id) LEFT JOIN nr USING (doc_id)"""
+
+
+def lexical() -> str:
+    terms = WORDS.format(c="text").replace(r"\x3A-\x60", r"\x3A-\x40\x5B-\x60")
+    return f"""
+WITH d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS doc, {terms} AS w FROM documents),
+b AS (SELECT DISTINCT item_id, unnest({terms}) AS term FROM benchmark),
+size AS (SELECT count(*) AS n_docs, sum(len(w))::BIGINT AS n_terms FROM d WHERE len(w) > 0),
+p AS (SELECT doc, doc_id, n, term, count(*) AS tf FROM (SELECT doc, doc_id, len(w) AS n, unnest(w) AS term FROM d) GROUP BY ALL),
+weight AS (SELECT term, floor(1000 * ln((2 * any_value(n_docs) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM p, size GROUP BY term),
+s AS (SELECT item_id, doc, any_value(doc_id) AS doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * n_docs) // n_terms))))::BIGINT AS score FROM p JOIN weight USING (term) JOIN b USING (term), size GROUP BY item_id, doc),
+r AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, doc) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM r WHERE rank <= 10"""

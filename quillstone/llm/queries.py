@@ -76,6 +76,18 @@ def op10_html_main_text(spark: SparkSession, sf: str) -> DataFrame:
     return html_main_text(table(spark, sf, "pages"))
 
 
+def op12_lexical_search(spark: SparkSession, sf: str) -> DataFrame:
+    from .lexical_search import search
+
+    return search(table(spark, sf, "documents"), table(spark, sf, "benchmark")).select("item_id", "rank", "doc_id", "score")
+
+
+def op13_spelling_variants(spark: SparkSession, sf: str) -> DataFrame:
+    from .spelling import spelling_variants
+
+    return spelling_variants(table(spark, sf, "documents"))
+
+
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     import corpus_pipeline
 
@@ -94,6 +106,8 @@ QUERIES = {
     "op8_quality_knn": op8_quality_knn,
     "op9_media_shards": op9_media_shards,
     "op10_html_main_text": op10_html_main_text,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 #: The other operators have no SQL (tokenizers, sketches with verified components, media, a fitted classifier, HTML); tests hold them against brute force.
@@ -102,4 +116,5 @@ ORACLES: dict[str, str] = {
     "op3_substring_dedup": oracles.substrings(),
     "op5_secret_scan": oracles.secrets(),
     "op7_decontamination": oracles.contamination(),
+    "op12_lexical_search": oracles.lexical(),
 }
