@@ -76,6 +76,12 @@ def op10_html_main_text(spark: SparkSession, sf: str) -> DataFrame:
     return html_main_text(table(spark, sf, "pages"))
 
 
+def op11_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
+    from .jaccard_join import jaccard_components
+
+    return jaccard_components(table(spark, sf, "documents"))
+
+
 def op12_lexical_search(spark: SparkSession, sf: str) -> DataFrame:
     from .lexical_search import search
 
@@ -106,6 +112,7 @@ QUERIES = {
     "op8_quality_knn": op8_quality_knn,
     "op9_media_shards": op9_media_shards,
     "op10_html_main_text": op10_html_main_text,
+    "op11_jaccard_join": op11_jaccard_join,
     "op12_lexical_search": op12_lexical_search,
     "op13_spelling_variants": op13_spelling_variants,
 }
@@ -116,5 +123,6 @@ ORACLES: dict[str, str] = {
     "op3_substring_dedup": oracles.substrings(),
     "op5_secret_scan": oracles.secrets(),
     "op7_decontamination": oracles.contamination(),
+    "op11_jaccard_join": oracles.jaccard(),
     "op12_lexical_search": oracles.lexical(),
 }
