@@ -1,15 +1,14 @@
-"""Sinks: partitioned JSON, keyed upserts, staged stores that appear whole, appended audit lines, reports."""
+"""Sinks: partitioned JSON, keyed upserts, versioned stores, appended audit lines, reports."""
 
 from __future__ import annotations
 
-import json
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.dense import vector_faults
+from . import store
 
 
 def write_chunks(chunks: DataFrame, path: str, dry_run: bool = True) -> DataFrame:
@@ -19,65 +18,40 @@ def write_chunks(chunks: DataFrame, path: str, dry_run: bool = True) -> DataFram
     return chunks.groupBy("strategy").agg(F.count("*").alias("n"))
 
 
-def last_wins(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """Of each key the last row."""
-    w = W.partitionBy(*keys).orderBy(*[c.desc() for c in order])
-    return rows.withColumn("__r", F.row_number().over(w)).filter("__r = 1").drop("__r")
-
-
 def upsert(known: DataFrame, new: DataFrame, key: str, only: list[str] | None = None) -> DataFrame:
     """Rows by key: new ones replace known ones, or only set some columns of them; unknown keys are added."""
-    once = last_wins(new, [key], [F.xxhash64(*new.columns)])
-    if not only:
-        return known.join(once.select(key), key, "left_anti").unionByName(once)
-    given = once.select(key, *(F.col(c).alias(f"__{c}") for c in only), F.lit(True).alias("__given"))
-    set_rows = known.join(given, key, "left").select(*(F.when(F.col("__given"), F.col(f"__{c}")).otherwise(F.col(c)).alias(c) if c in only else F.col(c) for c in known.columns))
-    return set_rows.unionByName(once.join(known.select(key), key, "left_anti"))
-
-
-def _rename(spark: SparkSession, a: str, b: str) -> None:
-    jvm = spark._jvm.org.apache.hadoop.fs
-    src, dst = jvm.Path(a), jvm.Path(b)
-    fs = src.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(dst, True)
-    fs.mkdirs(dst.getParent())
-    if not fs.rename(src, dst):
-        raise OSError(f"cannot move {a} to {b}")
+    return store.upsert_rows(known, new, key, only)
 
 
 def write_store(tables: dict[str, DataFrame], path: str, manifest: dict) -> None:
-    """Tables into a staging folder, then in place, the manifest last: a reader that finds it finds whole tables."""
-    spark = next(iter(tables.values())).sparkSession
-    stage = f"{path.rstrip('/')}.stage-{uuid.uuid4().hex[:8]}"
-    for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{stage}/{name}")
-    spark.createDataFrame([(json.dumps(manifest, ensure_ascii=False, sort_keys=True),)], "value string").coalesce(1).write.text(f"{stage}/manifest")
-    _rename(spark, stage, path)
+    """Tables as a new version of a store, its manifest last: a reader finds whole tables, a writer that stops leaves the former version."""
+    store.save(tables, path, manifest)
 
 
 def read_manifest(spark: SparkSession, path: str) -> dict | None:
-    """A store's manifest; None where there is no whole store."""
-    from pyspark.errors import AnalysisException
-
-    try:
-        return json.loads(spark.read.text(f"{path.rstrip('/')}/manifest").first()[0])
-    except AnalysisException:
-        return None
+    """What the newest version says of its inputs and settings; None where there is no whole store."""
+    found = store.manifest(spark, path)
+    return found and found["identity"]
 
 
 def store_state(spark: SparkSession, path: str, identity: dict) -> str:
     """ready, stale (built from other inputs or settings) or missing."""
-    found = read_manifest(spark, path)
-    return "missing" if found is None else "ready" if {k: found.get(k) for k in identity} == identity else "stale"
+    return store.state(spark, path, identity)
 
 
-def write_vectors(known: DataFrame | None, new: DataFrame, path: str, key: str, vector: str, dimension: int, reset: bool = False) -> None:
-    """Vectors by key into a store. All are checked before anything is touched; reset leaves only the new ones."""
+def write_vectors(new: DataFrame, path: str, key: str, vector: str, dimension: int, reset: bool = False) -> int:
+    """Vectors by key into a store; returns the buckets rewritten. All are checked before anything is touched; reset leaves only the new ones."""
+    spark = new.sparkSession
     faulty = new.filter(F.size(vector_faults(F.col(vector), dimension)) > 0).limit(1).count()
     if faulty:
         raise ValueError("some vectors are invalid; the store is unchanged")
-    rows = last_wins(new, [key], [F.xxhash64(key)]) if known is None or reset else upsert(known, new, key)
-    write_store({"vectors": rows}, path, {"dimension": dimension})
+    if reset or store.manifest(spark, path) is None:
+        rows = store.last_wins(new, [key], [F.xxhash64(*new.columns)])
+        store.save({"vectors": (rows, key, None, ())}, path, {"dimension": dimension})
+        return store.BUCKETS
+    if store.manifest(spark, path)["identity"].get("dimension") != dimension:
+        raise ValueError("the store holds vectors of another dimension")
+    return store.upsert(spark, path, "vectors", new)
 
 
 def append_audit(events: DataFrame, path: str) -> None:
@@ -107,22 +81,16 @@ def decrypt(c: Column, key: Column) -> Column:
 
 def write_evaluation(rows: DataFrame, path: str, required: list[str]) -> str:
     """A report in a folder of its own, and only then the pointer latest.txt to it: a failed run leaves the last good one in place."""
-    import uuid
-
     missing = set(required) - set(rows.columns)
     if missing:
         raise ValueError(f"the report lacks {sorted(missing)}")
     spark, name = rows.sparkSession, f"report-{uuid.uuid4().hex[:12]}"
     rows.write.json(f"{path}/{name}")
-    hadoop = spark._jvm.org.apache.hadoop.fs
-    fs = hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    out = fs.create(hadoop.Path(f"{path}/latest.txt"), True)
-    out.writeBytes(name)
-    out.close()
+    store.put_text(spark, f"{path}/latest.txt", name, replace=True)
     return f"{path}/{name}"
 
 
 def latest_evaluation(spark: SparkSession, path: str) -> DataFrame:
     """The report that latest.txt names."""
-    name = spark.read.text(f"{path}/latest.txt").first()["value"]
+    name = store.get_text(spark, f"{path}/latest.txt")
     return spark.read.json(f"{path}/{name}")
