@@ -101,8 +101,8 @@ def spelling_variants(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """word, form, root, n, n_near, form_n for every word of the vocabulary."""
     words = materialize(vocabulary(docs, id_col, text_col), "words")
     pairs = near_pairs(words)
-    both = pairs.select(F.col("a").alias("word"), F.col("b").alias("other"), F.col("n_b").alias("m"))
-    both = both.unionByName(pairs.select(F.col("b").alias("word"), F.col("a").alias("other"), F.col("n_a").alias("m")))
+    ways = F.array(F.struct(F.col("a").alias("word"), F.col("b").alias("other"), F.col("n_b").alias("m")), F.struct(F.col("b").alias("word"), F.col("a").alias("other"), F.col("n_a").alias("m")))
+    both = pairs.select(F.inline(ways))  # each pair is found once and read in both directions
     best = both.groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("m")).alias("m"), "other")).alias("best"))
     held = -F.col("best.m") >= DOMINANT * F.col("n")
     found = words.join(best, "word", "left").select(
