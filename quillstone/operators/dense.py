@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -27,20 +29,35 @@ def vector_faults(c: Column, dimension: int) -> Column:
     )
 
 
-def cosine_top_k(vectors: DataFrame, questions: DataFrame, key: str, query_key: str, vector: str, k: int, digits: int = 6, within: str | None = None) -> DataFrame:
-    """query, key, similarity, distance, rank. Every question meets every vector in blocks of questions: a stated query set.
+def cosine_top_k(vectors: DataFrame, questions: DataFrame, key: str, query_key: str | list[str], vector: str, k: int, digits: int = 6, mask: str | None = None, bits: str | None = None) -> DataFrame:
+    """query, key, similarity, distance, rank. Every question meets every vector, in blocks of questions: a stated and counted query set.
 
-    Each task keeps the best k of its own vectors (WindowGroupLimit) before anything is shuffled. With within, a column of the
-    vectors, the best k of each of its values are kept, with that column.
+    A block is one row that is broadcast; each task keeps the best k of its own vectors (WindowGroupLimit) before anything is
+    shuffled. With mask (of the vectors) and bits (of the questions) only pairs that share a bit exist.
     """
-    q = questions.select(F.col(query_key), l2_normalize(F.col(vector)).alias("__q"))
-    blocks = q.withColumn("__block", F.floor((F.row_number().over(W.orderBy(query_key)) - 1) / QUERY_BLOCK)).groupBy("__block").agg(F.collect_list(F.struct(query_key, "__q")).alias("__questions"))
-    group = [within] if within else []
-    v = vectors.select(F.col(key), *group, l2_normalize(F.col(vector)).alias("__v"))
-    met = v.join(F.broadcast(blocks)).select(key, *group, "__v", F.inline("__questions"))  # rows: vectors times questions, made and cut inside a task
-    scored = met.select(query_key, key, *group, F.round(dot(F.col("__q"), F.col("__v")), digits).alias("similarity"))
-    order = W.partitionBy(query_key, *group).orderBy(F.col("similarity").desc(), F.col(key))
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).withColumn("distance", F.round(1 - F.col("similarity"), digits))
+    asked = [query_key] if isinstance(query_key, str) else list(query_key)
+    q = questions.select(*asked, *([F.col(bits).alias("__bits")] if bits else []), l2_normalize(F.col(vector)).alias("__q"))
+    blocks = max(1, -(-questions.count() // QUERY_BLOCK))
+    v = vectors.select(F.col(key), *([F.col(mask).alias("__mask")] if mask else []), l2_normalize(F.col(vector)).alias("__v"))
+    order = W.partitionBy(*asked).orderBy(F.col("similarity").desc(), F.col(key))
+    parts = []
+    for b in range(blocks):
+        own = q.filter(F.pmod(F.xxhash64(*asked), F.lit(blocks)) == b) if blocks > 1 else q
+        row = own.agg(F.collect_list(F.struct(*q.columns)).alias("__questions"))
+        met = v.join(F.broadcast(row)).select(key, *(["__mask"] if mask else []), "__v", F.inline("__questions"))  # made and cut inside a task
+        if mask:
+            met = met.filter(F.col("__mask").bitwiseAND(F.col("__bits")) != 0)
+        scored = met.select(*asked, key, F.round(dot(F.col("__q"), F.col("__v")), digits).alias("similarity"))
+        parts.append(scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k))
+    return reduce(DataFrame.unionByName, parts).withColumn("distance", F.round(1 - F.col("similarity"), digits))
+
+
+def cosine_of(pairs: DataFrame, vectors: DataFrame, questions: DataFrame, key: str, query_key: str, vector: str, digits: int = 6) -> DataFrame:
+    """pairs (query, key) with their similarity: joins on both keys, for candidates that are known already."""
+    v = vectors.select(key, F.col(vector).alias("__v"))
+    q = questions.select(query_key, F.col(vector).alias("__q"))
+    met = pairs.join(v, key).join(q, query_key)
+    return met.withColumn("similarity", F.round(dot(l2_normalize(F.col("__q")), l2_normalize(F.col("__v"))), digits)).drop("__v", "__q")
 
 
 def latent_vectors(chunks: DataFrame, key: str, tokens: Column, dimensions: int = 256, terms: int = 4096, min_df: int = 2):
@@ -53,7 +70,7 @@ def latent_vectors(chunks: DataFrame, key: str, tokens: Column, dimensions: int
     rows = chunks.select(F.col(key), tokens.alias("tokens"))
     counted = CountVectorizer(inputCol="tokens", outputCol="tf", vocabSize=terms, minDF=min_df).fit(rows).transform(rows)
     logged = counted.withColumn("tf", array_to_vector(F.transform(vector_to_array("tf"), lambda x: F.when(x > 0, 1 + F.log(x)).otherwise(0.0))))
-    weighed = IDF(inputCol="tf", outputCol="weights").fit(logged).transform(logged).select(key, "weights").persist()
+    weighed = IDF(inputCol="tf", outputCol="weights").fit(logged).transform(logged).select(key, "weights")
     matrix = RowMatrix(weighed.select("weights").rdd.map(lambda r: Vectors.dense(r[0].toArray())))
     svd = matrix.computeSVD(min(dimensions, matrix.numCols() - 1))
     basis = svd.V.toArray()
@@ -69,4 +86,4 @@ def latent_vectors(chunks: DataFrame, key: str, tokens: Column, dimensions: int
     return out.select(key, l2_normalize(F.col("vector")).alias("vector"))
 
 
-__all__ = ["cosine_top_k", "latent_vectors", "norm", "vector_faults"]
+__all__ = ["cosine_of", "cosine_top_k", "latent_vectors", "norm", "vector_faults"]

@@ -10,14 +10,15 @@ RRF_K = 60
 RANK_DIGITS = 9
 
 
-def fuse(lexical: DataFrame, semantic: DataFrame, query_key: str, key: str, k: int = RRF_K, weights: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
+def fuse(lexical: DataFrame, semantic: DataFrame, query_key: str | list[str], key: str, k: int = RRF_K, weights: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
     """Full outer union of two rankings: rrf_score, fused_rank, both ranks (null: not found there), matched_by.
 
     Order: score down, better of the ranks, semantic rank, lexical rank (nulls last), key.
     """
-    a = lexical.select(query_key, key, F.col("rank").alias("bm25_rank"))
-    b = semantic.select(query_key, key, F.col("rank").alias("semantic_rank"))
-    both = a.join(b, [query_key, key], "full_outer")
+    by = [query_key] if isinstance(query_key, str) else list(query_key)
+    a = lexical.select(*by, key, F.col("rank").alias("bm25_rank"))
+    b = semantic.select(*by, key, F.col("rank").alias("semantic_rank"))
+    both = a.join(b, [*by, key], "full_outer")
     part = lambda c, w: F.coalesce(F.lit(float(w)) / (k + F.col(c)), F.lit(0.0))
     scored = both.withColumn("rrf_score", part("bm25_rank", weights[0]) + part("semantic_rank", weights[1]))
     order = W.partitionBy(query_key).orderBy(F.round("rrf_score", RANK_DIGITS).desc(), F.least("bm25_rank", "semantic_rank"), F.col("semantic_rank").asc_nulls_last(), F.col("bm25_rank").asc_nulls_last(), key)
@@ -57,7 +58,7 @@ def rank_change(ranked: DataFrame, query_key: str, before: str, after: str) -> D
     return ranked.withColumn("rank_change", F.col(before) - F.col(after))
 
 
-def fuse_by_id(lexical: DataFrame, semantic: DataFrame, query_key: str, key: str, k: int = RRF_K, weights: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
+def fuse_by_id(lexical: DataFrame, semantic: DataFrame, query_key: str | list[str], key: str, k: int = RRF_K, weights: tuple[float, float] = (1.0, 1.0)) -> DataFrame:
     """The other family's order: score down, then key; the score on eight digits."""
     fused = fuse(lexical, semantic, query_key, key, k, weights)
     order = W.partitionBy(query_key).orderBy(F.round("rrf_score", RANK_DIGITS).desc(), key)

@@ -14,19 +14,27 @@ DOC_CODE = r"(\d+/\d{4}/[0-9a-zA-ZÀ-ỹ\-]+)"
 ARTICLE_NAME = r"(điều\s+\d+)"
 
 
-def lexical_scores(pairs: DataFrame, corpus: DataFrame, key: str, question_text: str, chunk_text: str, index_text: str) -> DataFrame:
+def corpus_frequencies(corpus: DataFrame, text: str, pairs: DataFrame, question_text: str) -> tuple[DataFrame, DataFrame]:
+    """(term, df; n) of a whole corpus for the pairs' question terms: others are dropped before anything is shuffled."""
+    terms = pairs.select(F.explode(tokenize_code(F.col(question_text))).alias("term")).distinct()
+    each = corpus.select(F.explode(F.array_distinct(tokenize_code(F.col(text)))).alias("term"))
+    return each.join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df")), corpus.agg(F.count("*").alias("n"))
+
+
+def lexical_scores(pairs: DataFrame, frequencies: DataFrame, sizes: DataFrame, question_text: str, chunk_text: str, view: str | None = None) -> DataFrame:
     """pairs with rerank_score: idf-weighted cover of the question's tokens, shares of its three-word phrases, codes and articles found.
 
-    Document frequencies come from the whole corpus; only terms of the pairs are joined.
+    frequencies: term, df; sizes: n, one row. With view, a column of all three, each view's own: a row of sizes for each view.
     """
-    tokens = F.array_distinct(tokenize_code(F.col(index_text)))
-    n = corpus.agg(F.count("*").alias("__n"))
-    df = corpus.select(F.explode(tokens).alias("__term")).groupBy("__term").agg(F.count("*").alias("__df"))
+    by = [view] if view else []
     rows = pairs.withColumn("__row", F.xxhash64(*pairs.columns)).withColumn("__q", F.array_distinct(tokenize_code(F.col(question_text))))
-    cut = rows.select("__row", "__q", F.array_distinct(tokenize_code(F.col(chunk_text))).alias("__t"))  # once per pair, before the explode
-    terms = cut.select("__row", "__t", F.explode("__q").alias("__term"))
+    cut = rows.select("__row", *by, "__q", F.array_distinct(tokenize_code(F.col(chunk_text))).alias("__t"))  # once per pair, before the explode
+    terms = cut.select("__row", *by, "__t", F.explode("__q").alias("__term"))
+    known = frequencies.select(*by, F.col("term").alias("__term"), F.col("df").alias("__df"))
+    n = F.broadcast(sizes.select(*by, F.col("n").alias("__n")))  # one row, or one a view
     weight = F.log(1.0 + (F.col("__n") - F.coalesce("__df", F.lit(0)) + 0.5) / (F.coalesce("__df", F.lit(0)) + 0.5))
-    weighed = terms.join(df, "__term", "left").crossJoin(F.broadcast(n)).withColumn("__w", weight)  # one row
+    weighed = terms.join(known, [*by, "__term"], "left")
+    weighed = (weighed.join(n, view) if view else weighed.crossJoin(n)).withColumn("__w", weight)
     cover = weighed.groupBy("__row").agg((F.sum(F.when(F.array_contains("__t", F.col("__term")), F.col("__w")).otherwise(0.0)) / F.sum("__w")).alias("__cover"))
     low, words = F.lower(chunk_text), F.filter(F.split(F.lower(question_text), r"[^\p{L}\p{N}_]+"), lambda w: w != "")
     phrases = F.when(F.size(words) >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(words) - 2), lambda i: F.array_join(F.slice(words, i, 3), " ")))).otherwise(F.array().cast("array<string>"))

@@ -10,7 +10,8 @@ from ..operators import fusion, graph, metrics, rerank, validation
 from ..sources.tables import table as _table
 from . import search
 from .documents import _HITS, _child_hits
-from .policy import _TAG, _tagged
+from .indexes import tagged as _tagged
+from .policy import _TAG
 from .retrieval import _CODE, K, _corpus, _qrels, bm25_sql, cosine_sql, fused_sql, table
 
 #: Questions of the registered permitted searches keep their ten best of thirty candidates.
@@ -19,7 +20,7 @@ _CFG = search.SearchConfig(top_k=10, candidate_k=30)
 
 def _secured(spark, sf) -> search.Corpus:
     c = _corpus(spark, sf)
-    return search.Corpus(_tagged(spark, sf), c.vectors, c.questions, c.query_vectors)
+    return search.Corpus(_tagged(spark, sf), c.vectors, c.questions, c.query_vectors, index=c.index)
 
 
 def secure_search(spark, sf):
@@ -30,16 +31,41 @@ def secure_statistics(spark, sf):
     return search.secure_statistics(_secured(spark, sf), "allowed", ["Staff"], _CFG)
 
 
+#: Roles of the audit: who must not see a restricted category, and who may.
+_AUDIT = {"staff": ["Staff"], "hr": ["HR"], "guest": ["Guest"], "risk": ["Risk_Manager"]}
+
+
+#: Words of an audit question: those that a document opens with.
+_OPENING = 40
+
+
+def _opening(text):
+    return F.array_join(F.slice(F.split(text, " "), 1, _OPENING), " ")
+
+
+def _audit_corpus(spark, sf) -> tuple[search.Corpus, DataFrame]:
+    """(corpus, cases): of each restricted category the first five documents that have a vector; each is asked for with its own first words and its vector."""
+    from pyspark.sql import Window as W
+
+    c = _secured(spark, sf)
+    rows = c.chunks.filter("category <> 'GENERAL'").join(c.vectors.select("doc_id"), "doc_id", "left_semi").select("doc_id", "category")
+    first = rows.withColumn("r", F.row_number().over(W.partitionBy("category").orderBy("doc_id"))).filter("r <= 5")
+    hr = F.col("category") == "HR"
+    cases = first.select(F.concat(F.lower("category"), F.lit("-"), F.col("r").cast("string")).alias("case"), F.col("doc_id").alias("item_id"), F.col("doc_id").alias("target"), F.when(hr, "staff").otherwise("guest").alias("outsider"), F.when(hr, "hr").otherwise("risk").alias("insider"))
+    own = cases.select(F.col("target").alias("doc_id"))
+    questions = c.chunks.join(F.broadcast(own), "doc_id").select(F.col("doc_id").alias("item_id"), _opening(F.col("text")).alias("text"))  # ten rows at most
+    vectors = c.vectors.join(F.broadcast(own), "doc_id").withColumnRenamed("doc_id", "item_id")
+    return search.Corpus(c.chunks, c.vectors, questions, vectors, index=c.index), cases
+
+
 def leak_audit(spark, sf):
-    # five questions; the target is the least restricted document, which guests may not see and administrators may
-    target = _tagged(spark, sf).filter("category <> 'GENERAL'").agg(F.min("doc_id")).first()[0]
-    cases = [(f"case{i}", i, target, ["Guest"], ["Admin"]) for i in range(5)]
-    return search.leak_audit(_secured(spark, sf), "allowed", cases, _CFG).select("case", "method", "leaked")
+    c, cases = _audit_corpus(spark, sf)
+    return search.leak_audit(c, "allowed", cases, _AUDIT, _CFG)
 
 
 def internal_lookup(spark, sf):
     c = _secured(spark, sf)
-    c = search.Corpus(c.chunks.withColumn("citation", F.concat(F.lit("c"), F.col("doc_id").cast("string"))), c.vectors, c.questions, c.query_vectors)
+    c = search.Corpus(c.chunks.withColumn("citation", F.concat(F.lit("c"), F.col("doc_id").cast("string"))), c.vectors, c.questions, c.query_vectors, index=c.index)
     answers, _ = search.internal_lookup(c, "allowed", ["Staff"], "citation", cfg=_CFG, method="bm25")
     return answers.select("item_id", F.md5("answer").alias("digest"), "n_evidence", "status")
 
@@ -222,6 +248,34 @@ QUERIES = {
     )
 }
 
+def _leak_sql() -> str:
+    """All views at once, every method, from the documents themselves."""
+    views = ", ".join(f"('{v}', '{r[0]}')" for v, r in _AUDIT.items())
+    return f"""WITH {_TAG}, views(view, role) AS (VALUES {views}),
+vis AS MATERIALIZED (SELECT view, doc_id FROM tagged JOIN views ON list_contains(allowed, role)),
+cases AS (SELECT lower(category) || '-' || r AS c, doc_id AS target, CASE category WHEN 'HR' THEN 'staff' ELSE 'guest' END AS outsider, CASE category WHEN 'HR' THEN 'hr' ELSE 'risk' END AS insider FROM (SELECT category, doc_id, row_number() OVER (PARTITION BY category ORDER BY doc_id) AS r FROM tagged WHERE category <> 'GENERAL' AND doc_id IN (SELECT vec_id FROM embeddings)) WHERE r <= 5),
+asks AS (SELECT DISTINCT unnest([outsider, insider]) AS view, target AS q FROM cases),
+said AS (SELECT q, array_to_string(string_split(text, ' ')[1:{_OPENING}], ' ') AS text FROM (SELECT DISTINCT q FROM asks) JOIN documents ON doc_id = q),
+asked AS (SELECT view, q, term, count(*) AS times FROM (SELECT q, unnest({_CODE.format(text="text")}) AS term FROM said) JOIN asks USING (q) GROUP BY ALL),
+toks AS MATERIALIZED (SELECT doc_id, text, {_CODE.format(text="text")} AS t FROM documents),
+post AS MATERIALIZED (SELECT doc_id, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT doc_id, len(t) AS dl, unnest(t) AS term FROM toks) GROUP BY ALL),
+tot AS (SELECT view, count(*) AS n, avg(len(t)) AS av FROM vis JOIN toks USING (doc_id) GROUP BY view),
+raw AS (SELECT view, term, df, ln(n - df + 0.5) - ln(df + 0.5) AS r FROM (SELECT view, term, count(*) AS df FROM vis JOIN post USING (doc_id) GROUP BY ALL) JOIN tot USING (view)),
+idf AS MATERIALIZED (SELECT view, term, df, CASE WHEN r < 0 THEN 0.25 * avg(r) OVER (PARTITION BY view) ELSE r END AS idf FROM raw),
+lexs AS (SELECT a.view, a.q, p.doc_id, sum(times * idf * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / av))) AS score FROM asked a JOIN post p ON p.term = a.term JOIN vis ON vis.view = a.view AND vis.doc_id = p.doc_id JOIN idf ON idf.view = a.view AND idf.term = a.term JOIN tot ON tot.view = a.view GROUP BY ALL),
+lex AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY view, q ORDER BY round(score, 9) DESC, doc_id) AS rank FROM lexs) WHERE rank <= 30 AND score > 0),
+sims AS (SELECT view, q, v.vec_id AS doc_id, round(list_cosine_similarity(e.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS similarity FROM asks JOIN embeddings e ON e.vec_id = q JOIN vis USING (view) JOIN embeddings v ON v.vec_id = vis.doc_id),
+sem AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY view, q ORDER BY similarity DESC, doc_id) AS rank FROM sims) WHERE rank <= 30),
+fused AS (SELECT *, row_number() OVER (PARTITION BY view, q ORDER BY round(rrf, 9) DESC, doc_id) AS rank FROM (SELECT view, q, doc_id, coalesce(1.0 / (60 + l.rank), 0.0) + coalesce(1.0 / (60 + s.rank), 0.0) AS rrf FROM lex l FULL JOIN sem s USING (view, q, doc_id))),
+cand AS (SELECT f.view, q, f.doc_id, rank AS fused_rank, c.text AS ct, c.t AS ctoks FROM fused f JOIN toks c ON c.doc_id = f.doc_id WHERE rank <= 30),
+w AS (SELECT DISTINCT a.view, q, a.term, ln(1 + (n - coalesce(df, 0) + 0.5) / (coalesce(df, 0) + 0.5)) AS w FROM asked a JOIN tot ON tot.view = a.view LEFT JOIN idf ON idf.view = a.view AND idf.term = a.term),
+cover AS (SELECT c.view, c.q, c.doc_id, sum(CASE WHEN p.doc_id IS NULL THEN 0 ELSE w END) / sum(w) AS c FROM cand c JOIN w ON w.view = c.view AND w.q = c.q LEFT JOIN post p ON p.doc_id = c.doc_id AND p.term = w.term GROUP BY ALL),
+ph AS (SELECT q, list_distinct(list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i + 2], ' '))) AS p FROM (SELECT q, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}_]+'), lambda x: x <> '') AS ws FROM said)),
+re AS (SELECT view, q, doc_id, row_number() OVER (PARTITION BY view, q ORDER BY s DESC, fused_rank, doc_id) AS rank FROM (SELECT c.view, c.q, c.doc_id, fused_rank, round((coalesce(c, 0) + 0.3 * CASE WHEN len(p) > 0 THEN len(list_filter(p, lambda x: contains(lower(ct), x))) / len(p) ELSE 0 END) / (1 + greatest(0, length(ct) - 2500) / 5000.0), 6) AS s FROM cand c JOIN cover ON cover.view = c.view AND cover.q = c.q AND cover.doc_id = c.doc_id JOIN ph ON ph.q = c.q)),
+found AS (SELECT view, q, 'bm25' AS method, doc_id, rank FROM lex WHERE rank <= 10 UNION ALL SELECT view, q, 'dense', doc_id, rank FROM sem WHERE rank <= 10 UNION ALL SELECT view, q, 'hybrid', doc_id, rank FROM fused WHERE rank <= 10 UNION ALL SELECT view, q, 'hybrid_rerank', doc_id, rank FROM re WHERE rank <= 10)
+SELECT c AS "case", m AS method, o.rank IS NOT NULL AS leaked, i.rank::INTEGER AS authorized_rank FROM cases, unnest(['bm25', 'dense', 'hybrid', 'hybrid_rerank']) u(m) LEFT JOIN found o ON o.view = outsider AND o.q = target AND o.doc_id = target AND o.method = m LEFT JOIN found i ON i.view = insider AND i.q = target AND i.doc_id = target AND i.method = m"""
+
+
 _STAFF = f"{_TAG}, staff AS (SELECT * FROM tagged WHERE list_contains(allowed, 'Staff'))"
 _STAFF_LEX = f"{_STAFF}, {bm25_sql(_CODE, docs='staff', fill=False, positive=True, k=30)}"
 _STAFF_SEM = "ssimi AS (SELECT q.vec_id AS item_id, v.vec_id AS doc_id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS similarity FROM embeddings q, embeddings v WHERE q.vec_id IN (SELECT item_id FROM benchmark) AND v.vec_id IN (SELECT doc_id FROM staff)), sem AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY similarity DESC, doc_id) AS rank FROM ssimi) WHERE rank <= 30)"
@@ -237,7 +291,7 @@ per AS (SELECT m AS mode, b.item_id, CASE WHEN n IS NULL THEN 0.0 ELSE coalesce(
 ORACLES = {
     "secure_search": f"WITH {_STAFF_LEX}, {_STAFF_SEM}, {_BY_ID} SELECT item_id, doc_id, fused_rank AS rank, rrf_score AS score FROM fused WHERE fused_rank <= 10",
     "secure_statistics": f"WITH {_TAG}, {bm25_sql(_CODE, fill=False, positive=True, k=30)}, r AS (SELECT item_id, count(*) FILTER (NOT list_contains(allowed, 'Staff')) AS n FROM lex JOIN tagged USING (doc_id) GROUP BY item_id), t AS (SELECT count(*) FILTER (list_contains(allowed, 'Staff')) AS v, count(*) FILTER (NOT list_contains(allowed, 'Staff')) AS h FROM tagged) SELECT item_id, coalesce(n, 0) AS n_rejected, v AS n_visible, h AS n_hidden FROM benchmark LEFT JOIN r USING (item_id), t",
-    "leak_audit": "SELECT 'case' || i AS \"case\", m AS method, false AS leaked FROM range(5) t(i), unnest(['bm25', 'dense', 'hybrid', 'hybrid_rerank']) u(m)",
+    "leak_audit": _leak_sql(),
     "internal_lookup": f"WITH {_STAFF_LEX}, e AS (SELECT item_id, rank, replace(trim(text, ' '), chr(10), ' ') AS t, doc_id FROM lex JOIN documents USING (doc_id) WHERE rank <= 10), l AS (SELECT item_id, rank, '- [c' || doc_id || '] ' || CASE WHEN length(t) > 400 THEN rtrim(substr(t, 1, 400), ' ') || '...' ELSE t END AS line FROM e) SELECT item_id, md5(coalesce(string_agg(line, chr(10) ORDER BY rank), '{search.NO_CONTEXT}')) AS digest, count(line)::INTEGER AS n_evidence, 'SUCCESS' AS status FROM benchmark LEFT JOIN l USING (item_id) GROUP BY item_id",
     "internal_lookup_denied": f"SELECT item_id, '{search.NO_CONTEXT}' AS answer, 0 AS n_evidence, 'DENIED' AS status, 0 AS n_logged, 'DENIED' AS logged FROM benchmark",
     "evaluate_modes": f"WITH {_EVAL} SELECT mode, count(*) AS n_questions, 0 AS n_failed, round(avg(recall), 4) AS mean_recall, round(avg(mrr), 4) AS mean_mrr, round(avg(ndcg), 4) AS mean_ndcg FROM per GROUP BY mode UNION ALL SELECT 'broken', count(*), count(*), NULL, NULL, NULL FROM benchmark",

@@ -6,14 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import bm25, compliance, rbac
+from ..operators import compliance, lexicon, rbac
 from ..sources.tables import spread
 from ..sources.tables import table as _table
 from ..streaming import audit
 from . import search
+from .indexes import HR as _HR
+from .indexes import RISK as _RISK
+from .indexes import documents_index, index_of
+from .indexes import tagged as _tagged
 
-# words of the documents' own language stand for the restricted topics
-_HR, _RISK = ["idiot", "clown", "nicht auf"], ["ention", "heit"]
 
 def table(spark, sf, name):
     """A table; long texts of one small file are dealt over all cores."""
@@ -21,12 +23,6 @@ def table(spark, sf, name):
     return spread(df) if name in ("documents", "pages") else df
 
 
-
-def _tagged(spark, sf) -> DataFrame:
-    d = table(spark, sf, "documents")
-    return d.select("doc_id", "text", "source", rbac.security_category(F.col("text"), F.col("source"), _HR, _RISK).alias("category")).withColumn("allowed", rbac.allowed_roles(F.col("category")))
-
-
 def security_tag(spark, sf):
     return _tagged(spark, sf).select("doc_id", "category", F.array_join("allowed", ",").alias("allowed"))
 
@@ -53,14 +49,14 @@ def parse_roles(spark, sf):
 
 
 def secure_bm25(spark, sf):
-    rows = rbac.visible(_tagged(spark, sf), "allowed", ["Guest"])
-    found = bm25.search_code(rows, table(spark, sf, "benchmark"), T.tokenize_code(F.col("text")), T.tokenize_code(F.col("text")), "doc_id", "item_id", 10)
-    return found.select("item_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+    ix, views = documents_index(spark, sf, "code"), lexicon.views_of(spark, {"guest": ["Guest"]})
+    found = lexicon.search(ix, views, table(spark, sf, "benchmark").withColumn("view", F.lit("guest")), "item_id", T.tokenize_code(F.col("text")), 10, "code")
+    return found.select("item_id", "doc_id", "score", "rank")
 
 
 def _secure(spark, sf, roles) -> DataFrame:
     v, items = table(spark, sf, "embeddings"), table(spark, sf, "benchmark")
-    c = search.Corpus(_tagged(spark, sf), v.select(F.col("vec_id").alias("doc_id"), "embedding"), items, v.select(F.col("vec_id").alias("item_id"), "embedding").join(items.select("item_id"), "item_id", "left_semi"))
+    c = search.Corpus(_tagged(spark, sf), v.select(F.col("vec_id").alias("doc_id"), "embedding"), items, v.select(F.col("vec_id").alias("item_id"), "embedding").join(items.select("item_id"), "item_id", "left_semi"), index=index_of(spark, sf))
     return search.secure_search(c, "allowed", roles, search.SearchConfig(top_k=10))
 
 
@@ -70,7 +66,7 @@ def leak_check(spark, sf):
 
 
 def rejected_by_role(spark, sf):
-    found = search.lexical(search.Corpus(_tagged(spark, sf), None, table(spark, sf, "benchmark"), None), 10)
+    found = search.lexical(search.Corpus(_tagged(spark, sf), None, table(spark, sf, "benchmark"), None, index=index_of(spark, sf)), 10)
     return rbac.rejected(found.join(_tagged(spark, sf).select("doc_id", "allowed"), "doc_id"), "allowed", "item_id", ["Guest"])
 
 

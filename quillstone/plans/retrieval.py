@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import bm25, dense, fusion, metrics, rerank
+from ..operators import dense, fusion, lexicon, metrics, rerank
 from ..sources.tables import spread
 from ..sources.tables import table as _table
 from . import search
+from .indexes import documents_index, index_of
 
 K = 10
 
@@ -26,6 +27,7 @@ def _corpus(spark: SparkSession, sf: str) -> search.Corpus:
     return search.Corpus(
         table(spark, sf, "documents").select("doc_id", "text"), vectors.select(F.col("vec_id").alias("doc_id"), "embedding"), items,
         vectors.select(F.col("vec_id").alias("item_id"), "embedding").join(items.select("item_id"), "item_id", "left_semi"),
+        index=index_of(spark, sf),
     )
 
 
@@ -40,9 +42,8 @@ def tokenize_code(spark, sf):
 
 
 def term_stats(spark, sf):
-    docs = table(spark, sf, "documents")
-    index = bm25.build_index(docs, "doc_id", T.tokenize_legal(F.col("text")))
-    return index.terms.select("term", "df", "cf", F.round("idf", 6).alias("idf"))
+    terms = lexicon.statistics(documents_index(spark, sf, "legal"), lexicon.views_of(spark, {"all": None}))
+    return terms.select("term", "df", "cf", F.round("idf", 6).alias("idf"))
 
 
 def bm25_topk(spark, sf):
@@ -212,7 +213,7 @@ QUERIES = {
 ORACLES = {
     "tokenize_legal": f"SELECT doc_id, len(t)::INTEGER AS n_tokens, len(list_distinct(t))::INTEGER AS n_distinct, md5(array_to_string(t, ' ')) AS digest FROM (SELECT doc_id, {_TOKENS.format(text='text')} AS t FROM documents)",
     "tokenize_code": "SELECT doc_id, len(t)::INTEGER AS n_tokens, t[1] AS first_token, md5(array_to_string(t, ' ')) AS digest FROM (SELECT doc_id, " + _CODE.format(text="('Điều ' || doc_id || '. 12/2024/TT-NHNN ' || text)") + " AS t FROM documents)",
-    "term_stats": f"WITH {bm25_sql()} SELECT term, df, cf, round(idf, 6) AS idf FROM terms",
+    "term_stats": f"WITH toks AS MATERIALIZED (SELECT doc_id, {_TOKENS.format(text='text')} AS t FROM documents), counted AS (SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf FROM (SELECT doc_id, unnest(t) AS term FROM toks) GROUP BY term), raw AS (SELECT term, df, cf, ln(n - df + 0.5) - ln(df + 0.5) AS r FROM counted, (SELECT count(*) AS n FROM documents)) SELECT term, df, cf, round(CASE WHEN r < 0 THEN 0.25 * m ELSE r END, 6) AS idf FROM raw, (SELECT avg(r) AS m FROM raw)",
     "bm25_topk": f"WITH {bm25_sql()} SELECT item_id, doc_id, round(score, 6) AS score, rank FROM lex",
     "bm25_positive_only": f"WITH {bm25_sql(_CODE, fill=False, positive=True)} SELECT item_id, doc_id, round(score, 6) AS score, rank FROM lex",
     "cosine_topk": f"SELECT query_id, vec_id, similarity, round(1 - similarity, 6) AS distance, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS similarity FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0)) WHERE rank <= {K}",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -10,7 +11,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import tokenize_code, tokenize_legal
-from ..operators import bm25, dense, fusion, graph, hierarchy, rbac, rerank
+from ..operators import bm25, dense, fusion, graph, hierarchy, lexicon, rbac, rerank
+from ..sources import store
 
 MODES = ["bm25", "semantic", "hybrid", "hybrid_rerank"]
 
@@ -43,7 +45,10 @@ class SearchConfig:
 
 @dataclass(frozen=True)
 class Corpus:
-    """chunks: key, text; vectors: key, vector; questions: query, text; query_vectors: query, vector."""
+    """chunks: key, text; vectors: key, vector; questions: query, text; query_vectors: query, vector.
+
+    index gives the stored lexical index of a family; without it, searches index the chunks they are given.
+    """
 
     chunks: DataFrame
     vectors: DataFrame
@@ -53,11 +58,32 @@ class Corpus:
     query: str = "item_id"
     text: str = "text"
     vector: str = "embedding"
+    index: Callable[[str], lexicon.Lexicon] | None = None
+
+
+def family_tokens(family: str, text: str):
+    return (tokenize_legal if family == "legal" else tokenize_code)(F.col(text))
+
+
+def stored_index(c: Corpus, family: str, allowed: str | None = None) -> lexicon.Lexicon:
+    """The corpus's stored index of a family, or a new one of its chunks in a folder of its own."""
+    if c.index:
+        return c.index(family)
+    mask = lexicon.role_mask(F.col(allowed)) if allowed else None
+    return lexicon.build(c.chunks, c.key, family_tokens(family, c.text), store.fresh_folder(c.chunks.sparkSession, "index"), mask=mask)
+
+
+def everything(c: Corpus) -> DataFrame:
+    """The one view that sees all chunks."""
+    return lexicon.views_of(c.chunks.sparkSession, {"all": None})
 
 
 def lexical(c: Corpus, k: int, family: str = "legal") -> DataFrame:
     """query, key, score, rank in one of the BM25 families."""
-    tokens = (tokenize_legal if family == "legal" else tokenize_code)(F.col(c.text))
+    tokens = family_tokens(family, c.text)
+    if c.index:
+        found = lexicon.search(c.index(family), everything(c), c.questions.withColumn("view", F.lit("all")), c.query, tokens, k, family)
+        return found.drop("view")
     find = bm25.search_legal if family == "legal" else bm25.search_code
     return find(c.chunks, c.questions, tokens, tokens, c.key, c.query, k)
 
@@ -78,7 +104,12 @@ def reranked(c: Corpus, cfg: SearchConfig = SearchConfig()) -> DataFrame:
     """The first fused candidates with their texts, scored lexically and reordered."""
     first = hybrid(c, cfg).filter(F.col("fused_rank") <= cfg.rerank_candidates)
     texts = first.join(c.chunks.select(c.key, F.col(c.text).alias("chunk_text")), c.key).join(c.questions.select(c.query, F.col(c.text).alias("question_text")), c.query)
-    scored = rerank.lexical_scores(texts, c.chunks, c.key, "question_text", "chunk_text", c.text)
+    if c.index:
+        ix, views = c.index("code"), everything(c)
+        frequencies, sizes = lexicon.statistics(ix, views), lexicon.totals(ix, views).withColumnRenamed("n_chunks", "n")
+    else:
+        frequencies, sizes = rerank.corpus_frequencies(c.chunks, c.text, c.questions.withColumnRenamed(c.text, "question_text"), "question_text")
+    scored = rerank.lexical_scores(texts, frequencies, sizes, "question_text", "chunk_text")
     return rerank.rerank(scored, c.query, c.key, "rerank_score", "fused_rank", cfg.rerank_candidates, cfg.top_k).drop("chunk_text", "question_text")
 
 
@@ -145,63 +176,77 @@ def secure_search(c: Corpus, allowed: str, roles: list[str], cfg: SearchConfig =
 SECURE_METHODS = ["bm25", "dense", "hybrid", "hybrid_rerank"]
 
 
-def permitted_corpus(c: Corpus, allowed: str, roles: list[str]) -> Corpus:
-    """The corpus as the roles see it: chunks and vectors that none of them may see are not in it."""
-    permitted = rbac.visible(c.chunks, allowed, rbac.validate_roles(roles))
-    return Corpus(permitted, c.vectors.join(permitted.select(c.key), c.key, "left_semi"), c.questions, c.query_vectors, c.key, c.query, c.text, c.vector)
+def secure_views(c: Corpus, allowed: str, asks: DataFrame, views: dict[str, list[str] | None], methods: list[str], cfg: SearchConfig = SearchConfig()) -> DataFrame:
+    """view, query, method, key, rank, score over what each view's roles may see, for the asked (view, query) pairs.
 
-
-def secure_retrieve(c: Corpus, allowed: str, roles: list[str], method: str = "hybrid_rerank", cfg: SearchConfig = SearchConfig()) -> DataFrame:
-    """query, key, rank, score over what the roles may see, filtered before any scoring, before reranking and once more at the end.
-
-    Unknown roles and methods are errors.
+    Term statistics come from the view's own chunks, by the masks of one stored index; chunks and vectors are filtered before any
+    scoring, before reranking and once more at the end. All methods share one lexical and one vector search.
     """
-    if method not in SECURE_METHODS:
-        raise ValueError(f"unknown method: {method}")
-    own = permitted_corpus(c, allowed, roles)
-    if method == "bm25":
-        rows = lexical(own, cfg.top_k, "code").select(c.query, c.key, "rank", "score")
-    elif method == "dense":
-        rows = semantic(own, cfg.top_k).select(c.query, c.key, "rank", F.col("similarity").alias("score"))
-    else:
-        fused = fusion.fuse_by_id(lexical(own, cfg.candidate_k, "code"), semantic(own, cfg.candidate_k), c.query, c.key, cfg.rrf_k)
-        if method == "hybrid":
-            rows = fused.filter(F.col("fused_rank") <= cfg.top_k).select(c.query, c.key, F.col("fused_rank").alias("rank"), F.col("rrf_score").alias("score"))
+    if set(methods) - set(SECURE_METHODS):
+        raise ValueError(f"unknown method: {sorted(set(methods) - set(SECURE_METHODS))}")
+    spark, k, by = c.chunks.sparkSession, max(cfg.top_k, cfg.candidate_k), ["view", c.query]
+    ix, held = stored_index(c, "code", allowed), lexicon.views_of(spark, views)
+    masks = ix.table("chunks").select(c.key, "mask")
+    parts, lex, near = [], None, None
+    if set(methods) - {"dense"}:
+        lex = lexicon.search(ix, held, c.questions.join(asks, c.query), c.query, family_tokens("code", c.text), k, "code")
+        lex = lexicon.spilled(lex, "lex") if len(methods) > 1 else lex
+    if set(methods) - {"bm25"}:
+        asked = c.query_vectors.join(asks, c.query).join(F.broadcast(held), "view")  # a row for each view
+        near = dense.cosine_top_k(c.vectors.join(masks, c.key), asked, c.key, by, c.vector, k, mask="mask", bits="bits")
+        near = lexicon.spilled(near, "near") if len(methods) > 1 else near
+    fused = fusion.fuse_by_id(lex, near, by, c.key, cfg.rrf_k) if {"hybrid", "hybrid_rerank"} & set(methods) else None
+    for method in methods:
+        if method == "bm25":
+            rows = lex.select(*by, c.key, "rank", "score")
+        elif method == "dense":
+            rows = near.select(*by, c.key, "rank", F.col("similarity").alias("score"))
+        elif method == "hybrid":
+            rows = fused.select(*by, c.key, F.col("fused_rank").alias("rank"), F.col("rrf_score").alias("score"))
         else:
-            safe = rbac.post_filter(fused.filter(F.col("fused_rank") <= cfg.candidate_k), c.chunks, c.key, allowed, roles)
-            texts = safe.join(own.chunks.select(c.key, F.col(c.text).alias("chunk_text")), c.key).join(c.questions.select(c.query, F.col(c.text).alias("question_text")), c.query)
-            scored = rerank.lexical_scores(texts, own.chunks, c.key, "question_text", "chunk_text", c.text)
-            best = rerank.rerank(scored, c.query, c.key, "rerank_score", "fused_rank", cfg.candidate_k, cfg.top_k)
-            rows = best.select(c.query, c.key, F.col("final_rank").alias("rank"), F.col("rerank_score").alias("score"))
-    return rbac.post_filter(rows, c.chunks, c.key, allowed, roles)
+            safe = permitted(fused.filter(F.col("fused_rank") <= cfg.candidate_k), masks, held, c.key)
+            texts = safe.join(c.chunks.select(c.key, F.col(c.text).alias("chunk_text")), c.key).join(c.questions.select(c.query, F.col(c.text).alias("question_text")), c.query)
+            sizes = lexicon.totals(ix, held).withColumnRenamed("n_chunks", "n")
+            scored = rerank.lexical_scores(texts, lexicon.statistics(ix, held), sizes, "question_text", "chunk_text", "view")
+            best = rerank.rerank(scored, by, c.key, "rerank_score", "fused_rank", cfg.candidate_k, cfg.top_k)
+            rows = best.select(*by, c.key, F.col("final_rank").alias("rank"), F.col("rerank_score").alias("score"))
+        parts.append(rows.filter(F.col("rank") <= cfg.top_k).withColumn("method", F.lit(method)))
+    return permitted(reduce(DataFrame.unionByName, parts), masks, held, c.key)
+
+
+def permitted(hits: DataFrame, masks: DataFrame, views: DataFrame, key: str) -> DataFrame:
+    """Hits that are known and that their view may see; an unknown one is denied."""
+    met = hits.join(masks.withColumnRenamed("mask", "__mask"), key).join(F.broadcast(views.withColumnRenamed("bits", "__bits")), "view")  # a row for each view
+    return met.filter(F.col("__mask").bitwiseAND(F.col("__bits")) != 0).drop("__mask", "__bits")
+
+
+def secure_retrieve(c: Corpus, allowed: str, roles: list[str], method: str = "hybrid_rerank", cfg: SearchConfig = SearchConfig()) -> DataFrame:
+    """query, key, rank, score over what the roles may see. Unknown roles and methods are errors."""
+    asks = c.questions.select(c.query).distinct().withColumn("view", F.lit("own"))
+    return secure_views(c, allowed, asks, {"own": rbac.validate_roles(roles)}, [method], cfg).select(c.query, c.key, "rank", "score")
 
 
 def secure_statistics(c: Corpus, allowed: str, roles: list[str], cfg: SearchConfig = SearchConfig()) -> DataFrame:
     """Per question: chunks visible and hidden, and how many of the unrestricted best candidates the roles may not see."""
-    seen = rbac.overlaps(F.col(allowed), rbac.validate_roles(roles))
-    counts = c.chunks.agg(F.count_if(seen).alias("n_visible"), F.count_if(~seen).alias("n_hidden"))
-    first = lexical(c, cfg.candidate_k, "code").select(c.query, c.key).join(c.chunks.select(c.key, allowed), c.key)
-    n = rbac.rejected(first, allowed, c.query, roles)
+    spark, ix = c.chunks.sparkSession, stored_index(c, "code", allowed)
+    seen = F.col("mask").bitwiseAND(lexicon.view_bits(roles)) != 0
+    counts = ix.table("sizes").agg(F.coalesce(F.sum(F.when(seen, F.col("n_chunks"))), F.lit(0)).alias("n_visible"), F.coalesce(F.sum(F.when(~seen, F.col("n_chunks"))), F.lit(0)).alias("n_hidden"))
+    first = lexicon.search(ix, everything(c), c.questions.withColumn("view", F.lit("all")), c.query, family_tokens("code", c.text), cfg.candidate_k, "code")
+    n = first.join(ix.table("chunks").select(c.key, "mask"), c.key).groupBy(c.query).agg(F.count_if(~seen).alias("n_rejected"))
     return c.questions.select(c.query).join(n, c.query, "left").select(c.query, F.coalesce("n_rejected", F.lit(0)).alias("n_rejected")).crossJoin(F.broadcast(counts))  # one row
 
 
-def leak_audit(c: Corpus, allowed: str, cases: list[tuple[str, object, object, list[str], list[str]]], cfg: SearchConfig = SearchConfig(), methods: list[str] = SECURE_METHODS) -> DataFrame:
-    """Per case and method: whether the target shows up for roles that may not see it, and its rank for those that may.
+def leak_audit(c: Corpus, allowed: str, cases: DataFrame, views: dict[str, list[str]], cfg: SearchConfig = SearchConfig(), methods: list[str] = SECURE_METHODS) -> DataFrame:
+    """case, method, leaked (the target shows up for the roles without access), authorized_rank (its rank for those with access).
 
-    cases: (name, question, target, roles without access, roles with access), a short list.
+    cases: case, query, target (a chunk key), outsider and insider (names of views). One search answers all cases and both views.
     """
-    spark, parts = c.chunks.sparkSession, []
-    kinds = f"case string, {c.query} {c.questions.schema[c.query].dataType.simpleString()}, {c.key} {c.chunks.schema[c.key].dataType.simpleString()}, outsider boolean"
-    if not cases:
-        return spark.createDataFrame([], "case string, method string, leaked boolean, authorized_rank int")
-    for roles in sorted({tuple(x[3]) for x in cases} | {tuple(x[4]) for x in cases}):
-        own = [(name, question, target, roles == tuple(without)) for name, question, target, without, with_access in cases if roles in (tuple(without), tuple(with_access))]
-        asked = F.broadcast(spark.createDataFrame(own, kinds))  # a row for each case
-        for method in methods:
-            found = secure_retrieve(c, allowed, list(roles), method, cfg)
-            parts.append(asked.join(found.select(c.query, c.key, "rank"), [c.query, c.key], "left").select("case", F.lit(method).alias("method"), "outsider", "rank"))
-    rows = reduce(DataFrame.unionByName, parts)
-    return rows.groupBy("case", "method").agg(F.max(F.col("outsider") & F.col("rank").isNotNull()).alias("leaked"), F.min(F.when(~F.col("outsider"), F.col("rank"))).alias("authorized_rank"))
+    asks = cases.select(F.explode(F.array("outsider", "insider")).alias("view"), c.query).distinct()
+    found = secure_views(c, allowed, asks, views, methods, cfg).select("view", c.query, "method", F.col(c.key).alias("target"), "rank")
+    grid = cases.withColumn("method", F.explode(F.array(*map(F.lit, methods))))
+    at = lambda side, name: grid.join(found.withColumnRenamed("view", side).withColumnRenamed("rank", name), [side, c.query, "method", "target"], "left").select("case", "method", name)
+    both = at("outsider", "seen").join(at("insider", "authorized_rank"), ["case", "method"])
+    return both.select("case", "method", F.col("seen").isNotNull().alias("leaked"), "authorized_rank")
 
 
 NO_CONTEXT = "Không tìm thấy đủ thông tin trong phạm vi tài liệu được phép truy cập."

@@ -105,3 +105,21 @@ def test_html_text_of_pages(spark):
     """Every word of the pages' visible blocks, and nothing of scripts and styles."""
     rows = catalog.QUERIES["html_text"](spark, SF).collect()
     assert len(rows) == 50 and all(v is not None for r in rows for v in r)
+
+
+def audit_rows(spark):
+    c, cases = answers._audit_corpus(spark, SF)
+    c = search.Corpus(c.chunks, c.vectors, c.questions, c.query_vectors)  # an index of its own: nothing kept from another run
+    return search.leak_audit(c, "allowed", cases, answers._AUDIT, answers._CFG).collect()
+
+
+def test_leak_audit_finds_every_target_once_the_filter_is_gone(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from quillstone.operators import rbac
+
+    sound = audit_rows(spark)
+    assert len(sound) >= 20 and not any(r["leaked"] for r in sound)
+    assert all(r["authorized_rank"] is not None for r in sound)  # whoever may see the target finds it by every method
+    monkeypatch.setattr(rbac, "overlaps", lambda allowed, roles: F.lit(True))
+    assert all(r["leaked"] for r in audit_rows(spark))
