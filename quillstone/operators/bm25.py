@@ -109,10 +109,3 @@ def search_code(chunks: DataFrame, questions: DataFrame, tokens: Column, query_t
     index = build_search_index(chunks, questions, key, tokens, query_tokens)
     found = top_k(scores(index, questions, query_key, query_tokens, key), query_key, key, k, positive_only=True)
     return found.withColumn("score", F.round("score", 6))
-
-
-def best_match(left: DataFrame, right: DataFrame, left_key: str, right_key: str, left_tokens: Column, right_tokens: Column) -> DataFrame:
-    """Each left row with its best right row by BM25 over the right side; null where no score is above zero; ties to the smallest key."""
-    index = build_search_index(right, left, right_key, right_tokens, left_tokens)
-    found = top_k(scores(index, left, left_key, left_tokens, right_key), left_key, right_key, 1, positive_only=True)
-    return left.select(left_key).join(found.select(left_key, right_key, "score"), left_key, "left")

@@ -7,7 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import snippet, tokenize_code
-from .bm25 import best_match, search_code
+from . import lexicon
+from .bm25 import search_code
 from .rbac import any_word
 
 # Document types, thresholds and words of the rules.
@@ -86,23 +87,43 @@ def classify_conflict(pairs: DataFrame, internal: str, external: str) -> DataFra
     return rows.select(*pairs.columns, "classification", "conflict_type", "severity", "method", "confidence")
 
 
-def match_requirements(external: DataFrame, internal: DataFrame, external_key: str, internal_key: str, text: str) -> DataFrame:
-    """Each external row with the best internal row by BM25 over internal texts (null: none)."""
-    return best_match(external, internal, external_key, internal_key, tokenize_code(F.col(text)), tokenize_code(F.col(text)))
+def match_requirements(external: DataFrame, ix: lexicon.Lexicon, external_key: str, text: str, roles: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(each external row with the best row of a stored index by BM25, null where none scores above zero; counts of what was scored).
 
+    With roles only rows that they may see take part, with statistics of their own. Pruned by bounds, so that texts of any number
+    can stand on both sides.
+    """
+    views = lexicon.views_of(ix.spark, {"own": roles})
+    asked = external.select(F.lit("own").alias("view"), F.col(external_key).alias("__asked"), text)
+    found, share = lexicon.bounded_top_k(ix, views, asked, "__asked", tokenize_code(F.col(text)), 1)
+    matched = ix.key if ix.key != external_key else f"matched_{ix.key}"
+    best = found.select(F.col(ix.key).alias(matched), F.col("__asked").alias(external_key), "score")
+    return external.select(external_key).join(best, external_key, "left"), share
 
-def gap_report(external: DataFrame, internal: DataFrame, external_key: str, internal_key: str, text: str) -> DataFrame:
-    """Requirement, its best policy, classification, confidence."""
-    pairs = match_requirements(external, internal, external_key, internal_key, text)
-    pairs = pairs.join(external.select(external_key, F.col(text).alias("external_text")), external_key).join(internal.select(internal_key, F.col(text).alias("internal_text")), internal_key, "left")
-    return classify_gap(pairs, "external_text", "internal_text")
 
+def _paired(pairs: DataFrame, asked: DataFrame, asked_key: str, asked_text: str, other: DataFrame, key: str, other_text: str, text: str) -> DataFrame:
+    """Matched pairs with both texts."""
+    matched = key if key != asked_key else f"matched_{key}"
+    own = asked.select(asked_key, F.col(text).alias(asked_text))
+    return pairs.join(own, asked_key).join(other.select(F.col(key).alias(matched), F.col(text).alias(other_text)), matched, "left")
 
-def conflict_report(internal: DataFrame, external: DataFrame, internal_key: str, external_key: str, text: str) -> DataFrame:
-    """Policy, its best external text, classification. The internal side may have been filtered by role; the external is not."""
-    pairs = match_requirements(internal, external, internal_key, external_key, text)
-    pairs = pairs.join(internal.select(internal_key, F.col(text).alias("internal_text")), internal_key).join(external.select(external_key, F.col(text).alias("external_text")), external_key, "left")
-    return classify_conflict(pairs, "internal_text", "external_text")
+
+def gap_report(external: DataFrame, internal: DataFrame, ix: lexicon.Lexicon, external_key: str, internal_key: str, text: str) -> DataFrame:
+    """Requirement, its best policy, classification, confidence; ix indexes the internal texts."""
+    pairs, _ = match_requirements(external, ix, external_key, text)
+    return classify_gap(_paired(pairs, external, external_key, "external_text", internal, internal_key, "internal_text", text), "external_text", "internal_text")
+
+
+def conflict_check(internal: DataFrame, external: DataFrame, ix: lexicon.Lexicon, internal_key: str, external_key: str, text: str, roles: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(policy, its best external text, classification, severity; counts of what was scored); ix indexes the external texts.
+
+    The internal side is first cut to what the roles may see where it has a column of allowed roles; the external side is open to all.
+    """
+    from .rbac import visible
+
+    own = visible(internal, "allowed", roles) if roles is not None else internal
+    pairs, share = match_requirements(own, ix, internal_key, text)
+    return classify_conflict(_paired(pairs, own, internal_key, "internal_text", external, external_key, "external_text", text), "internal_text", "external_text"), share
 
 
 def class_counts(rows: DataFrame, column: str, classes: list[str]) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import compliance, lexicon, rbac
+from ..sources import store
 from ..sources.tables import spread
 from ..sources.tables import table as _table
 from ..streaming import audit
@@ -118,17 +119,35 @@ def conflict_classify(spark, sf):
 
 
 def best_match(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text")
-    return compliance.match_requirements(table(spark, sf, "benchmark"), docs, "item_id", "doc_id", "text").select("item_id", "doc_id", F.round("score", 6).alias("score"))
+    found, _ = compliance.match_requirements(table(spark, sf, "benchmark"), documents_index(spark, sf, "code"), "item_id", "text")
+    return found.select("item_id", "doc_id", F.round("score", 6).alias("score"))
+
+
+def _own_index(spark, rows) -> lexicon.Lexicon:
+    return lexicon.build(rows, "doc_id", T.tokenize_code(F.col("text")), store.fresh_folder(spark, "index"))
 
 
 def gap_report(spark, sf):
     internal = _policies(spark, sf).select("doc_id", "text")
     external = table(spark, sf, "benchmark").select("item_id", F.concat("text", F.lit(" tối thiểu 9 %")).alias("text"))
-    out = compliance.gap_report(external, internal, "item_id", "doc_id", "text")
+    out = compliance.gap_report(external, internal, _own_index(spark, internal), "item_id", "doc_id", "text")
     return compliance.class_counts(out, "classification", ["DAP_UNG", "CHENH_LECH", "THIEU", "CHUA_DU_BANG_CHUNG"])
 
 
+def _two_sides(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Policies of the unit (sources of even numbers) with their roles, and all others as external texts."""
+    roles = _tagged(spark, sf).select("doc_id", "source", "allowed")
+    rows = _policies(spark, sf).select("doc_id", "text").join(roles, "doc_id")
+    own = F.coalesce(F.col("source").rlike("[02468]$"), F.lit(False))
+    return rows.filter(own), rows.filter(~own)
+
+
+def conflict_check(spark, sf):
+    internal, external = _two_sides(spark, sf)
+    out, _ = compliance.conflict_check(internal, external, _own_index(spark, external), "doc_id", "doc_id", "text", ["Staff"])
+    return out.select("doc_id", "matched_doc_id", F.round("score", 6).alias("score"), "classification", "severity", "method", "confidence")
+
+
 def document_class(spark, sf):
     kind = F.when(F.col("doc_id") % 4 == 0, " Luật ").when(F.col("doc_id") % 4 == 1, "Quy chế nội bộ").when(F.col("doc_id") % 4 == 2, "khác")
     doc = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("agr_"), F.col("doc_id").cast("string"))).otherwise(F.col("doc_id").cast("string"))
@@ -164,11 +183,24 @@ QUERIES = {
     f.__name__: f
     for f in (
         security_tag, rbac_filter, rbac_single_role, visibility, role_union, parse_roles, secure_bm25, leak_check, rejected_by_role, access_decision, audit_events, audit_denied, redact, threshold_extract,
-        gap_classify, conflict_classify, best_match, gap_report, document_class, risk_level, checklist, unknown_citations, class_examples,
+        gap_classify, conflict_classify, best_match, gap_report, conflict_check, document_class, risk_level, checklist, unknown_citations, class_examples,
     )
 }
 
 
+def _conflict_sql() -> str:
+    from .retrieval import _CODE, bm25_sql
+
+    best = bm25_sql(_CODE, docs="ext", fill=False, positive=True, k=1).replace("FROM benchmark", "FROM iq")
+    pol = _POL[: _POL.index(", pairs AS")]
+    return f"""WITH {_TAG}, {pol}, sides AS (SELECT pol.*, coalesce(regexp_matches(source, '[02468]$'), false) AS own, list_contains(allowed, 'Staff') AS seen FROM pol JOIN tagged USING (doc_id)),
+ext AS (SELECT doc_id, text FROM sides WHERE NOT own), iq AS (SELECT doc_id AS item_id, text FROM sides WHERE own AND seen), {best},
+m AS (SELECT i.doc_id, l.doc_id AS matched_doc_id, score, i.f AS if_, i.c AS ic, i.a AS ia, e.f AS ef, e.c AS ec, e.a AS ea FROM (SELECT * FROM sides WHERE own AND seen) i LEFT JOIN lex l ON l.item_id = i.doc_id LEFT JOIN pol e ON e.doc_id = l.doc_id),
+r AS (SELECT *, matched_doc_id IS NULL AS none_, if_ IS NOT NULL AND ef IS NOT NULL AS hf, ic IS NOT NULL AND ec IS NOT NULL AS hc, ia IS NOT NULL AND ea IS NOT NULL AS ha FROM m),
+k AS (SELECT *, CASE WHEN none_ THEN false WHEN hf THEN if_ < ef WHEN hc THEN ic > ec WHEN ha THEN ia > ea ELSE false END AS clash FROM r)
+SELECT doc_id, matched_doc_id, round(score, 6) AS score, CASE WHEN clash THEN 'XUNG_DOT' WHEN NOT none_ AND (hf OR hc OR ha) THEN 'KHONG_XUNG_DOT' ELSE 'CHUA_DU_BANG_CHUNG' END AS classification, CASE WHEN clash THEN 'HIGH' END AS severity, CASE WHEN none_ THEN 'no_candidate' WHEN hf THEN 'rule_numeric_floor_pct' WHEN hc THEN 'rule_numeric_ceiling_pct' WHEN ha THEN 'rule_numeric_ceiling_amount' ELSE 'rule_no_confident_match' END AS method, CASE WHEN none_ THEN 0.3 WHEN hf THEN 0.85 WHEN hc OR ha THEN 0.8 ELSE 0.35 END::DOUBLE AS confidence FROM k"""
+
+
 def _oracles() -> dict[str, str]:
     from .retrieval import _CODE, bm25_sql
 
@@ -197,6 +229,7 @@ def _oracles() -> dict[str, str]:
         "risk_level": "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'MEDIUM' ELSE 'LOW' END AS risk_level FROM documents",
         "unknown_citations": "SELECT doc_id * 2 AS citation FROM labels WHERE doc_id * 2 NOT IN (SELECT doc_id FROM documents)",
         "class_examples": "SELECT source, doc_id, example FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS example FROM documents) WHERE example <= 5",
+        "conflict_check": _conflict_sql(),
         "gap_report": f"WITH {_POL}, bq AS (SELECT item_id, text || ' tối thiểu 9 %' AS text FROM benchmark), {best.replace('FROM documents', 'FROM pol').replace('FROM benchmark', 'FROM bq')}, m AS (SELECT item_id, f FROM bq LEFT JOIN lex USING (item_id) LEFT JOIN pol USING (doc_id)), c AS (SELECT CASE WHEN f IS NULL THEN 'CHUA_DU_BANG_CHUNG' WHEN f >= 9 THEN 'DAP_UNG' ELSE 'CHENH_LECH' END AS k FROM m) SELECT k AS classification, (SELECT count(*) FROM c WHERE c.k = u.k) AS n FROM unnest(['DAP_UNG', 'CHENH_LECH', 'THIEU', 'CHUA_DU_BANG_CHUNG']) u(k)",
     }
 
