@@ -7,6 +7,10 @@ one, the prior's.
 A container whose class, id or role marks boilerplate goes with all it holds, unless it holds the page's article or half of its
 sure text: a wrapper such as "page no-sidebar" or "layout has-comments" condemns nothing.
 
+The listed function words are evidence, not a condition. A block of another script than Latin is judged by length and links. Where
+blocks without listed words hold more of a page than those with them, the page is in another language, and its function words are
+estimated as words of at most three small letters. A page on which nothing is sure keeps all its undecided blocks.
+
 Null and empty html give an empty text; unclosed tags, scripts and comments end with the page; where the quotes of a tag do not
 balance, it ends at the next >. A very long page is one row of one task; time grows with its length. An empty table gives an
 empty result. Repeated rows give repeated results, ties between neighbours go to the good one; extra columns are not read, whatever
@@ -64,6 +68,9 @@ _TAG = re.compile(rf"<(?:(/?)([a-zA-Z][a-zA-Z0-9:-]*)({_VALUE}(?=>)|[^>]*)|[!?][
 _NAMED = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _SPACE = re.compile(r"\s+")
 
+#: Letters of scripts that put no spaces between words (Thai to Burmese, Khmer, kana, Han, Hangul): each says about as much as a few others.
+_WIDE = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uac00-\ud7af\uf900-\ufaff]")
+WIDE_MORE = 2.0
 #: Thresholds of the first pass.
 MAX_LINKS, SHORT, LONG, STOPS_LOW, STOPS_HIGH = 0.4, 70, 200, 0.05, 0.15
 
@@ -163,7 +170,7 @@ def blocks(page: str) -> tuple[list[dict], list[dict]]:
     return found, condemned
 
 
-def boilerplate(found: list[dict], condemned: list[dict]) -> list[bool]:
+def boilerplate(found: list[dict], condemned: list[dict], other: bool = False) -> list[bool]:
     """Of each container, whether it stays condemned: by its own mark or by one around it.
 
     Its class alone does not condemn a container that holds an article, a main element or half of the page's sure text; reader
@@ -172,7 +179,7 @@ def boilerplate(found: list[dict], condemned: list[dict]) -> list[bool]:
     good = [0] * len(condemned)
     total = 0
     for b in found:
-        if decide(b, False):
+        if decide(b, False, other):
             total += len(b["text"])
             if b["in"] >= 0:
                 good[b["in"]] += len(b["text"])
@@ -190,31 +197,59 @@ def boilerplate(found: list[dict], condemned: list[dict]) -> list[bool]:
     return out
 
 
-def decide(b: dict, prior: bool) -> bool | None:
-    """First pass, for a block outside of boilerplate: True good, False bad, None undecided. prior: articles count as likely main text."""
+def weight(text: str) -> float:
+    """Length in code points, of which those of scripts without spaces between words count more."""
+    return len(text) if text.isascii() else len(text) + WIDE_MORE * len(_WIDE.findall(text))
+
+
+def other_script(text: str) -> bool:
+    """Whether most letters are not Latin."""
+    if text.isascii():
+        return False
+    letters = [c for c in text if c.isalpha()]
+    return 2 * sum(c > "\u024f" and not "\u1e00" <= c <= "\u1eff" for c in letters) > len(letters)
+
+
+def decide(b: dict, prior: bool, other: bool = False) -> bool | None:
+    """First pass, for a block outside of boilerplate: True good, False bad, None undecided.
+
+    prior: articles count as likely main text. other: the page is in a language whose function words are not listed.
+    """
     if b["links"] > MAX_LINKS:
         return None if b["para"] else False  # a paragraph that is one link follows its neighbours
-    if b["heading"] or len(b["text"]) < SHORT:
+    size = weight(b["text"])
+    if b["heading"] or size < SHORT:
         return None
     words = b["text"].lower().split()
     stops = sum(w.strip(".,;:!?\"'()") in STOP_WORDS for w in words) / len(words)
+    if stops < STOPS_LOW and other_script(b["text"]):
+        return True if size > LONG else None
+    if stops < STOPS_HIGH and other:
+        stops = max(stops, sum(len(w) <= 3 and w.isalpha() and w.islower() for w in b["text"].split()) / len(words))
     if prior and b["article"]:
         return True if stops >= STOPS_LOW else None
     if stops >= STOPS_HIGH:
-        return True if len(b["text"]) > LONG else None
+        return True if size > LONG else None
     return None if stops >= STOPS_LOW else False
 
 
+def other_language(found: list[dict]) -> bool:
+    """Whether more text is sure by estimated function words alone than by listed ones."""
+    listed = sum(len(b["text"]) for b in found if decide(b, False))
+    return sum(len(b["text"]) for b in found if decide(b, False, True)) > 2 * listed
+
+
 def main_text(page: str | None) -> str:
     """The page's main text: good blocks in page order, joined by a blank line."""
     if not page:
         return ""
     found, condemned = blocks(page)
-    gone = boilerplate(found, condemned)
+    other = other_language(found)
+    gone = boilerplate(found, condemned, other)
     bad = [b["in"] >= 0 and gone[b["in"]] for b in found]
-    plain = {b["article"] for b, x in zip(found, bad, strict=True) if not x and decide(b, False)}  # the sides with sure text by density alone
+    plain = {b["article"] for b, x in zip(found, bad, strict=True) if not x and decide(b, False, other)}  # the sides with sure text by density alone
     prior = plain != {False}
-    said = [False if x else decide(b, prior) for b, x in zip(found, bad, strict=True)]
+    said = [False if x else decide(b, prior, other) for b, x in zip(found, bad, strict=True)]
     final = list(said)
     before, after = _nearest(found, said, range(len(found))), _nearest(found, said, range(len(found) - 1, -1, -1))
     for i, b in enumerate(found):
@@ -230,6 +265,8 @@ def main_text(page: str | None) -> str:
             else:
                 least = min(abs(j - i) for j in near)
                 final[i] = any(said[j] for j in near if abs(j - i) == least)
+    if not any(final):  # nothing is sure: a page of short or sparse blocks
+        final = [x is None and b["links"] <= MAX_LINKS for b, x in zip(found, said, strict=True)]
     return "\n\n".join(b["text"] for b, good in zip(found, final, strict=True) if good)
 
 
