@@ -38,7 +38,7 @@ KINDS = [
     ("github", r"(gh[pousr]_[A-Za-z0-9]{20,})", 1, 0, ("ghp_", "gho_", "ghu_", "ghs_", "ghr_")),
     ("slack", r"(xox[abprs]-[A-Za-z0-9-]{10,})", 1, 0, ("xox",)),
     ("jwt", r"(eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})", 1, 0, ("eyj",)),
-    ("urlauth", r"([a-z][a-z0-9+.-]{1,20}://[^\s/:@]{1,64}:[^\s/:@]{3,64}@)", 1, 0, ("://",)),
+    ("urlauth", r"([a-z][a-z0-9+.-]{1,20}://[^\s/:@]+:[^\s/:@]{3,}@)", 1, 0, ("://",)),
 ]
 BASE_KINDS = 3
 #: A value of more owners, or of more repositories for each owner, is a copied example; a live-looking value has at least so many distinct characters.
