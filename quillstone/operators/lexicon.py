@@ -66,6 +66,10 @@ class Lexicon:
     def table(self, name: str, only: list[int] | None = None) -> DataFrame:
         return store.load(self.spark, self.path, name, self.number, only)
 
+    def buckets(self, rows: DataFrame) -> list[int]:
+        """The posting buckets of the rows' terms."""
+        return store.touched(self.spark, self.path, "postings", rows, "term")
+
 
 def build(chunks: DataFrame, key: str, tokens: Column, path: str, identity: dict | None = None, mask: Column | None = None) -> Lexicon:
     """Write the index of all chunks as a new version. Texts are cut into tokens once."""
@@ -80,7 +84,12 @@ def build(chunks: DataFrame, key: str, tokens: Column, path: str, identity: dict
     met, whole = rows.filter("term IS NOT NULL"), rows.filter("term IS NULL").select(key, "mask", "length")
     stats = met.groupBy("term", "mask").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
     sizes = whole.groupBy("mask").agg(F.count("*").alias("n_chunks"), F.coalesce(F.sum("length"), F.lit(0)).cast("long").alias("n_tokens"))
-    tables = {"postings": (met.select("term", key, "tf", "length", "mask"), key, "term", ("term",)), "chunks": whole, "stats": stats, "sizes": sizes}
+    n = whole.count()
+    # what sees everything is asked most: its weights are stored
+    counted = stats.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf")).withColumn("raw", F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    mean = counted.agg(F.avg("raw")).first()[0]
+    every = counted.select("term", "df", "cf", F.when(F.col("raw") < 0, F.lit(EPSILON * (mean or 0.0))).otherwise(F.col("raw")).alias("idf"))
+    tables = {"every": every, "postings": (met.select("term", key, "tf", "length", "mask"), key, "term", ("term",)), "chunks": whole, "stats": stats, "sizes": sizes.coalesce(1)}
     return Lexicon(spark, path, store.save(tables, path, identity), key)
 
 
@@ -103,7 +112,9 @@ def totals(ix: Lexicon, views: DataFrame) -> DataFrame:
 
 
 def statistics(ix: Lexicon, views: DataFrame) -> DataFrame:
-    """view, term, df, cf, idf: sums over the masks that meet the view. One pass over the vocabulary for all views."""
+    """view, term, df, cf, idf: sums over the masks that meet the view. One pass over the vocabulary for all views; what sees everything is stored."""
+    if all(r["bits"] == EVERY for r in views.collect()):  # a few named views
+        return ix.table("every").crossJoin(F.broadcast(views.select("view"))).select("view", "term", "df", "cf", "idf")
     met = ix.table("stats").join(F.broadcast(views), F.col("mask").bitwiseAND(F.col("bits")) != 0)
     counted = met.groupBy("view", "term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
     raw = F.log(F.col("n_chunks") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
@@ -126,10 +137,11 @@ def part(tf: Column, length: Column, average: Column) -> Column:
 
 def scores(ix: Lexicon, asked: DataFrame, query: str) -> DataFrame:
     """view, query, chunk, score for every pair that shares a term and whose chunk the view may see."""
-    postings = ix.table("postings", store.touched(ix.spark, ix.path, "postings", asked, "term"))
-    met = postings.join(_small(asked), "term").filter(F.col("mask").bitwiseAND(F.col("bits")) != 0)
+    postings = ix.table("postings", ix.buckets(asked))
+    asks = spilled(asked.select("view", query).distinct().withColumn("ask", F.monotonically_increasing_id()), "asks")  # one number for the rows that are added up
+    met = postings.join(_small(asked.join(_small(asks), ["view", query]).drop("view", query)), "term").filter(F.col("mask").bitwiseAND(F.col("bits")) != 0)
     added = F.col("times") * F.col("idf") * part(F.col("tf"), F.col("length"), F.col("avg_length"))
-    return met.groupBy("view", query, ix.key).agg(F.sum(added).alias("score"))
+    return met.groupBy("ask", ix.key).agg(F.sum(added).alias("score")).join(_small(asks), "ask").drop("ask")
 
 
 def ranked(scored: DataFrame, query: str, key: str, k: int) -> DataFrame:
@@ -147,7 +159,8 @@ def search(ix: Lexicon, views: DataFrame, questions: DataFrame, query: str, toke
         seen = ix.table("chunks").join(F.broadcast(views), F.col("mask").bitwiseAND(F.col("bits")) != 0)
         fill = seen.withColumn("r", F.row_number().over(W.partitionBy("view").orderBy(ix.key))).filter(F.col("r") <= k).select("view", ix.key)  # k rows a view
         zero = questions.select("view", query).distinct().join(F.broadcast(fill), "view").withColumn("score", F.lit(0.0))
-        scored = scored.unionByName(zero).groupBy("view", query, ix.key).agg(F.max("score").alias("score"))
+        # the k best first: a filler can displace only these, and one that was scored below them stays below them
+        scored = ranked(scored, query, ix.key, k).drop("rank").unionByName(zero).groupBy("view", query, ix.key).agg(F.max("score").alias("score"))
         return ranked(scored, query, ix.key, k)
     return ranked(scored, query, ix.key, k).filter(F.col("score") > 0).withColumn("score", F.round("score", 6))
 
@@ -166,7 +179,7 @@ def bounded_top_k(ix: Lexicon, views: DataFrame, questions: DataFrame, query: st
     """(view, query, chunk, score, rank of scores above zero; one row of counts: pairs sharing a term, pairs met, pairs scored whole)."""
     key = ix.key
     asked = spilled(asked_terms(ix, views, questions, query, tokens), "asked")
-    postings = ix.table("postings", store.touched(ix.spark, ix.path, "postings", asked, "term"))
+    postings = ix.table("postings", ix.buckets(asked))
     # the greatest part of any posting of a term, per view, and how many postings the view sees
     terms = asked.select("view", "term", "bits", "avg_length").distinct()
     best = postings.join(_small(terms), "term").filter(F.col("mask").bitwiseAND(F.col("bits")) != 0)

@@ -62,7 +62,12 @@ def put_text(spark: SparkSession, path: str, text: str, replace: bool = False) -
 
 
 def get_text(spark: SparkSession, path: str) -> str:
-    return "\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect())
+    _, p, fs = _hadoop(spark, path)
+    source = fs.open(p)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(source, "UTF-8")
+    finally:
+        source.close()
 
 
 def fingerprint(spark: SparkSession, path: str) -> str:
