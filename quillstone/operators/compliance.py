@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import snippet, tokenize_code
-from . import lexicon
+from . import lexicon, scan
 from .bm25 import search_code
 from .rbac import any_word
 
@@ -151,7 +151,8 @@ def checklist(internal: DataFrame, external: DataFrame, domain: str, code: str,
     said = lambda df, side, at: df.select(F.lit(side).alias("__side"), at.alias("__at"), F.col(key).alias("__key"), question.alias("audit_question"), risk_level(F.col(text)).alias("risk_level"), F.col(citation).alias("source_citation"))
     # cut to what is shown before rows are numbered
     rows = said(internal, 0, F.lit(0)).unionByName(said(domain_external(internal, external, key, text, most), 1, F.col("rank")))
-    out = rows.withColumn("domain", F.lit(domain)).withColumn("__n", F.row_number().over(W.partitionBy("domain").orderBy("__side", "__at", "__key")).cast("string"))
+    # one domain may hold any number of rows: numbered in ranges
+    out = scan.numbers(rows.withColumn("domain", F.lit(domain)), [F.col("domain")], [F.col("__side"), F.col("__at"), F.col("__key")], "__n").withColumn("__n", F.col("__n").cast("string"))
     item = F.concat(F.lit(f"CHK_{code}_"), F.lpad(F.col("__n"), F.greatest(F.lit(2), F.length("__n")), F.lit("0")))
     return out.select(item.alias("item_id"), "domain", "audit_question", "risk_level", "source_citation", F.lit(REVIEW).alias("review_status"), F.lit("extractive_rule_based").alias("generation_method"))
 

@@ -11,6 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources import store
+from . import scan
+
 
 def union_entities(*tables: DataFrame) -> DataFrame:
     """Rows of tables with different columns; what a table lacks is empty text (null for other types)."""
@@ -37,23 +40,44 @@ def two_edge_paths(first: DataFrame, second: DataFrame) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut a loop's lineage in the shared checkpoint folder, where the session has one; a short loop in a test goes without."""
-    return df.checkpoint() if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else df
+    """Cut a loop's lineage: written to the shared folder and read again."""
+    return store.spill(df, "graph")
+
+
+#: Seeds of a block: the bits of one number. Seeds are dealt to blocks by hash, at this fill on average.
+BITS, FILL = 64, 48
+
+
+def numbered(seeds: DataFrame, seed: str) -> DataFrame:
+    """seed, block, bit: every distinct seed a bit of its own. Numbers are given within hash groups, so no task sees all seeds."""
+    own = seeds.select(F.col(seed).alias("seed")).distinct()
+    groups = max(1, -(-own.count() // FILL))
+    group = F.pmod(F.xxhash64("seed"), F.lit(groups))
+    placed = own.withColumn("g", group).withColumn("n", F.row_number().over(W.partitionBy("g").orderBy("seed")) - 1)
+    over = F.floor(F.col("n") / BITS).cast("long")  # a group of more seeds than bits goes on in further blocks
+    return placed.select("seed", (F.col("g") + over * groups).alias("block"), (F.col("n") % BITS).cast("int").alias("bit"))
 
 
 def neighbours(edges: DataFrame, seeds: DataFrame, hops: int, seed: str = "seed") -> DataFrame:
     """seed, node, hop: nodes within so many edges, either way, at their least distance; the seed itself is left out.
 
-    A loop of joins over the frontier; each round meets the edges once and drops what is known.
+    The frontier holds a row for each node and block of seeds, whose bits say which of them have just come there: joins and
+    shuffles grow with nodes, not with pairs. Bits become pairs in the result only.
     """
-    both = edges.select(F.col("src").alias("__a"), F.col("dst").alias("__b")).union(edges.select("dst", "src")).distinct()
-    known = seeds.select(F.col(seed), F.col(seed).alias("node"), F.lit(0).alias("hop")).distinct()
-    frontier = known
+    both = edges.select(F.col("src").alias("__a"), F.col("dst").alias("node")).union(edges.select("dst", "src")).distinct()
+    numbers = cut(numbered(seeds, seed))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))
+    frontier = cut(numbers.groupBy(F.col("seed").alias("node"), "block").agg(F.bit_or(one).alias("bits")).withColumn("hop", F.lit(0)))
+    reached = frontier
     for hop in range(1, hops + 1):
-        step = frontier.join(both, frontier.node == both["__a"]).select(seed, F.col("__b").alias("node")).distinct()
-        frontier = step.join(known.select(seed, "node"), [seed, "node"], "left_anti").withColumn("hop", F.lit(hop))
-        known, frontier = cut(known.unionByName(frontier)), cut(frontier)
-    return known.filter("hop > 0")
+        step = frontier.select(F.col("node").alias("__a"), "block", "bits").join(both, "__a").groupBy("node", "block").agg(F.bit_or("bits").alias("bits"))
+        known = reached.groupBy("node", "block").agg(F.bit_or("bits").alias("known"))
+        new = step.join(known, ["node", "block"], "left").withColumn("bits", F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("known", F.lit(0).cast("long")))))
+        frontier = cut(new.filter("bits <> 0").select("node", "block", "bits", F.lit(hop).alias("hop")))
+        reached = reached.unionByName(frontier)
+    on = F.filter(F.sequence(F.lit(0), F.lit(BITS - 1)), lambda i: F.bit_get(F.col("bits"), i) == 1)
+    pairs = reached.filter("hop > 0").select("node", "block", "hop", F.explode(on).alias("bit"))
+    return pairs.join(numbers, ["block", "bit"]).select(F.col("seed").alias(seed), "node", "hop")
 
 
 def ancestors(nodes: DataFrame, node_id: str, parent: str, most: int = 32) -> DataFrame:
@@ -198,9 +222,10 @@ def first_rows(rows: DataFrame, number: str, key: str, limit: int) -> DataFrame:
 
 
 def review_queue(edges: DataFrame) -> DataFrame:
-    """Proposed edges, the most confident first."""
-    order = W.partitionBy("kind").orderBy(F.col("confidence").desc_nulls_first(), "src", "dst")
-    return edges.filter(F.col("status") == "PROPOSED").withColumn("place", F.row_number().over(order))
+    """Proposed edges, the most confident first; a kind of any number of edges spreads over tasks."""
+    proposed = edges.filter(F.col("status") == "PROPOSED")
+    down = F.coalesce(-F.col("confidence"), F.lit(float("-inf")))  # nulls first
+    return scan.numbers(proposed, [F.col("kind")], [down, F.col("src"), F.col("dst")], "place")
 
 
 def wiki_totals(nodes: DataFrame, edges: DataFrame) -> DataFrame:

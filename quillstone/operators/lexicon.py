@@ -21,6 +21,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources import store
+from ..sources.store import spill as spilled
 from . import rbac
 from .bm25 import EPSILON, K1, RANK_DIGITS, B
 from .rbac import ROLES, validate_roles
@@ -165,13 +166,6 @@ def search(ix: Lexicon, views: DataFrame, questions: DataFrame, query: str, toke
     return ranked(scored, query, ix.key, k).filter(F.col("score") > 0).withColumn("score", F.round("score", 6))
 
 
-def spilled(df: DataFrame, name: str) -> DataFrame:
-    """Written to the shared folder and read again: counted, reused and safe from lost executors."""
-    path = store.fresh_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 # --- top k by bounds --------------------------------------------------------------------------
 
 

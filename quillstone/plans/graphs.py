@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import graph
@@ -92,12 +91,11 @@ def wiki_faults(spark, sf):
 def context_search(spark, sf):
     v = table(spark, sf, "embeddings")
     q = v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-    # every vector is scored; the best five of each document hold the five direct hits and any neighbour's best two
-    near = search.dense.cosine_top_k(v.withColumnRenamed("label", "doc"), q, "vec_id", "query_id", "embedding", 5, within="doc")
-    direct = near.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.col("similarity").desc(), "vec_id"))).filter("rank <= 5")
+    direct = search.dense.cosine_top_k(v, q, "vec_id", "query_id", "embedding", 5)
     chunks = v.select("vec_id", F.col("label").alias("doc"))
     edges = chunks.select(F.col("doc").alias("src"), (F.col("doc") + 1).alias("dst")).distinct().filter("dst % 4 <> 0")
-    found = search.expand_context(direct.select("query_id", "vec_id"), chunks, edges, "query_id", "vec_id", "doc", near.select("query_id", "vec_id", "similarity"), 2, 2)
+    score = lambda pairs: search.dense.cosine_of(pairs, v, q, "vec_id", "query_id", "embedding")
+    found = search.expand_context(direct.select("query_id", "vec_id", "similarity"), chunks, edges, "query_id", "vec_id", "doc", score, 2, 2)
     return found.select("query_id", "vec_id", "doc", "hop", "similarity")
 
 

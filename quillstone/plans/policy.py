@@ -201,6 +201,18 @@ k AS (SELECT *, CASE WHEN none_ THEN false WHEN hf THEN if_ < ef WHEN hc THEN ic
 SELECT doc_id, matched_doc_id, round(score, 6) AS score, CASE WHEN clash THEN 'XUNG_DOT' WHEN NOT none_ AND (hf OR hc OR ha) THEN 'KHONG_XUNG_DOT' ELSE 'CHUA_DU_BANG_CHUNG' END AS classification, CASE WHEN clash THEN 'HIGH' END AS severity, CASE WHEN none_ THEN 'no_candidate' WHEN hf THEN 'rule_numeric_floor_pct' WHEN hc THEN 'rule_numeric_ceiling_pct' WHEN ha THEN 'rule_numeric_ceiling_amount' ELSE 'rule_no_confident_match' END AS method, CASE WHEN none_ THEN 0.3 WHEN hf THEN 0.85 WHEN hc OR ha THEN 0.8 ELSE 0.35 END::DOUBLE AS confidence FROM k"""
 
 
+def _checklist_sql() -> str:
+    from .retrieval import _CODE, bm25_sql
+
+    best = bm25_sql(_CODE, docs="ext", fill=False, positive=True, k=5).replace("FROM benchmark", "FROM asking")
+    any_of = lambda words: " OR ".join(f"contains(lower(text), '{w}')" for w in words)
+    return f"""WITH sides AS (SELECT doc_id, text, coalesce(regexp_matches(source, '[02468]$'), false) AS own FROM documents),
+ext AS (SELECT doc_id, text FROM sides WHERE NOT own), asking AS (SELECT 0 AS item_id, text FROM sides WHERE own), {best},
+items AS (SELECT 0 AS side, 0 AS place, doc_id, text FROM sides WHERE own UNION ALL SELECT 1, rank, doc_id, text FROM lex JOIN ext USING (doc_id)),
+n AS (SELECT *, row_number() OVER (ORDER BY side, place, doc_id)::VARCHAR AS n, trim(coalesce(text, ''), ' ') AS t FROM items)
+SELECT 'CHK_KHO_' || lpad(n, greatest(2, length(n))::INTEGER, '0') AS item_id, CASE WHEN {any_of(compliance.HIGH_WORDS)} THEN 'HIGH' WHEN {any_of(compliance.MEDIUM_WORDS)} THEN 'MEDIUM' ELSE 'LOW' END AS risk_level, 'c' || doc_id AS source_citation, (length('Does the unit comply with: ""?') + CASE WHEN length(t) > 220 THEN length(rtrim(substr(t, 1, 220), ' ')) + 3 ELSE length(t) END)::INTEGER AS n_chars FROM n"""
+
+
 def _oracles() -> dict[str, str]:
     from .retrieval import _CODE, bm25_sql
 
@@ -229,6 +241,7 @@ def _oracles() -> dict[str, str]:
         "risk_level": "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'MEDIUM' ELSE 'LOW' END AS risk_level FROM documents",
         "unknown_citations": "SELECT doc_id * 2 AS citation FROM labels WHERE doc_id * 2 NOT IN (SELECT doc_id FROM documents)",
         "class_examples": "SELECT source, doc_id, example FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS example FROM documents) WHERE example <= 5",
+        "checklist": _checklist_sql(),
         "conflict_check": _conflict_sql(),
         "gap_report": f"WITH {_POL}, bq AS (SELECT item_id, text || ' tối thiểu 9 %' AS text FROM benchmark), {best.replace('FROM documents', 'FROM pol').replace('FROM benchmark', 'FROM bq')}, m AS (SELECT item_id, f FROM bq LEFT JOIN lex USING (item_id) LEFT JOIN pol USING (doc_id)), c AS (SELECT CASE WHEN f IS NULL THEN 'CHUA_DU_BANG_CHUNG' WHEN f >= 9 THEN 'DAP_UNG' ELSE 'CHENH_LECH' END AS k FROM m) SELECT k AS classification, (SELECT count(*) FROM c WHERE c.k = u.k) AS n FROM unnest(['DAP_UNG', 'CHENH_LECH', 'THIEU', 'CHUA_DU_BANG_CHUNG']) u(k)",
     }

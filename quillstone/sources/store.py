@@ -41,6 +41,13 @@ def fresh_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/stores/{name}-{uuid.uuid4().hex[:12]}"
 
 
+def spill(df: DataFrame, name: str) -> DataFrame:
+    """Written to the shared folder and read again: cuts lineage, is counted and reused without work, and is safe from lost executors."""
+    path = fresh_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _hadoop(spark: SparkSession, path: str):
     jvm = spark._jvm.org.apache.hadoop.fs
     p = jvm.Path(path)
