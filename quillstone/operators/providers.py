@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Callable
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources import store
+from . import scan
+
 
 def embed(c: Column, provider: Callable[[list[str]], list[list[float]]], batch: int = 100) -> Column:
     """Vectors of texts by a provider, in batches; a wrong count is an error."""
@@ -40,22 +44,48 @@ def pair_scores(question: Column, text: Column, scorer: Callable[[list[tuple[str
     return F.pandas_udf(run, "double")(question, text)
 
 
-def refine(rows: DataFrame, key: str, order: list[str], needed: Column, answer: Callable[[dict], dict | None], schema: str, budget: int) -> DataFrame:
-    """Rows that need a model's answer, in order, while the budget of successes lasts; null answers keep the row's rule result.
+def refine(rows: DataFrame, key: str, order: list[Column], needed: Column, answer: Callable[[dict], dict | None], schema: str, budget: int, attempts: int | None = None) -> DataFrame:
+    """Rows that need a model's answer, in order, while the budget of successes lasts; rows without one keep nulls in the new columns.
 
-    Failures are free: rows are asked in order until `budget` answers exist. The budget bounds what reaches the driver.
+    A failure (null or an exception) is free. Rows are asked in waves, each answered in tasks: a wave is as long as the successes
+    that are left, so that no answer is wasted; after a wave without any, the next is twice as long. The rows answered are those of
+    asking one after another. attempts bounds the rows asked. The key must tell the rows apart; schema names it first.
     """
-    waiting = rows.filter(needed).orderBy(*order)
-    out, left = [], budget
-    for row in waiting.toLocalIterator():
-        if left <= 0:
-            break
-        got = answer(row.asDict(recursive=True))
-        if got is not None:
-            out.append({key: row[key], **got})
-            left -= 1
-    given = rows.sparkSession.createDataFrame(out, schema)
-    return rows.join(F.broadcast(given), key, "left")  # at most `budget` rows
+    from pyspark.sql.types import StructType
+
+    fields = [f.name for f in StructType.fromDDL(schema).fields]
+    waiting = scan.numbers(rows.filter(needed), [], [*order, F.col(key)], "__at")
+    waiting = store.spill(waiting, "waiting")
+    total = min(waiting.count(), attempts if attempts is not None else 2**62)
+
+    def ask(batches):
+        for pdf in batches:
+            out = []
+            for row in pdf.to_dict("records"):
+                at = row.pop("__at")
+                try:
+                    got = answer(row)
+                except Exception:  # noqa: BLE001 - a failed call is a free attempt
+                    got = None
+                if got is not None:
+                    out.append({**{f: got.get(f) for f in fields}, key: row[key], "__at": at})
+            yield pd.DataFrame(out, columns=[*fields, "__at"])
+
+    given, at, left, wave = None, 0, budget, budget
+    while left > 0 and at < total:
+        upto = min(at + wave, total)
+        part = waiting.filter((F.col("__at") > at) & (F.col("__at") <= upto))
+        got = store.spill(part.mapInPandas(ask, f"{schema}, `__at` long"), "answers")
+        n = got.count()
+        if n > left:  # a longer wave: the first ones in order count
+            got = store.spill(got.orderBy("__at").limit(left), "answers")
+            n = left
+        given = got if given is None else given.unionByName(got)
+        at, left = upto, left - n
+        wave = left if n else wave * 2
+    if given is None:
+        given = rows.sparkSession.createDataFrame([], f"{schema}, `__at` long")
+    return rows.join(F.broadcast(given.drop("__at")), key, "left")  # at most `budget` rows
 
 
 def hash_embedding(dimension: int = 16) -> Callable[[list[str]], list[list[float]]]:
@@ -90,6 +120,63 @@ def query_set(questions: DataFrame, question: str, text: str, variants: DataFram
     return base.unionByName(more)
 
 
+def prompt_key(text: Column, settings: dict) -> Column:
+    """A prompt's name: SHA-256 of its text and of the settings it is asked with."""
+    return F.sha2(F.concat(F.lit(json.dumps(settings, sort_keys=True, ensure_ascii=False)), F.lit("\n"), F.coalesce(text, F.lit(""))), 256)
+
+
+def generated(spark: SparkSession, path: str, questions: DataFrame, question: str, text: str, settings: dict, generate: Callable[[str], list[str]]) -> DataFrame:
+    """question, key, variants, status of every question: cached, generated, or failed (asked again next time).
+
+    A store of answers keyed by prompt: only prompts that it lacks are asked, each once, in tasks; a failed one is not stored.
+    """
+    asked = questions.select(question, F.col(text).alias("__text"), prompt_key(F.col(text), settings).alias("key"))
+    known = store.load(spark, path, "answers") if store.manifest(spark, path) else spark.createDataFrame([], "key string, variants array<string>")
+
+    def ask(batches):
+        for pdf in batches:
+            out = []
+            for k, t in zip(pdf["key"], pdf["__text"], strict=True):
+                try:
+                    out.append((k, [str(v) for v in generate(t)]))
+                except Exception:  # noqa: BLE001 - reported by its status
+                    continue
+            yield pd.DataFrame(out, columns=["key", "variants"])
+
+    new = asked.join(known, "key", "left_anti").groupBy("key").agg(F.min("__text").alias("__text"))
+    new = store.spill(new.mapInPandas(ask, "key string, variants array<string>"), "generated")
+    status = F.when(F.col("old").isNotNull(), "cached").when(F.col("fresh").isNotNull(), "generated").otherwise("failed")
+    rows = asked.join(known.withColumnRenamed("variants", "old"), "key", "left").join(new.withColumnRenamed("variants", "fresh"), "key", "left")
+    out = store.spill(rows.select(question, "key", F.coalesce("old", "fresh").alias("variants"), status.alias("status")), "variants")  # before the store moves on
+    if store.manifest(spark, path) is None:
+        store.save({"answers": (new, "key", None, ())}, path)
+    else:
+        store.upsert(spark, path, "answers", new)
+    return out
+
+
+def accepted_variants(found: DataFrame, questions: DataFrame, question: str, text: str) -> DataFrame:
+    """question, text, order of variants that are not blank, not the question itself and not a repeat, by their normalised text."""
+    from ..functions.text import normalize_for_dedupe
+
+    each = found.select(question, F.posexplode("variants").alias("order", "text")).join(questions.select(question, normalize_for_dedupe(F.col(text)).alias("__own")), question)
+    each = each.withColumn("__n", normalize_for_dedupe(F.col("text"))).filter((F.col("__n") != "") & ~F.col("__n").eqNullSafe(F.col("__own")))
+    first = each.withColumn("__r", F.row_number().over(W.partitionBy(question, "__n").orderBy("order"))).filter("__r = 1")
+    return first.select(question, "text", "order")
+
+
+def search_status(queries: DataFrame, failed: DataFrame, question: str) -> DataFrame:
+    """question, n_queries, n_failed, status: single_query, multi_query or multi_query_partial; a failed original query is an error when rows are read.
+
+    queries: question, query_id; failed: question, query_id of searches that did not run through.
+    """
+    rows = queries.select(question, "query_id").join(failed.select(question, "query_id", F.lit(True).alias("__bad")).distinct(), [question, "query_id"], "left")
+    counted = rows.groupBy(question).agg(F.count("*").alias("n_queries"), F.count_if("__bad").alias("n_failed"), F.coalesce(F.bool_or(F.col("__bad") & (F.col("query_id") == "Q0")), F.lit(False)).alias("__q0"))
+    stop = F.raise_error(F.concat(F.lit("the original query failed: "), F.col(question).cast("string")))
+    status = F.when(F.col("__q0"), stop).when(F.col("n_failed") > 0, "multi_query_partial").when(F.col("n_queries") > 1, "multi_query").otherwise("single_query")
+    return counted.select(question, "n_queries", "n_failed", status.cast("string").alias("status"))
+
+
 class OcrProvider(Protocol):
     """Recognises the text of a page image."""
 

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import compliance, lexicon, rbac
-from ..sources import store
+from ..operators import compliance, lexicon, providers, rbac
+from ..sources import files, sinks, store
 from ..sources.tables import spread
 from ..sources.tables import table as _table
 from ..streaming import audit
@@ -78,7 +78,39 @@ def access_decision(spark, sf):
 
 def audit_events(spark, sf):
     e = table(spark, sf, "events")
-    return e.select("event_id", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp_utc"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("user"), F.when(F.col("event_type") == "error", "DENIED").otherwise("OK").alias("status")).orderBy(F.col("timestamp_utc").desc(), F.col("event_id").desc()).limit(100)
+    lines = e.select(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss").alias("timestamp_utc"), F.col("event_id").cast("string").alias("request_id"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("user_id_demo"), F.when(F.col("event_type") == "error", "DENIED").otherwise("OK").alias("status"))
+    path = store.fresh_folder(spark, "audit")
+    sinks.append_audit(lines, path)
+    last = files.audit_lines(spark, path, last=100)  # the log's newest hundred
+    return last.select(F.col("request_id").cast("long").alias("event_id"), "timestamp_utc", F.col("user_id_demo").alias("user"), "status")
+
+
+def model_refinement(spark, sf):
+    """Undecided pairs go to a model (here a rule that fails for every third) until 25 answers exist."""
+    rows = compliance.classify_gap(_pairs(spark, sf), "external_text", "internal_text").select("doc_id", "classification")
+
+    def answer(row: dict) -> dict | None:
+        return None if row["doc_id"] % 3 == 0 else {"refined": "DAP_UNG" if row["doc_id"] % 2 else "CHENH_LECH"}
+
+    return providers.refine(rows, "doc_id", [F.col("doc_id")], F.col("classification") == "CHUA_DU_BANG_CHUNG", answer, "doc_id long, refined string", 25)
+
+
+def query_variants(spark, sf):
+    """Variants of every item, half of which were asked before; every fifth fails."""
+    items = _table(spark, sf, "benchmark")
+    path, settings = store.fresh_folder(spark, "answers"), {"model": "rule", "n": 3}
+
+    def generate(text: str) -> list[str]:
+        if len(text) % 5 == 0:
+            raise ValueError("no answer")
+        return [f"{text}?", text.split(" ", 1)[-1], text, " "]
+
+    providers.generated(spark, path, items.filter("item_id % 2 = 0"), "item_id", "text", settings, generate)
+    found = providers.generated(spark, path, items, "item_id", "text", settings, generate)
+    queries = providers.query_set(items, "item_id", "text", providers.accepted_variants(found.filter("variants IS NOT NULL"), items, "item_id", "text"))
+    failed = queries.filter("query_id = 'Q1' AND item_id % 7 = 0")  # searches that did not run through
+    status = providers.search_status(queries, failed, "item_id").withColumnRenamed("status", "search_status")
+    return found.join(status, "item_id").select("item_id", "status", "n_queries", "n_failed", "search_status")
 
 
 def audit_denied(spark, sf):
@@ -182,7 +214,7 @@ _POL = "pol AS (SELECT doc_id, text || CASE doc_id % 3 WHEN 0 THEN ' tối thi
 QUERIES = {
     f.__name__: f
     for f in (
-        security_tag, rbac_filter, rbac_single_role, visibility, role_union, parse_roles, secure_bm25, leak_check, rejected_by_role, access_decision, audit_events, audit_denied, redact, threshold_extract,
+        security_tag, rbac_filter, rbac_single_role, visibility, role_union, parse_roles, secure_bm25, leak_check, rejected_by_role, access_decision, audit_events, model_refinement, query_variants, audit_denied, redact, threshold_extract,
         gap_classify, conflict_classify, best_match, gap_report, conflict_check, document_class, risk_level, checklist, unknown_citations, class_examples,
     )
 }
@@ -230,7 +262,7 @@ def _oracles() -> dict[str, str]:
         "leak_check": "SELECT 0 AS n_leaks, 0 AS n_overlap",
         "rejected_by_role": f"WITH {_TAG}, {bm25_sql()} SELECT item_id, count(*) FILTER (NOT list_contains(allowed, 'Guest')) AS n_rejected FROM lex JOIN tagged USING (doc_id) GROUP BY item_id",
         "access_decision": f"WITH {_TAG} SELECT doc_id, CASE WHEN list_contains(allowed, 'Staff') THEN 'GRANTED' ELSE 'DENIED' END AS decision, CASE WHEN doc_id % 2 = 1 THEN 'T' || doc_id WHEN doc_id % 3 = 0 THEN 'N' ELSE doc_id::VARCHAR END AS name FROM tagged",
-        "audit_events": "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS timestamp_utc, 'u' || user_id AS \"user\", CASE WHEN event_type = 'error' THEN 'DENIED' ELSE 'OK' END AS status FROM events ORDER BY timestamp_utc DESC, event_id DESC LIMIT 100",
+        "audit_events": "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') AS timestamp_utc, 'u' || user_id AS \"user\", CASE WHEN event_type = 'error' THEN 'DENIED' ELSE 'OK' END AS status FROM events ORDER BY timestamp_utc DESC, event_id::VARCHAR LIMIT 100",
         "audit_denied": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, count(*) FILTER (value > 50) AS n_denied, count(*) AS n_events FROM events GROUP BY 1",
         "redact": "SELECT event_id, '{\"user\": \"u' || user_id || '\", \"api_key\": \"[REDACTED]\", \"note\": \"' || CASE WHEN event_id % 3 = 0 THEN '[REDACTED-SUSPECTED-SECRET]' ELSE 'fine' END || '\", \"n\": 1}' AS clean FROM events",
         "threshold_extract": f"WITH {_POL} SELECT doc_id, f AS floor_pct, c AS ceiling_pct, a AS ceiling_amount FROM pol",
@@ -242,6 +274,8 @@ def _oracles() -> dict[str, str]:
         "unknown_citations": "SELECT doc_id * 2 AS citation FROM labels WHERE doc_id * 2 NOT IN (SELECT doc_id FROM documents)",
         "class_examples": "SELECT source, doc_id, example FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS example FROM documents) WHERE example <= 5",
         "checklist": _checklist_sql(),
+        "model_refinement": f"WITH {_POL}, g AS ({gap}), a AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS n FROM g WHERE classification = 'CHUA_DU_BANG_CHUNG' AND doc_id % 3 <> 0) SELECT g.doc_id, classification, CASE WHEN n <= 25 THEN CASE WHEN g.doc_id % 2 = 1 THEN 'DAP_UNG' ELSE 'CHENH_LECH' END END AS refined FROM g LEFT JOIN a USING (doc_id)",
+        "query_variants": "WITH v AS (SELECT item_id, text, length(text) % 5 = 0 AS bad, substr(text, instr(text, ' ') + 1) AS rest FROM benchmark), n AS (SELECT *, CASE WHEN bad THEN 1 WHEN rest = text THEN 1 ELSE 2 END AS n FROM v) SELECT item_id, CASE WHEN bad THEN 'failed' WHEN item_id % 2 = 0 THEN 'cached' ELSE 'generated' END AS status, n AS n_queries, CASE WHEN n > 1 AND item_id % 7 = 0 THEN 1 ELSE 0 END AS n_failed, CASE WHEN n = 1 THEN 'single_query' WHEN item_id % 7 = 0 THEN 'multi_query_partial' ELSE 'multi_query' END AS search_status FROM n",
         "conflict_check": _conflict_sql(),
         "gap_report": f"WITH {_POL}, bq AS (SELECT item_id, text || ' tối thiểu 9 %' AS text FROM benchmark), {best.replace('FROM documents', 'FROM pol').replace('FROM benchmark', 'FROM bq')}, m AS (SELECT item_id, f FROM bq LEFT JOIN lex USING (item_id) LEFT JOIN pol USING (doc_id)), c AS (SELECT CASE WHEN f IS NULL THEN 'CHUA_DU_BANG_CHUNG' WHEN f >= 9 THEN 'DAP_UNG' ELSE 'CHENH_LECH' END AS k FROM m) SELECT k AS classification, (SELECT count(*) FROM c WHERE c.k = u.k) AS n FROM unnest(['DAP_UNG', 'CHENH_LECH', 'THIEU', 'CHUA_DU_BANG_CHUNG']) u(k)",
     }

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.ids import document_id
 from ..operators.html import meta_content
 from ..operators.validation import codes, page_faults
+from ..streaming.audit import LINE
 
 CHUNK_SCHEMA = "chunk_id string, strategy string, source string, page_start int, page_end int, structure_path string, structure_detected boolean, text string"
 # Encodings in the order in which they are tried.
@@ -107,8 +108,8 @@ def with_ocr(pages: DataFrame, ocr: DataFrame | None) -> DataFrame:
 
 def audit_lines(spark: SparkSession, path: str, last: int | None = None, schema: str | None = None) -> DataFrame:
     """Audit events of JSON lines, newest first; only the last ones if asked."""
-    schema = schema or "timestamp_utc string, request_id string, user_id_demo string, user_role array<string>, action string, query string, retrieval_method string, retrieved_document_ids array<string>, retrieved_chunk_ids array<string>, citation_ids array<string>, n_candidates_rejected_by_rbac int, status string, extra map<string,string>"
-    rows = spark.read.schema(schema).json(path).orderBy(F.col("timestamp_utc").desc(), "request_id")
+    schema = schema or LINE
+    rows = spark.read.schema(schema).option("recursiveFileLookup", "true").json(path).orderBy(F.col("timestamp_utc").desc(), "request_id")
     return rows.limit(last) if last else rows
 
 
