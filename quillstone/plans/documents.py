@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import ids
 from ..functions import text as T
-from ..operators import chunking, graph, hierarchy, html, rerank, scan, validation
+from ..operators import chunking, graph, hierarchy, html, rerank, scan, stored_hierarchy, validation
+from ..sources import store
 from ..sources.tables import spread
 from ..sources.tables import table as _table
 
@@ -107,6 +108,26 @@ def parent_build(spark, sf):
     return parents.select("source", "article_key", "window", F.size("child_ids").alias("n_children"), "char_count", "page_start", "page_end", "n_ambiguous")
 
 
+def _stored_hierarchy(spark, sf) -> tuple[str, DataFrame]:
+    """A store built before a third of the sources changed and one came, then brought up to date; the states it found."""
+    path, now = store.fresh_folder(spark, "hierarchy"), _children(spark, sf)
+    digit = F.col("source") % 10
+    before = now.filter(digit != 1).withColumn("text", F.when(digit.isin(2, 5, 8), F.concat("text", F.lit(" before"))).otherwise(F.col("text")))
+    refresh = lambda chunks: stored_hierarchy.refresh(chunks, path, "source", "child_id", "structure_path", "text", "page", 1500)
+    refresh(before)
+    return path, refresh(now)
+
+
+def hierarchy_refresh(spark, sf):
+    path, _ = _stored_hierarchy(spark, sf)
+    parents = store.load(spark, path, "parents")
+    return parents.select("source", "article_key", "window", F.size("child_ids").alias("n_children"), "char_count", "page_start", "page_end", "n_ambiguous")
+
+
+def hierarchy_status(spark, sf):
+    return _stored_hierarchy(spark, sf)[1].select("source", "state")
+
+
 #: Conversations of a question, from so many on that ten questions hold more.
 _BLOCK = 50
 
@@ -320,7 +341,7 @@ QUERIES = {
     for f in (
         chunk_fixed, chunk_stats, chunk_semantic, page_lookup, heading_path, chunk_hierarchical, article_split, dedupe_longest, split_clauses, carry_forward, parent_windows, parent_build, parent_score,
         child_to_parent, context_budget, context_expansion, html_title, html_text, html_blocks, html_tree, tree_integrity, ancestor_root, next_links, next_chain, chunk_validation, page_errors, null_profile,
-        duplicate_keys, group_counts, catalog, key_overlap, round_robin_pick, unique_headings, seeded_sample, variant_filter, citation_labels, citation_build, stable_ids, numeric_suffix_order, carried_status, fingerprint,
+        duplicate_keys, group_counts, catalog, key_overlap, round_robin_pick, unique_headings, seeded_sample, variant_filter, citation_labels, citation_build, stable_ids, numeric_suffix_order, carried_status, hierarchy_refresh, hierarchy_status, fingerprint,
         legal_refs, normalize_dedupe, display_fields,
     )
 }
@@ -361,6 +382,7 @@ ORACLES = {
     "citation_labels": "SELECT item_id, CASE WHEN item_id % 2 = 0 THEN 'E1,E2' ELSE 'E1' END AS cited, CASE WHEN item_id % 2 = 0 THEN 'E9' ELSE 'E2,E9' END AS unknown, length(trim(regexp_replace(text || CASE WHEN item_id % 2 = 0 THEN ' [E1] and [E2] or  [E1]' ELSE ' [E1] and  or  [E1]' END, '\\s+', ' ', 'g'))) AS n_chars FROM benchmark",
     "citation_build": "SELECT doc_id, concat_ws(' | ', 'Doc ' || doc_id, CASE WHEN doc_id % 3 <> 0 THEN 'No ' || doc_id END, CASE WHEN doc_id % 2 = 0 THEN 'Điều ' || (doc_id % 9) || CASE WHEN doc_id % 4 = 0 THEN '' ELSE ' khoản 2' END END, 'c' || doc_id) AS citation FROM documents",
     "stable_ids": "SELECT doc_id, 'P_' || substr(sha256(source || '||' || lang || '||1'), 1, 16) AS parent_id, substr(sha1(source || '::' || lang), 1, 16) AS tree_id, source || '_D' || (doc_id % 5) || CASE WHEN doc_id % 2 = 0 THEN 'K3' ELSE '' END || '_' || lpad((doc_id % 1000)::VARCHAR, 3, '0') AS chunk_id, CASE WHEN doc_id % 2 = 0 THEN source ELSE substr(sha1(lang), 1, 12) END AS document_id FROM documents",
+    "hierarchy_status": f"WITH {_CHILDREN} SELECT DISTINCT source, CASE WHEN source % 10 = 1 THEN 'missing' WHEN source % 10 IN (2, 5, 8) THEN 'stale' ELSE 'ready' END AS state FROM kids2",
     "carried_status": "SELECT event_id, last_value(CASE WHEN event_type = 'error' THEN event_id END IGNORE NULLS) OVER (ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last_error FROM events",
     "numeric_suffix_order": "SELECT doc_id, row_number() OVER (ORDER BY doc_id % 9 = 0, CASE WHEN doc_id % 9 <> 0 THEN doc_id * 7919 % 10007 END, doc_id)::INTEGER AS place FROM documents",
     "fingerprint": "SELECT count(*) AS n_rows, sum(('0x' || substr(h, 1, 12))::BIGINT)::HUGEINT::VARCHAR AS digest_a, sum(('0x' || substr(h, 13, 12))::BIGINT)::HUGEINT::VARCHAR AS digest_b FROM (SELECT sha256(doc_id || ':' || length(text)) AS h FROM documents)",
@@ -370,6 +392,7 @@ ORACLES = {
     "variant_filter": "WITH o AS (SELECT conv_id, text AS q FROM conversations WHERE turn = 0), v AS (SELECT c.conv_id, turn, q, CASE WHEN turn = 1 THEN q WHEN turn % 3 = 0 THEN 'điều 99' ELSE text END AS t FROM conversations c JOIN o USING (conv_id) WHERE turn > 0), n AS (SELECT *, trim(regexp_replace(regexp_replace(lower(t), '[^\\p{L}\\p{N}\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS k, trim(regexp_replace(regexp_replace(lower(q), '[^\\p{L}\\p{N}\\s]', ' ', 'g'), '\\s+', ' ', 'g')) AS kq FROM v), f AS (SELECT *, row_number() OVER (PARTITION BY conv_id, k ORDER BY turn) AS first FROM n), s AS (SELECT conv_id, turn, CASE WHEN length(trim(t)) NOT BETWEEN 5 AND 400 THEN 'length' WHEN k = kq OR first > 1 THEN 'duplicate' WHEN t = 'điều 99' THEN 'invented_reference' END AS status FROM f) SELECT conv_id, turn, coalesce(status, CASE WHEN sum((status IS NULL)::INTEGER) OVER (PARTITION BY conv_id ORDER BY turn) > 2 THEN 'surplus' ELSE 'accepted' END) AS status FROM s",
 }
 
+ORACLES["hierarchy_refresh"] = ORACLES["parent_build"]  # the store holds what a whole build gives
 # "at" is a keyword in DuckDB
 for _name in ("chunk_semantic", "heading_path", "chunk_hierarchical", "html_tree", "tree_integrity", "ancestor_root"):
     ORACLES[_name] = re.sub(r"\bat\b", '"at"', ORACLES[_name])

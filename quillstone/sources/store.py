@@ -169,15 +169,41 @@ def touched(spark: SparkSession, path: str, name: str, values: DataFrame, column
     return sorted(r[0] for r in values.select(bucket_of(column, n).alias("b")).distinct().collect())
 
 
-def _replace(spark: SparkSession, path: str, name: str, rows: DataFrame, only: list[int], found: dict, schema: StructType) -> int:
-    path, data, t = path.rstrip("/"), uuid.uuid4().hex[:12], dict(found["tables"][name])
-    written = _write_buckets(rows, f"{path}/data/{data}/{name}", t["by"], t["n"])
+def _rewritten(path: str, name: str, rows: DataFrame, only: list[int], held: dict, schema: StructType) -> dict:
+    """Rows as the new content of some buckets; returns the table's new entry, which no manifest names yet."""
+    data, t = uuid.uuid4().hex[:12], dict(held)
+    written = _write_buckets(rows, f"{path.rstrip('/')}/data/{data}/{name}", t["by"], t["n"])
     t["buckets"] = {b: v for b, v in t["buckets"].items() if int(b) not in only} | {str(b): data for b in written}
     t["schema"] = schema.json()
+    return t
+
+
+def _replace(spark: SparkSession, path: str, name: str, rows: DataFrame, only: list[int], found: dict, schema: StructType) -> int:
+    t = _rewritten(path, name, rows, only, found["tables"][name], schema)
     commit(spark, path, found["number"] + 1, found["identity"], found["tables"] | {name: t})
     return len(only)
 
 
+def replace_groups(spark: SparkSession, path: str, values: DataFrame, tables: dict[str, DataFrame]) -> int:
+    """In one version, the rows of whole groups in several tables: those of the values go, the given ones come. Returns the buckets rewritten.
+
+    values: one column, the bucket column of all the tables.
+    """
+    found, column, n = manifest(spark, path), values.columns[0], 0
+    new = dict(found["tables"])
+    for name, rows in tables.items():
+        buckets = touched(spark, path, name, values, column)
+        if buckets:
+            known = load(spark, path, name, found["number"], buckets)
+            gone = values.select(F.col(column).alias("__gone")).distinct()
+            kept = known.join(gone, F.col(column).eqNullSafe(F.col("__gone")), "left_anti")
+            new[name] = _rewritten(path, name, kept.unionByName(rows.select(*known.columns)), buckets, new[name], known.schema)
+            n += len(buckets)
+    if n:
+        commit(spark, path, found["number"] + 1, found["identity"], new)
+    return n
+
+
 def last_wins(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """Of each key the last row."""
     w = W.partitionBy(*keys).orderBy(*[c.desc() for c in order])

@@ -106,3 +106,31 @@ def test_texts_are_replaced_whole(spark, tmp_path):
         store.put_text(spark, path, "other")
     store.put_text(spark, path, "other", replace=True)
     assert store.get_text(spark, path) == "other"
+
+
+def test_a_hierarchy_is_refreshed_by_source(spark, tmp_path):
+    from quillstone.operators import hierarchy, stored_hierarchy
+
+    def chunks(texts):
+        rows = [(s, f"{s}_{i}", "Chương I > Điều 1" if i < 3 else None, t, i) for s, own in texts.items() for i, t in enumerate(own)]
+        return spark.createDataFrame(rows, "source string, id string, path string, text string, page int")
+
+    def whole(df):
+        parents, _ = hierarchy.build_parents(hierarchy.resolve_levels(df, "source", "id", "path", "text"), "source", "id", "text", "page", 40)
+        return sorted(map(str, parents.collect()))
+
+    path = f"{tmp_path}/hierarchy"
+    refresh = lambda df: {r["source"]: r["state"] for r in stored_hierarchy.refresh(df, path, "source", "id", "path", "text", "page", 40).collect()}
+    texts = {f"s{i}": [f"text {i} {j} " + "x" * (7 * j) for j in range(5)] for i in range(12)} | {None: ["no source"]}
+    assert set(refresh(chunks(texts)).values()) == {"missing"}
+    assert set(refresh(chunks(texts)).values()) == {"ready"} and store.manifest(spark, path)["number"] == 1  # nothing to do, nothing written
+    texts["s3"] = [*texts["s3"], "one more"]
+    texts["s20"] = ["new"]
+    del texts["s7"]
+    before = store.manifest(spark, path)["tables"]["parents"]["buckets"]
+    states = refresh(chunks(texts))
+    assert {s: v for s, v in states.items() if v != "ready"} == {"s3": "stale", "s20": "missing", "s7": "removed"}
+    after = store.manifest(spark, path)["tables"]["parents"]["buckets"]
+    assert sum(before.get(b) != after.get(b) for b in before.keys() | after.keys()) <= 3 and store.manifest(spark, path)["number"] == 2
+    assert sorted(map(str, store.load(spark, path, "parents").collect())) == whole(chunks(texts))
+    assert set(refresh(chunks(texts)).values()) == {"ready"}
