@@ -287,11 +287,11 @@ def numeric_suffix_order(spark, sf):
     return scan.numbers(d, [], [*ids.numeric_suffix(F.col("chunk_id")), F.col("doc_id")], "place").select("doc_id", "place")
 
 
-def carried_status(spark, sf):
-    # the whole table is one group: the last error before or at each event
-    e = table(spark, sf, "events").select("event_id", "ts", "event_type")
-    error = F.when(F.col("event_type") == "error", F.col("event_id"))
-    return scan.carried(e, [], [F.col("ts"), F.col("event_id")], error, "last_error").select("event_id", "last_error")
+def last_question(spark, sf):
+    # the whole table is one group: the last user turn before or at each turn, across conversations
+    t = table(spark, sf, "conversations").select("conv_id", "turn", "role")
+    place = F.when(F.col("role") == "user", F.col("conv_id") * 1000 + F.col("turn"))
+    return scan.carried(t, [], [F.col("conv_id"), F.col("turn")], place, "asked_at").select("conv_id", "turn", "asked_at")
 
 
 def fingerprint(spark, sf):
@@ -341,7 +341,7 @@ QUERIES = {
     for f in (
         chunk_fixed, chunk_stats, chunk_semantic, page_lookup, heading_path, chunk_hierarchical, article_split, dedupe_longest, split_clauses, carry_forward, parent_windows, parent_build, parent_score,
         child_to_parent, context_budget, context_expansion, html_title, html_text, html_blocks, html_tree, tree_integrity, ancestor_root, next_links, next_chain, chunk_validation, page_errors, null_profile,
-        duplicate_keys, group_counts, catalog, key_overlap, round_robin_pick, unique_headings, seeded_sample, variant_filter, citation_labels, citation_build, stable_ids, numeric_suffix_order, carried_status, hierarchy_refresh, hierarchy_status, fingerprint,
+        duplicate_keys, group_counts, catalog, key_overlap, round_robin_pick, unique_headings, seeded_sample, variant_filter, citation_labels, citation_build, stable_ids, numeric_suffix_order, last_question, hierarchy_refresh, hierarchy_status, fingerprint,
         legal_refs, normalize_dedupe, display_fields,
     )
 }
@@ -383,7 +383,7 @@ ORACLES = {
     "citation_build": "SELECT doc_id, concat_ws(' | ', 'Doc ' || doc_id, CASE WHEN doc_id % 3 <> 0 THEN 'No ' || doc_id END, CASE WHEN doc_id % 2 = 0 THEN 'Điều ' || (doc_id % 9) || CASE WHEN doc_id % 4 = 0 THEN '' ELSE ' khoản 2' END END, 'c' || doc_id) AS citation FROM documents",
     "stable_ids": "SELECT doc_id, 'P_' || substr(sha256(source || '||' || lang || '||1'), 1, 16) AS parent_id, substr(sha1(source || '::' || lang), 1, 16) AS tree_id, source || '_D' || (doc_id % 5) || CASE WHEN doc_id % 2 = 0 THEN 'K3' ELSE '' END || '_' || lpad((doc_id % 1000)::VARCHAR, 3, '0') AS chunk_id, CASE WHEN doc_id % 2 = 0 THEN source ELSE substr(sha1(lang), 1, 12) END AS document_id FROM documents",
     "hierarchy_status": f"WITH {_CHILDREN} SELECT DISTINCT source, CASE WHEN source % 10 = 1 THEN 'missing' WHEN source % 10 IN (2, 5, 8) THEN 'stale' ELSE 'ready' END AS state FROM kids2",
-    "carried_status": "SELECT event_id, last_value(CASE WHEN event_type = 'error' THEN event_id END IGNORE NULLS) OVER (ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS last_error FROM events",
+    "last_question": "SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN conv_id * 1000 + turn END IGNORE NULLS) OVER (ORDER BY conv_id, turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS asked_at FROM conversations",
     "numeric_suffix_order": "SELECT doc_id, row_number() OVER (ORDER BY doc_id % 9 = 0, CASE WHEN doc_id % 9 <> 0 THEN doc_id * 7919 % 10007 END, doc_id)::INTEGER AS place FROM documents",
     "fingerprint": "SELECT count(*) AS n_rows, sum(('0x' || substr(h, 1, 12))::BIGINT)::HUGEINT::VARCHAR AS digest_a, sum(('0x' || substr(h, 13, 12))::BIGINT)::HUGEINT::VARCHAR AS digest_b FROM (SELECT sha256(doc_id || ':' || length(text)) AS h FROM documents)",
     "legal_refs": "WITH t AS (SELECT doc_id, lower(text || ' theo Điều  ' || (doc_id % 20) || 'a, khoản ' || (doc_id % 4) || ' và điều 3 điểm b.') AS t FROM documents) SELECT doc_id, array_to_string(list_sort(list_distinct(list_transform(list_concat(regexp_extract_all(t, 'điều\\s+\\d+[a-zđ]?'), regexp_extract_all(t, 'khoản\\s+\\d+'), regexp_extract_all(t, 'điểm\\s+[a-zđ]')), lambda r: regexp_replace(r, '\\s+', ' ', 'g')))), ',') AS refs FROM t",

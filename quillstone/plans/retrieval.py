@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import dense, fusion, lexicon, metrics, rerank
+from ..operators import collection, dense, fusion, lexicon, metrics, rerank
+from ..sources import store
 from ..sources.tables import spread
 from ..sources.tables import table as _table
 from . import search
@@ -61,6 +62,17 @@ def cosine_topk(spark, sf):
     return dense.cosine_top_k(v, q, "vec_id", "query_id", "embedding", K)
 
 
+def collection_topk(spark, sf):
+    """A stored collection, every tenth vector of which was another one before an upsert."""
+    v = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    path, tenth = store.fresh_folder(spark, "collection"), F.col("vec_id") % 10 == 3
+    before = F.transform("embedding", lambda x: (x * F.lit(-1)).cast("float"))
+    collection.build(v.withColumn("embedding", F.when(tenth, before).otherwise(F.col("embedding"))), path, "vec_id", "embedding", 64)
+    collection.upsert(v.filter(tenth), path)
+    q = v.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return collection.search(spark, path, q, "query_id", K)[0].select("query_id", "vec_id", "similarity", "distance", "rank")
+
+
 def l2_normalize(spark, sf):
     v = table(spark, sf, "embeddings").select("vec_id", T.l2_normalize(F.col("embedding")).alias("u"))
     return v.select("vec_id", F.round(T.norm(F.col("u")), 6).alias("length"), F.round(F.get("u", 0), 6).alias("first"))
@@ -205,7 +217,7 @@ _CQ = "floor(item_id / 4)::BIGINT"
 QUERIES = {
     f.__name__: f
     for f in (
-        tokenize_legal, tokenize_code, term_stats, bm25_topk, bm25_positive_only, cosine_topk, l2_normalize, validate_vectors, rrf_hybrid, rrf_weighted, rrf_overlap_stats, cross_query_rrf,
+        tokenize_legal, tokenize_code, term_stats, bm25_topk, bm25_positive_only, cosine_topk, collection_topk, l2_normalize, validate_vectors, rrf_hybrid, rrf_weighted, rrf_overlap_stats, cross_query_rrf,
         query_matrix_pivot, rerank_lexical, rank_change, sigmoid_gate, recall_mrr_ndcg, hit_at_k_grouping, mode_compare, top_changed, latency_p50, judge_metrics,
     )
 }
@@ -234,3 +246,5 @@ ORACLES = {
     "judge_metrics": "WITH m AS (SELECT 1 - l_discount AS f, 1 - l_tax AS r, l_quantity / 50 AS p FROM lineitem), w AS (SELECT *, least(f, r, p) AS v FROM m) SELECT CASE WHEN f = v THEN 'faithfulness' WHEN p = v THEN 'precision' ELSE 'relevancy' END AS worst, v < 0.3 AS low, count(*) AS n, round(avg(v), 4) AS mean_worst FROM w GROUP BY ALL",
     "rerank_lexical": f"WITH {fused_sql()}, cand AS (SELECT item_id, doc_id, fused_rank, d.text AS ct, b.text AS qt FROM fused JOIN documents d USING (doc_id) JOIN benchmark b USING (item_id) WHERE fused_rank <= 20), ctok AS (SELECT doc_id, list_distinct({_CODE.format(text='text')}) AS t FROM documents), cdf AS (SELECT term, count(*) AS df FROM (SELECT unnest(t) AS term FROM ctok) GROUP BY term), n AS (SELECT count(*) AS n FROM documents), q AS (SELECT item_id, unnest(list_distinct({_CODE.format(text='text')})) AS term FROM benchmark), w AS (SELECT item_id, term, ln(1 + (n - coalesce(df, 0) + 0.5) / (coalesce(df, 0) + 0.5)) AS w FROM q LEFT JOIN cdf USING (term), n), cover AS (SELECT c.item_id, c.doc_id, sum(CASE WHEN list_contains(t, term) THEN w ELSE 0 END) / sum(w) AS c FROM cand c JOIN ctok USING (doc_id) JOIN w USING (item_id) GROUP BY ALL), ph AS (SELECT item_id, list_distinct(list_transform(range(1, len(ws) - 1), lambda i: array_to_string(ws[i:i+2], ' '))) AS p FROM (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}_]+'), lambda x: x <> '') AS ws FROM benchmark)), s AS (SELECT cand.item_id, cand.doc_id, fused_rank, round((coalesce(c, 0) + 0.3 * CASE WHEN len(p) > 0 THEN len(list_filter(p, lambda x: contains(lower(ct), x))) / len(p) ELSE 0 END) / (1 + greatest(0, length(ct) - 2500) / 5000.0), 6) AS rerank_score FROM cand JOIN cover USING (item_id, doc_id) JOIN ph USING (item_id)) SELECT item_id, doc_id, fused_rank, round(rerank_score, 4) AS rerank_score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY rerank_score DESC, fused_rank, doc_id) AS r FROM s) WHERE r <= {K}",
 }
+
+ORACLES["collection_topk"] = ORACLES["cosine_topk"]  # lists are skipped only where bounds prove it

@@ -184,6 +184,15 @@ def _replace(spark: SparkSession, path: str, name: str, rows: DataFrame, only: l
     return len(only)
 
 
+def replace_buckets(spark: SparkSession, path: str, found: dict, tables: dict[str, tuple[DataFrame, list[int]]]) -> None:
+    """In one version that follows the manifest `found`, new contents of some buckets of several tables."""
+    new = dict(found["tables"])
+    for name, (rows, only) in tables.items():
+        schema = StructType.fromJson(json.loads(new[name]["schema"]))
+        new[name] = _rewritten(path, name, rows.select(*schema.names), only, new[name], schema)
+    commit(spark, path, found["number"] + 1, found["identity"], new)
+
+
 def replace_groups(spark: SparkSession, path: str, values: DataFrame, tables: dict[str, DataFrame]) -> int:
     """In one version, the rows of whole groups in several tables: those of the values go, the given ones come. Returns the buckets rewritten.
 
