@@ -14,6 +14,7 @@ k-th best, and only chunks whose bound reaches it are scored over all terms. The
 
 from __future__ import annotations
 
+from collections import Counter
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -65,32 +66,60 @@ class Lexicon:
     key: str
 
     def table(self, name: str, only: list[int] | None = None) -> DataFrame:
-        return store.load(self.spark, self.path, name, self.number, only)
+        """postings (of some buckets), chunks, stats, sizes or every."""
+        if name == "chunks":
+            return store.load(self.spark, self.path, "postings", self.number, [NO_TERM]).filter("term IS NULL").select(self.key, "mask", "length")
+        rows = store.load(self.spark, self.path, name, self.number, only)
+        return rows.filter("term IS NOT NULL") if name == "postings" else rows
 
     def buckets(self, rows: DataFrame) -> list[int]:
         """The posting buckets of the rows' terms."""
         return store.touched(self.spark, self.path, "postings", rows, "term")
 
 
+#: The bucket of rows without a term, which stand for the chunks themselves: the hash of null is its seed.
+NO_TERM = 42 % store.BUCKETS
+#: Chunks whose tokens a task holds at a time.
+HELD = 100
+
+
+def _counted(batches):
+    """Frequencies are counted where the tokens are: one row for each term of a chunk and one without a term, nothing shuffled."""
+    import pyarrow as pa
+
+    for batch in batches:
+        for at in range(0, batch.num_rows, HELD):
+            some = batch.slice(at, HELD)
+            rows, terms, tf, length = [], [], [], []
+            for i, own in enumerate(some.column("tokens").to_pylist()):
+                counts = Counter(own or ())
+                rows += [i] * (len(counts) + 1)
+                terms += [None, *counts]
+                tf += [0, *counts.values()]
+                length += [sum(counts.values())] * (len(counts) + 1)
+            take = pa.array(rows, pa.int64())
+            yield pa.record_batch([pa.array(terms, pa.string()), some.column("key").take(take), pa.array(tf, pa.int32()), pa.array(length, pa.int32()), some.column("mask").take(take)], ["term", "key", "tf", "length", "mask"])
+
+
 def build(chunks: DataFrame, key: str, tokens: Column, path: str, identity: dict | None = None, mask: Column | None = None) -> Lexicon:
     """Write the index of all chunks as a new version. Texts are cut into tokens once."""
     spark = chunks.sparkSession
-    listed = chunks.select(F.col(key), (mask if mask is not None else F.lit(EVERY)).alias("mask"), tokens.alias("tokens"))
-    # each chunk gives a row without a term, which carries its length
-    each = listed.select(key, "mask", F.size("tokens").alias("length"), F.explode(F.concat(F.array(F.lit(None).cast("string")), "tokens")).alias("term"))
-    postings = each.groupBy(key, "mask", "term", "length").agg(F.count("*").alias("tf"))
-    stage = store.fresh_folder(spark, "lexicon")
-    postings.write.parquet(stage)
-    rows = spark.read.schema(postings.schema).parquet(stage)
-    met, whole = rows.filter("term IS NOT NULL"), rows.filter("term IS NULL").select(key, "mask", "length")
+    listed = chunks.select(F.col(key).alias("key"), (mask if mask is not None else F.lit(EVERY)).alias("mask"), tokens.alias("tokens"))
+    kind = chunks.schema[key].dataType.simpleString()
+    postings = listed.mapInArrow(_counted, f"term string, key {kind}, tf int, length int, mask long").withColumnRenamed("key", key)
+    entry = store.write_table(postings, path, "postings", key, "term", ("term",))
+    rows = store.read_table(spark, path, "postings", entry)
+    met, whole = rows.filter("term IS NOT NULL"), rows.filter("term IS NULL")
     stats = met.groupBy("term", "mask").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+    stats_entry = store.write_table(stats, path, "stats")
+    stats = store.read_table(spark, path, "stats", stats_entry)
     sizes = whole.groupBy("mask").agg(F.count("*").alias("n_chunks"), F.coalesce(F.sum("length"), F.lit(0)).cast("long").alias("n_tokens"))
     n = whole.count()
     # what sees everything is asked most: its weights are stored
     counted = stats.groupBy("term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf")).withColumn("raw", F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = counted.agg(F.avg("raw")).first()[0]
     every = counted.select("term", "df", "cf", F.when(F.col("raw") < 0, F.lit(EPSILON * (mean or 0.0))).otherwise(F.col("raw")).alias("idf"))
-    tables = {"every": every, "postings": (met.select("term", key, "tf", "length", "mask"), key, "term", ("term",)), "chunks": whole, "stats": stats, "sizes": sizes.coalesce(1)}
+    tables = {"every": every, "postings": entry, "stats": stats_entry, "sizes": sizes.coalesce(1)}
     return Lexicon(spark, path, store.save(tables, path, identity), key)
 
 

@@ -22,7 +22,7 @@ def tagged(spark: SparkSession, sf: str):
 
 def documents_index(spark: SparkSession, sf: str, family: str) -> lexicon.Lexicon:
     """The index of all documents in a family of tokens, with the masks of their roles."""
-    identity = {"documents": store.fingerprint(spark, f"{sf.rstrip('/')}/documents.parquet"), "family": family, "roles": rbac.ROLES, "words": [HR, RISK], "layout": 2}
+    identity = {"documents": store.fingerprint(spark, f"{sf.rstrip('/')}/documents.parquet"), "family": family, "roles": rbac.ROLES, "words": [HR, RISK], "layout": 3}
     path = f"{store.shared_folder(spark)}/indexes/{identity['documents'][:24]}-{family}"
     found = lexicon.opened(spark, path, "doc_id", identity)
     if found is None:

@@ -123,40 +123,52 @@ def _write_buckets(rows: DataFrame, folder: str, by: str, n: int, order: list[st
     return sorted(int(f.getPath().getName()[7:]) for f in fs.listStatus(p) if f.getPath().getName().startswith("bucket="))
 
 
-def save(tables: dict[str, DataFrame | tuple], path: str, identity: dict | None = None, buckets: int = BUCKETS) -> int:
-    """A new version that holds these tables whole; returns its number. A table may be (rows, key, by or None, columns to sort by)."""
-    path, number, found = path.rstrip("/"), 0, {}
-    data = uuid.uuid4().hex[:12]
+def write_table(rows: DataFrame, path: str, name: str, key: str | None = None, by: str | None = None, order: tuple = (), buckets: int = BUCKETS) -> dict:
+    """A table's data in a folder of their own, which no manifest names yet; returns what `save` takes."""
+    path, data = path.rstrip("/"), uuid.uuid4().hex[:12]
+    folder, held = f"{path}/data/{data}/{name}", {"schema": rows.schema.json(), "key": key}
+    if not key:
+        rows.write.parquet(folder)
+        return held | {"folder": data}
+    written = _write_buckets(rows, folder, by or key, buckets, list(order))
+    return held | {"by": by or key, "n": buckets, "buckets": {str(b): data for b in written}}
+
+
+def save(tables: dict[str, DataFrame | tuple | dict], path: str, identity: dict | None = None, buckets: int = BUCKETS) -> int:
+    """A new version that holds these tables whole; returns its number.
+
+    A table is rows, (rows, key, bucket column or None, columns to sort by), or what `write_table` has written.
+    """
+    path, found = path.rstrip("/"), {}
     for name, given in tables.items():
-        rows, key, by, order = given if isinstance(given, tuple) else (given, None, None, ())
-        spark, folder = rows.sparkSession, f"{path}/data/{data}/{name}"
-        held = {"schema": rows.schema.json(), "key": key}
-        if key:
-            by = by or key
-            n = _write_buckets(rows, folder, by, buckets, order)
-            held |= {"by": by, "n": buckets, "buckets": {str(b): data for b in n}}
-        else:
-            rows.write.parquet(folder)
-            held["folder"] = data
-        found[name] = held
+        if isinstance(given, DataFrame):
+            given = write_table(given, path, name)
+        elif isinstance(given, tuple):
+            given = write_table(given[0], path, name, *given[1:], buckets=buckets)
+        found[name] = given
+    spark = SparkSession.getActiveSession()
     number = max(_numbers(spark, path), default=0) + 1
     commit(spark, path, number, identity or {}, found)
     return number
 
 
-def load(spark: SparkSession, path: str, name: str, number: int | None = None, only: list[int] | None = None) -> DataFrame:
-    """A table of the newest version or that of a number; of a keyed one, only some buckets where they are given."""
-    path, held = path.rstrip("/"), manifest(spark, path, number)
-    if held is None:
-        raise FileNotFoundError(f"no store at {path}")
-    t = held["tables"][name]
-    schema = StructType.fromJson(json.loads(t["schema"]))
+def read_table(spark: SparkSession, path: str, name: str, t: dict, only: list[int] | None = None) -> DataFrame:
+    """A table by its entry in a manifest; of a keyed one, only some buckets where they are given."""
+    path, schema = path.rstrip("/"), StructType.fromJson(json.loads(t["schema"]))
     if t["key"] is None:
         return spark.read.schema(schema).parquet(f"{path}/data/{t['folder']}/{name}")
     folders = [f"{path}/data/{v}/{name}/bucket={b}" for b, v in sorted(t["buckets"].items()) if only is None or int(b) in only]
     return spark.read.schema(schema).parquet(*folders) if folders else spark.createDataFrame([], schema)
 
 
+def load(spark: SparkSession, path: str, name: str, number: int | None = None, only: list[int] | None = None) -> DataFrame:
+    """A table of the newest version or that of a number."""
+    held = manifest(spark, path, number)
+    if held is None:
+        raise FileNotFoundError(f"no store at {path}")
+    return read_table(spark, path, name, held["tables"][name], only)
+
+
 def state(spark: SparkSession, path: str, identity: dict) -> str:
     """ready, stale (built from other inputs or settings) or missing."""
     found = manifest(spark, path)
