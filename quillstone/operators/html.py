@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import tree_id
 
+# Elements that are blocks, and elements whose content is not text.
 BLOCKS = ("h1", "h2", "h3", "h4", "h5", "h6", "p", "li", "table", "div")
 SILENT = ("script", "style", "noscript")
 # Levels of the tree and how their lines begin.

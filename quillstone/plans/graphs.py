@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import graph
+from ..sources import store
 from ..sources.tables import table
 from . import search
 
@@ -77,6 +78,19 @@ def tenant_delete(spark, sf):
     return graph.delete_tenant(table(spark, sf, "documents").select("doc_id", "source"), "source", "src3")
 
 
+def keyed_store(spark, sf):
+    """Documents as a keyed store: an upsert, a property set on known and new keys, and a tenant that goes, each rewriting its buckets only."""
+    d = table(spark, sf, "documents").select("doc_id", "source", F.length("text").alias("n"), F.lit("old").alias("role"))
+    path = store.fresh_folder(spark, "keyed")
+    store.save({"rows": (d, "doc_id", "source", ())}, path)
+    again = d.filter("source LIKE '%2' AND doc_id % 5 = 0").withColumn("n", F.col("n") + 1)
+    more = d.filter("source LIKE '%2' AND doc_id % 5 = 1").withColumn("doc_id", -F.col("doc_id"))
+    store.upsert(spark, path, "rows", again.unionByName(more))
+    store.upsert(spark, path, "rows", d.filter("source LIKE '%2'").select("doc_id", "source", F.lit("new").alias("role")), only=["role"])
+    store.delete(spark, path, "rows", F.col("source") == "src3")
+    return store.load(spark, path, "rows").select("doc_id", "source", "n", "role")
+
+
 def wiki_pages(spark, sf):
     entities = table(spark, sf, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("id"), F.col("n_name").alias("name"), F.lit("").alias("note")).unionByName(table(spark, sf, "region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("id"), F.col("r_name").alias("name"), F.lit("region").alias("note")))
     pages = graph.entity_pages(entities, _edges(spark, sf).filter("kind = 'PART_OF'"), "id", "name", ["note"])
@@ -101,7 +115,7 @@ def context_search(spark, sf):
 
 _E = "edges AS (SELECT 'c' || c_custkey AS src, 'n' || c_nationkey AS dst, 'LIVES' AS kind FROM customer UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey, 'SITS' FROM supplier UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, 'PART_OF' FROM nation)"
 
-QUERIES = {f.__name__: f for f in (entity_union, orphan_edges, uncovered_nodes, two_edge_paths, multi_hop, min_hop_dedupe, graph_hints, node_upsert, edge_upsert, property_set, tenant_delete, wiki_pages, wiki_faults, context_search)}
+QUERIES = {f.__name__: f for f in (entity_union, orphan_edges, uncovered_nodes, two_edge_paths, multi_hop, min_hop_dedupe, graph_hints, node_upsert, edge_upsert, property_set, tenant_delete, keyed_store, wiki_pages, wiki_faults, context_search)}
 
 ORACLES = {
     "entity_union": "SELECT c_custkey AS id, 'customer' AS kind, c_name AS name, c_mktsegment AS segment, '' AS brand FROM customer UNION ALL SELECT s_suppkey, 'supplier', s_name, '', '' FROM supplier UNION ALL SELECT p_partkey, 'part', p_name, '', p_brand FROM part",
@@ -115,6 +129,7 @@ ORACLES = {
     "edge_upsert": f"WITH {_E}, nodes AS (SELECT 'c' || c_custkey AS id FROM customer UNION SELECT 'n' || n_nationkey FROM nation WHERE n_nationkey < 20) SELECT DISTINCT src, dst, kind FROM edges WHERE kind = 'PART_OF' OR (src IN (SELECT id FROM nodes) AND dst IN (SELECT id FROM nodes))",
     "property_set": "SELECT coalesce(c_custkey, s_suppkey * 40) AS id, CASE WHEN s_suppkey IS NOT NULL THEN 'SUPPLIER' ELSE c_mktsegment END AS role FROM customer FULL JOIN supplier ON c_custkey = s_suppkey * 40",
     "tenant_delete": "SELECT doc_id, source FROM documents WHERE source <> 'src3' OR source IS NULL",
+    "keyed_store": "WITH d AS (SELECT doc_id, source, length(text) AS n, coalesce(source LIKE '%2', false) AS hit FROM documents) SELECT doc_id, source, (n + CASE WHEN hit AND doc_id % 5 = 0 THEN 1 ELSE 0 END)::INTEGER AS n, CASE WHEN hit THEN 'new' ELSE 'old' END AS role FROM d WHERE source IS DISTINCT FROM 'src3' UNION ALL SELECT -doc_id, source, n::INTEGER, 'old' FROM d WHERE hit AND doc_id % 5 = 1",
     "wiki_pages": "WITH e AS (SELECT 'n' || n_nationkey AS id, n_name AS name, 'Chua co du lieu.' AS note, '- PART_OF: [[r' || r_regionkey || '|' || r_name || ']]' AS links FROM nation JOIN region ON r_regionkey = n_regionkey UNION ALL SELECT 'r' || r_regionkey, r_name, 'region', 'Chua co du lieu.' FROM region) SELECT id, md5(concat_ws(chr(10), '---', 'id: ' || id, '---', '# ' || name, '**note**: ' || note, '## Links', links)) AS digest, id AS front_id FROM e",
     "wiki_faults": "WITH l AS (SELECT 'n' || n_nationkey AS page, unnest(['n' || (n_nationkey * 2), 'missing' || (n_nationkey % 3)]) AS target FROM nation), p AS (SELECT 'n' || n_nationkey AS page FROM nation) SELECT 'broken_link' AS fault, page, target FROM l WHERE target NOT IN (SELECT page FROM p) UNION ALL SELECT 'orphan_page', page, NULL FROM p WHERE page NOT IN (SELECT target FROM l)",
     "context_search": "WITH RECURSIVE s AS (SELECT q.vec_id AS query_id, v.vec_id, v.label AS doc, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS similarity FROM embeddings q, embeddings v WHERE q.vec_id % 100 = 0), n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM s)), d AS (SELECT * FROM n WHERE rank <= 5), e AS (SELECT DISTINCT label AS a, label + 1 AS b FROM embeddings WHERE (label + 1) % 4 <> 0), b AS (SELECT a, b FROM e UNION SELECT b, a FROM e), w AS (SELECT DISTINCT query_id, doc AS node, 0 AS hop FROM d UNION SELECT query_id, b.b, hop + 1 FROM w JOIN b ON node = b.a WHERE hop < 2), m AS (SELECT query_id, node AS doc, min(hop) AS hop FROM w GROUP BY ALL HAVING min(hop) > 0), f AS (SELECT * FROM (SELECT n.query_id, n.vec_id, n.doc, m.hop, n.similarity, row_number() OVER (PARTITION BY n.query_id, n.doc ORDER BY similarity DESC, vec_id) AS r FROM n JOIN m ON m.query_id = n.query_id AND m.doc = n.doc) WHERE r <= 2) SELECT query_id, vec_id, doc, 0 AS hop, similarity FROM d UNION ALL SELECT query_id, vec_id, doc, hop, similarity FROM f",

@@ -249,6 +249,7 @@ def leak_audit(c: Corpus, allowed: str, cases: DataFrame, views: dict[str, list[
     return both.select("case", "method", F.col("seen").isNotNull().alias("leaked"), "authorized_rank")
 
 
+# Fixed value: the sentence that is said where nothing may be shown.
 NO_CONTEXT = "Không tìm thấy đủ thông tin trong phạm vi tài liệu được phép truy cập."
 
 
