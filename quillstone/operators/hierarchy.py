@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.ids import numeric_suffix, parent_id
+from ..sources import store
+from . import scan
 from .chunking import greedy_groups
 
 # Prefixes of a path's levels.
 LEVELS = {"chapter": "chương", "section": "mục", "article": "điều", "clause": "khoản", "point": "điểm"}
 CHAPTER_HEAD, ARTICLE_HEAD = r"(?iu)^\s*#{0,6}\s*(chương\s+[IVXLCDM\d]+)(?![\p{L}\p{N}_])", r"(?iu)^\s*#{0,6}\s*(điều\s+\d+[a-zđ]?)\s*\."
 RRF_K, RANK_DIGITS = 60, 9
+#: Children of a group above which its windows are found by scans over tasks instead of one fold.
+GIANT = 10_000
 
 
 def parse_path(c: Column) -> Column:
@@ -51,21 +57,33 @@ def article_key(source: str) -> Column:
     return F.when(F.col("article").isNotNull(), F.concat_ws(" > ", "chapter", "article")).otherwise(F.concat(F.when(fallback == "", F.concat(F.lit("[document:"), F.col(source).cast("string"), F.lit("]"))).otherwise(fallback), F.lit(" [fallback]")))
 
 
-def parent_windows(children: DataFrame, group: list[str], order: list, key: str, text: str, most: int) -> DataFrame:
+def parent_windows(children: DataFrame, group: list[str], order: list, key: str, text: str, most: int, giant: int = GIANT) -> DataFrame:
     """group, key, window: children in order packed whole into windows of at most `most` characters.
 
-    A child counts its length and two more once held; a child longer than the window stands alone. One fold per group.
+    A child counts its length and two more once held; a child longer than the window stands alone; a null text is empty. Groups of up to
+    `giant` children are folded in one array each; larger ones, found by a count, spread over tasks with equal results. children are read twice.
     """
-    order_struct = F.struct(*order, F.col(key).alias("__key"), F.length(text).alias("__n"))
-    packed = children.groupBy(*group).agg(F.array_sort(F.collect_list(order_struct)).alias("__m"))
+    length = F.length(F.coalesce(F.col(text), F.lit("")))
+    large = store.spill(children.groupBy(*group).agg(F.count("*").alias("__n")).filter(F.col("__n") > giant).drop("__n"), "giants")
+    by = reduce(lambda a, b: a & b, [F.col(f"c.{g}").eqNullSafe(F.col(f"l.{g}")) for g in group])
+    some = not large.isEmpty()
+    small = children.alias("c").join(large.alias("l"), by, "left_anti") if some else children
+    order_struct = F.struct(*order, F.col(key).alias("__key"), length.alias("__n"))
+    packed = small.groupBy(*group).agg(F.array_sort(F.collect_list(order_struct)).alias("__m"))
     packed = packed.select(*group, "__m", greedy_groups(F.transform("__m", lambda m: m["__n"]), most, 2).alias("__w"))
     each = packed.select(*group, F.inline(F.arrays_zip(F.transform("__m", lambda m: m["__key"]).alias(key), F.col("__w").alias("window"))))
-    return each
+    if not some:
+        return each
+    rest = children.alias("c").join(large.alias("l"), by, "left_semi")
+    rest = rest.select(*group, key, length.alias("__n"), *(o.alias(f"__ord{i}") for i, o in enumerate(order)))
+    places = [*(F.col(f"__ord{i}") for i in range(len(order))), F.col(key)]
+    spread = scan.windows(rest, [F.col(g) for g in group], places, F.col("__n"), most, 2, "window")
+    return each.unionByName(spread.select(*group, key, F.col("window").cast("int").alias("window")))
 
 
 def build_parents(children: DataFrame, source: str, key: str, text: str, page: str, most: int) -> tuple[DataFrame, DataFrame]:
     """(parents, children with parent_id): windows of one article's children with joined text, pages and ambiguity."""
-    keyed = children.withColumn("article_key", article_key(source))
+    keyed = store.spill(children.withColumn("article_key", article_key(source)), "keyed")
     suffix = numeric_suffix(F.col(key))
     windows = parent_windows(keyed, [source, "article_key"], [s.alias(f"__o{i}") for i, s in enumerate(suffix)], key, text, most)
     placed = keyed.join(windows, [source, "article_key", key]).withColumn("parent_id", parent_id(F.col(source).cast("string"), F.col("article_key"), F.col("window")))
@@ -101,12 +119,13 @@ def score_parents(hits: DataFrame, question: str, parent: str, key: str, rank: s
     return scored.withColumn("parent_rank", F.row_number().over(order))
 
 
-def context_budget(parents: DataFrame, question: str, parent: str, rank: str, length: str, most: int) -> DataFrame:
+def context_budget(parents: DataFrame, question: str | list[str], parent: str, rank: str, length: str, most: int) -> DataFrame:
     """Adds selected: parents in rank order while the budget lasts; one that does not fit is skipped, later ones still tried.
 
     An oversized first parent is kept. One fold per question over its candidates.
     """
-    packed = parents.groupBy(question).agg(F.array_sort(F.collect_list(F.struct(F.col(rank).alias("r"), F.col(parent).alias("p"), F.col(length).cast("int").alias("n")))).alias("__m"))
+    by = [question] if isinstance(question, str) else question
+    packed = parents.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(rank).alias("r"), F.col(parent).alias("p"), F.col(length).cast("int").alias("n")))).alias("__m"))
     start = F.struct(F.lit(0).alias("used"), F.lit(0).alias("held"), F.array().cast("array<boolean>").alias("take"))
 
     def step(s, m):
@@ -114,8 +133,8 @@ def context_budget(parents: DataFrame, question: str, parent: str, rank: str, le
         # with nothing selected an oversized parent is kept, whatever its rank
         return F.struct(F.when(take, s["used"] + m["n"]).otherwise(s["used"]).alias("used"), (s["held"] + take.cast("int")).alias("held"), F.concat(s["take"], F.array(take)).alias("take"))
 
-    taken = packed.select(question, F.inline(F.arrays_zip(F.transform("__m", lambda m: m["p"]).alias(parent), F.aggregate("__m", start, step, lambda s: s["take"]).alias("selected"))))
-    return parents.join(taken, [question, parent])
+    taken = packed.select(*by, F.inline(F.arrays_zip(F.transform("__m", lambda m: m["p"]).alias(parent), F.aggregate("__m", start, step, lambda s: s["take"]).alias("selected"))))
+    return parents.join(taken, [*by, parent])
 
 
 def hierarchy_audit(parents: DataFrame) -> DataFrame:

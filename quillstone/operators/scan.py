@@ -1,4 +1,4 @@
-"""Order over groups of any size: numbers and carried values by a two-level prefix scan.
+"""Order over groups of any size: numbers, sums and carried values by a two-level prefix scan, and greedy windows from them.
 
 Rows are dealt by ranges of (group, order), so that a group of any size spreads over tasks and every range follows the one before it.
 Each range is scanned for itself; a summary of each range and group (its rows, its last value) is scanned over the ranges, and what
@@ -47,3 +47,45 @@ def carried(rows: DataFrame, group: list[Column], order: list[Column], value: Co
     up_to = F.last("__v", ignorenulls=True).over(W.partitionBy("__range", "__g").orderBy("__o").rowsBetween(W.unboundedPreceding, 0))
     out = held.withColumn("__seen", up_to).join(F.broadcast(last), ["__range", "__g"], "left")
     return out.withColumn(name, F.coalesce("__seen", "__before")).select(*rows.columns, name)
+
+
+def summed(rows: DataFrame, group: list[Column], order: list[Column], values: dict[str, Column]) -> DataFrame:
+    """Adds for each value its sum up to and with each row of its group."""
+    named = rows.select("*", *(v.alias(f"__v_{name}") for name, v in values.items()))
+    held = ranged(named, group, order)
+    sums = _over_borders(held.groupBy("__range", "__g").agg(*(F.sum(f"__v_{name}").alias(f"__s_{name}") for name in values)))
+    before = W.partitionBy("__g").orderBy("__range").rowsBetween(W.unboundedPreceding, -1)
+    sums = sums.select("__range", "__g", *(F.coalesce(F.sum(f"__s_{name}").over(before), F.lit(0)).alias(f"__b_{name}") for name in values))
+    within = W.partitionBy("__range", "__g").orderBy("__o").rowsBetween(W.unboundedPreceding, 0)
+    out = held.select("*", *(F.sum(f"__v_{name}").over(within).alias(f"__u_{name}") for name in values)).join(F.broadcast(sums), ["__range", "__g"], "left")
+    return out.select(*rows.columns, *((F.col(f"__u_{name}") + F.coalesce(f"__b_{name}", F.lit(0))).alias(name) for name in values))
+
+
+def windows(rows: DataFrame, group: list[Column], order: list[Column], length: Column, most: int, gap: int, name: str) -> DataFrame:
+    """Adds the number of each row's window, from 1: rows in order packed whole while a window's lengths, each with gap more, and the next length stay within most.
+
+    The rule of `greedy_groups` for groups of any size. Every row's successor, the first row that a window begun there can't hold,
+    follows from running sums by one pass over the sums and the bounds merged; pointer doubling marks the successors that are met from
+    the first row: as many rounds as the logarithm of a group's windows. The order should tell all rows apart, gap be at least 1; a
+    null length is 0, a row longer than a window stands alone.
+    """
+    if gap < 1:
+        raise ValueError("gap must be at least 1")
+    size = F.coalesce(length, F.lit(0)).cast("long") + gap
+    base = rows.select("*", F.struct(*[g.alias(f"g{i}") for i, g in enumerate(group)] or [F.lit(0)]).alias("__h"), size.alias("__size"))
+    placed = store.spill(summed(base, group, order, {"__at": F.lit(1), "__upto": F.col("__size")}), "placed")
+    sums = placed.select("__h", F.col("__upto").alias("value"), F.lit(1).alias("kind"), "__at")
+    bounds = placed.select("__h", (F.col("__upto") - F.col("__size") + most + gap).alias("value"), F.lit(0).alias("kind"), "__at")
+    # by falling value the last sum before a bound is the first one above it in the rows' order; at equal values the bound comes first
+    met = carried(sums.unionByName(bounds), [F.col("__h")], [-F.col("value"), F.col("kind"), F.col("__at")], F.when(F.col("kind") == 1, F.col("__at")), "above").filter("kind = 0 AND above IS NOT NULL")
+    jumps = store.spill(met.select("__h", "__at", F.greatest(F.col("above"), F.col("__at") + 1).alias("to")), "jumps")
+    starts, new = None, placed.filter("__at = 1").select("__h", "__at")
+    while True:
+        starts = store.spill(new if starts is None else starts.unionByName(new), "starts")
+        new = store.spill(starts.join(jumps, ["__h", "__at"]).select("__h", F.col("to").alias("__at")), "new-starts")
+        if new.isEmpty():
+            break
+        jumps = store.spill(jumps.alias("a").join(jumps.select("__h", F.col("__at").alias("to"), F.col("to").alias("further")), ["__h", "to"]).select("__h", "__at", F.col("further").alias("to")), "jumps")
+    marked = placed.join(starts.withColumn("__first", F.lit(1)), ["__h", "__at"], "left")
+    out = summed(marked, [F.col("__h")], [F.col("__at")], {name: F.coalesce("__first", F.lit(0))})
+    return out.select(*rows.columns, name)

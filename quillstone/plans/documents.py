@@ -102,6 +102,12 @@ def parent_windows(spark, sf):
     return hierarchy.parent_windows(rows, ["conv_id"], [F.col("turn").alias("__t")], "turn", "text", 600)
 
 
+def giant_windows(spark, sf):
+    """All documents as one group."""
+    rows = table(spark, sf, "documents").select("doc_id", F.length("text").alias("n"))
+    return scan.windows(rows, [], [F.col("doc_id")], F.col("n"), 20_000, 2, "window").select("doc_id", "window")
+
+
 def parent_build(spark, sf):
     children = hierarchy.resolve_levels(_children(spark, sf), "source", "child_id", "structure_path", "text")
     parents, _ = hierarchy.build_parents(children, "source", "child_id", "text", "page", 1500)
@@ -339,7 +345,7 @@ _DIACRITICS = validation.DIACRITIC
 QUERIES = {
     f.__name__: f
     for f in (
-        chunk_fixed, chunk_stats, chunk_semantic, page_lookup, heading_path, chunk_hierarchical, article_split, dedupe_longest, split_clauses, carry_forward, parent_windows, parent_build, parent_score,
+        chunk_fixed, chunk_stats, chunk_semantic, page_lookup, heading_path, chunk_hierarchical, article_split, dedupe_longest, split_clauses, carry_forward, parent_windows, giant_windows, parent_build, parent_score,
         child_to_parent, context_budget, context_expansion, html_title, html_text, html_blocks, html_tree, tree_integrity, ancestor_root, next_links, next_chain, chunk_validation, page_errors, null_profile,
         duplicate_keys, group_counts, catalog, key_overlap, round_robin_pick, unique_headings, seeded_sample, variant_filter, citation_labels, citation_build, stable_ids, numeric_suffix_order, last_question, hierarchy_refresh, hierarchy_status, fingerprint,
         legal_refs, normalize_dedupe, display_fields,
@@ -359,6 +365,7 @@ ORACLES = {
     "dedupe_longest": "WITH b AS (SELECT source, (doc_id % 10)::VARCHAR AS article, doc_id AS seq, length(text) AS length FROM documents), r AS (SELECT *, row_number() OVER (PARTITION BY source, article ORDER BY length DESC, seq) AS r, min(seq) OVER (PARTITION BY source, article) AS f FROM b) SELECT source, article, f AS seq, length FROM r WHERE r = 1",
     "carry_forward": f"WITH {_CHILDREN} SELECT source, child_id, chapter, article, method, ambiguous FROM kids2",
     "parent_windows": "WITH g AS (SELECT conv_id, list(turn ORDER BY turn) AS ts, list({'g': 0::BIGINT, 'u': 0::BIGINT, 'n': length(text)::BIGINT, 'gs': []::BIGINT[]} ORDER BY turn) AS xs FROM conversations GROUP BY conv_id), w AS (SELECT conv_id, ts, " + _GREEDY.format(lens="xs", most=600, gap=2) + " AS gs FROM g) SELECT conv_id, unnest(ts) AS turn, unnest(gs)::INTEGER AS \"window\" FROM w",
+    "giant_windows": "WITH RECURSIVE n AS (SELECT doc_id, coalesce(length(text), 0) + 2 AS s, row_number() OVER (ORDER BY doc_id) AS i FROM documents), c AS MATERIALIZED (SELECT doc_id, i, s, sum(s) OVER (ORDER BY i)::BIGINT AS p FROM n), nxt AS MATERIALIZED (SELECT a.i, greatest(b.i, a.i + 1) AS t FROM (SELECT i, (p - s + 20002)::BIGINT AS v FROM c) a ASOF JOIN c b ON a.v < b.p), st AS (SELECT 1::BIGINT AS i UNION ALL SELECT t FROM st JOIN nxt USING (i)) SELECT doc_id, sum((st.i IS NOT NULL)::INTEGER) OVER (ORDER BY c.i)::BIGINT AS \"window\" FROM c LEFT JOIN st ON st.i = c.i",
     "parent_build": f"WITH {_CHILDREN}, k AS (SELECT *, CASE WHEN article IS NOT NULL THEN concat_ws(' > ', chapter, article) ELSE coalesce(nullif(concat_ws(' > ', chapter), ''), '[document:' || source || ']') || ' [fallback]' END AS article_key FROM kids2), g AS (SELECT source, article_key, list(num ORDER BY num) AS ts, list({{'g': 0::BIGINT, 'u': 0::BIGINT, 'n': length(line)::BIGINT, 'gs': []::BIGINT[]}} ORDER BY num) AS xs FROM k GROUP BY ALL), w AS (SELECT source, article_key, unnest(ts) AS num, unnest({_GREEDY.format(lens='xs', most=1500, gap=2)}) AS win FROM g) SELECT source, article_key, win::INTEGER AS \"window\", count(*)::INTEGER AS n_children, (sum(length(line)) + 2 * (count(*) - 1))::INTEGER AS char_count, min(turn) AS page_start, max(turn) AS page_end, count(*) FILTER (ambiguous) AS n_ambiguous FROM k JOIN w USING (source, article_key, num) GROUP BY source, article_key, win",
     "parent_score": f"WITH {_SCORED} SELECT question_id, parent_id, round(score, 9) AS score, best_child_rank, anchor, n_children, parent_rank FROM scored",
     "child_to_parent": f"WITH {_HITS} SELECT question_id, child_id, parent_id, rank FROM hits",

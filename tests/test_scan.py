@@ -73,3 +73,47 @@ def test_reach_of_many_seeds(spark):
         want |= {(s, x, h) for x, h in hops.items() if h}
     got = graph.neighbours(spark.createDataFrame(edges, "src long, dst long"), spark.range(150).toDF("seed").union(spark.range(3)), 3)
     assert sorted(tuple(r) for r in got.select("seed", "node", "hop").collect()) == sorted(want)
+
+
+def test_sums(spark, rows):
+    made, df = rows
+    want = {}
+    for own in by_group(made).values():
+        total = 0
+        for r in own:
+            total += r[2] % 7
+            want[r[2]] = total
+    got = scan.summed(df, [F.col("g")], [F.col("o"), F.col("id")], {"s": F.col("id") % 7, "n": F.lit(1)})
+    assert got.columns == ["g", "o", "id", "v", "s", "n"] and {r["id"]: r["s"] for r in got.collect()} == want
+
+
+def packed(lengths, most, gap):
+    out, used, window = [], 0, 1
+    for n in lengths:
+        if used > 0 and used + n > most:
+            window, used = window + 1, 0
+        used += n + gap
+        out.append(window)
+    return out
+
+
+def test_windows(spark, rows):
+    made, df = rows
+    length = F.when(F.col("id") % 11 == 0, F.lit(None).cast("int")).otherwise((F.col("o") % 97).cast("int"))
+    size = lambda r: 0 if r[2] % 11 == 0 else r[1] % 97
+    for most in (60, 500):
+        want = {r[2]: w for own in by_group(made).values() for r, w in zip(own, packed([size(r) for r in own], most, 2), strict=True)}
+        got = scan.windows(df, [F.col("g")], [F.col("o"), F.col("id")], length, most, 2, "w")
+        assert got.columns == ["g", "o", "id", "v", "w"] and {r["id"]: r["w"] for r in got.collect()} == want
+    assert scan.windows(df.limit(0), [], [F.col("id")], F.lit(1), 5, 1, "w").count() == 0
+    with pytest.raises(ValueError):
+        scan.windows(df, [], [F.col("id")], F.lit(1), 5, 0, "w")
+
+
+def test_giant_groups_have_the_windows_of_the_fold(spark, rows):
+    _, df = rows
+    from quillstone.operators import hierarchy
+
+    texts = df.withColumn("t", F.repeat(F.lit("x"), (F.col("o") % 97).cast("int")))
+    find = lambda giant: {tuple(r) for r in hierarchy.parent_windows(texts, ["g"], [F.col("o")], "id", "t", 120, giant).collect()}
+    assert find(10_000) == find(50) == find(0)
