@@ -3,8 +3,8 @@
 Every rolling word 2-gram of every text meets the 2-grams of the licence templates in a join on their hash, with the words
 compared. A match votes for its diagonal: word position minus template position. Votes are a bit set of template positions,
 aggregated by (text, template, diagonal); diagonals a few words apart (inserted or missing words) merge. A merged run is verified:
-taken in the template's order, its words' first places must rise, others don't count; it is kept when the verified votes cover enough
-of the template. Base phrases merge nothing and need every vote: a run is then a place where the phrase's words stand
+of its votes the longest chain counts whose places rise in the template's order; it is kept when these votes cover enough of the
+template. Base phrases merge nothing and need every vote: a run is then a place where the phrase's words stand
 consecutively. Templates longer than 64 words (whole licences) are searched in parts that each name the licence.
 
 An empty table gives an empty result. Very long texts are rows of words like others; places that tie or repeat are reported each.
@@ -77,14 +77,21 @@ def template_grams(templates: list[tuple[str, str, bool]]) -> list[tuple]:
 
 
 def in_order(diagonals: Column) -> Column:
-    """Votes of a merged run whose first places rise in the template's order; diagonals: array of (diagonal, bits)."""
+    """Most votes of a merged run whose places rise in the template's order; diagonals: array of (diagonal, bits).
 
-    def step(held: Column, j: Column) -> Column:
-        place = F.array_min(F.transform(F.filter(diagonals, lambda d: F.bit_get(d["bits"], j) == 1), lambda d: d["diagonal"] + j))
-        return F.when(place > held["last"], F.struct((held["n"] + 1).alias("n"), place.alias("last"))).otherwise(held)
+    Any place of a vote may count. Places follow in the template's order, those of one vote from the last, so that at most one of them
+    is in a rising chain; the state holds the least last place of a chain of each length.
+    """
 
-    first = F.struct(F.lit(0).alias("n"), F.lit(-1).alias("last"))
-    return F.aggregate(F.sequence(F.lit(0), F.lit(TEMPLATE_WORDS - 1)), first, step, lambda held: held["n"])
+    def places(j: Column) -> Column:
+        return F.sort_array(F.transform(F.filter(diagonals, lambda d: F.bit_get(d["bits"], j) == 1), lambda d: (d["diagonal"] + j).cast("int")), False)
+
+    def step(ends: Column, place: Column) -> Column:
+        shorter = F.size(F.filter(ends, lambda e: e < place))
+        return F.concat(F.slice(ends, F.lit(1), shorter), F.array(place), F.slice(ends, shorter + 2, F.lit(TEMPLATE_WORDS)))
+
+    points = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(TEMPLATE_WORDS - 1)), places))
+    return F.size(F.aggregate(points, F.array().cast("array<int>"), step))
 
 
 def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", base=BASE, notices=NOTICES) -> DataFrame:

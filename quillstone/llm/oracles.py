@@ -20,8 +20,9 @@ m AS (SELECT DISTINCT doc_id, t, label, base, votes, pos - j AS diagonal, j, pos
 diag AS (SELECT doc_id, t, base, diagonal, diagonal - lag(diagonal) OVER (PARTITION BY doc_id, t ORDER BY diagonal) AS step FROM (SELECT DISTINCT doc_id, t, base, diagonal FROM m)),
 runs AS (SELECT doc_id, t, diagonal, sum(CASE WHEN step <= CASE WHEN base THEN 0 ELSE {L.MERGE_GAP} END THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, t ORDER BY diagonal) AS run FROM diag),
 place AS (SELECT m.doc_id, m.t, run, j, any_value(label) AS label, any_value(base) AS base, any_value(votes) AS votes, min(m.diagonal) AS start, min(pos) AS lo, max(pos) AS hi FROM m JOIN runs r ON r.doc_id = m.doc_id AND r.t = m.t AND r.diagonal = m.diagonal GROUP BY m.doc_id, m.t, run, j),
-rising AS (SELECT *, lo > coalesce(max(lo) OVER (PARTITION BY doc_id, t, run ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS fits FROM place),
-found AS (SELECT doc_id, any_value(label) AS label, any_value(base) AS base, any_value(votes) AS votes, min(start) AS start, min(lo) AS lo, max(hi) AS hi, count(*) FILTER (fits) / any_value(votes) AS cover FROM rising GROUP BY doc_id, t, run),
+points AS (SELECT m.doc_id, m.t, run, list([pos] ORDER BY j, pos DESC) AS ps FROM m JOIN runs r ON r.doc_id = m.doc_id AND r.t = m.t AND r.diagonal = m.diagonal GROUP BY m.doc_id, m.t, run),
+chain AS (SELECT doc_id, t, run, len(list_reduce(ps, lambda a, x: a[1:len(list_filter(a, lambda v: v < x[1]))] || x || a[len(list_filter(a, lambda v: v < x[1])) + 2:])) AS longest FROM points),
+found AS (SELECT doc_id, any_value(label) AS label, any_value(base) AS base, any_value(votes) AS votes, min(start) AS start, min(lo) AS lo, max(hi) AS hi, any_value(longest) / any_value(votes) AS cover FROM place JOIN chain USING (doc_id, t, run) GROUP BY doc_id, t, run),
 kept AS (SELECT * FROM found WHERE cover >= CASE WHEN base OR votes <= {L.SHORT_NOTICE} THEN 1.0 ELSE {L.COVERAGE} END),
 s AS (SELECT doc_id, count(*) FILTER (base) AS n_base, min(start) FILTER (base) AS first_word, max(start) FILTER (base) AS last_word, array_to_string(list_sort(list_distinct(list(label) FILTER (base))), ',') AS base_labels, array_to_string(list_sort(list_distinct(list(label))), ',') AS labels, max(cover) AS score, array_to_string(list_transform(list_sort(list_distinct(list({{'a': lo, 'b': hi, 'c': label}}))), lambda x: x.c || ':' || x.a || ':' || (x.b + 2)), ',') AS spans FROM kept GROUP BY doc_id)
 SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0) AS score, coalesce(spans, '') AS spans FROM d LEFT JOIN s USING (doc_id)"""

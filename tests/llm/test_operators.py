@@ -1,6 +1,7 @@
 """Each operator against a plain re-implementation, on real rows and on odd ones."""
 
 import hashlib
+import random
 import re
 import string
 import zlib
@@ -53,6 +54,25 @@ def test_license_scan(spark, docs, odd):
     assert license_scan.license_scan(notice).first()["spans"] == "mit:0:21"
 
 
+def test_the_longest_rising_chain_of_votes_counts(spark):
+    """Against all chains, on random diagonals; and a vote whose first place is too early but whose second fits."""
+    from quillstone.llm.license_scan import in_order
+
+    def longest(diagonals):
+        best = {}  # last place: votes of the longest chain that ends there, over the votes so far
+        for j in range(64):
+            new = {d + j: 1 + max((n for p, n in best.items() if p < d + j), default=0) for d, bits in diagonals if bits >> j & 1}
+            best |= {p: max(n, best.get(p, 0)) for p, n in new.items()}
+        return max(best.values(), default=0)
+
+    rng = random.Random(4)
+    made = [[(d, sum(1 << j for j in rng.sample(range(14), rng.randrange(1, 9)))) for d in sorted(rng.sample(range(-2, 12), rng.randrange(1, 6)))] for _ in range(60)]
+    made.append([(-2, 1 << 5), (0, (1 << 10) - 1)])
+    df = spark.createDataFrame([(i, d) for i, d in enumerate(made)], "i int, d array<struct<diagonal int, bits long>>")
+    got = {r["i"]: r["n"] for r in df.select("i", in_order(F.col("d")).alias("n")).collect()}
+    assert got == {i: longest(d) for i, d in enumerate(made)} and got[60] == 10
+
+
 def test_license_runs_are_verified_in_order(spark):
     notice = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda omicron"
     swapped = "gamma delta epsilon alpha beta gamma zeta eta theta iota kappa lambda omicron"  # enough votes, some out of order
