@@ -5,8 +5,8 @@ one window) takes the places of its rarest terms as anchors. The index stores th
 term, text, position. Postings are shifted by the anchor's offset in its item, so that matches of one item in one text meet
 on the same start; starts on which a window's anchors all meet are kept, and the window's words there are compared.
 
-Proximity: with a slop, anchors meet when their starts differ by at most slop words (words inserted, missing or exchanged between
-them). Such a place is a near match when at least NEAR of the window's distinct words occur between slop words before the smallest
+Proximity: with a slop, a window has one anchor more than must meet, so that any one of its words may be exchanged or missing; anchors
+meet when their starts differ by at most slop words (words inserted, missing or exchanged between them). Such a place is a near match when at least NEAR of the window's distinct words occur between slop words before the smallest
 start and slop words after the window's end, in any order. Exact matches are near matches too.
 
 Null and empty texts have no words; very long ones are one row of one task; null ids are kept; repeated rows give one result each.
@@ -24,8 +24,10 @@ from .common import fresh, materialize
 from .native_text import bounded, text_key, words_of
 
 WINDOW = 10
-#: Rarest terms of each window whose lists are intersected before its words are compared.
+#: Rarest terms of each window whose lists are intersected before its words are compared: for exact matches all of them must meet.
 ANCHORS = 2
+#: For near matches, any AGREE of NEAR_ANCHORS must: one word exchanged or missing, whichever it is, leaves enough of them.
+NEAR_ANCHORS, AGREE = 3, 2
 #: Words by which a near match may be stretched; share of a window's distinct words that it must hold.
 SLOP, NEAR = 3, 0.8
 
@@ -49,13 +51,13 @@ def term_frequencies(docs: DataFrame, text_col: str, terms: DataFrame) -> DataFr
     return words.join(bounded(terms), "term").groupBy("term").agg(F.count("*").alias("df"))
 
 
-def anchors_of(items: DataFrame, window: int, frequencies: DataFrame) -> DataFrame:
+def anchors_of(items: DataFrame, window: int, frequencies: DataFrame, most: int = ANCHORS) -> DataFrame:
     """item, s, len and the places of the window's rarest terms."""
     places = items.select("item", F.posexplode("words").alias("at", "word")).select("item", "at", F.xxhash64("word").alias("term"))
     ranked = places.join(frequencies, "term", "left").select("item", "at", "term", F.coalesce("df", F.lit(0)).alias("df"))
     inside = windows_of(items, window).select("item", "s", "len", F.explode(F.sequence(F.col("s"), F.col("s") + F.col("len") - 1)).alias("at"))
     rarest = W.partitionBy("item", "s").orderBy("df", "at")
-    picked = inside.join(ranked, ["item", "at"]).withColumn("rank", F.row_number().over(rarest)).filter(F.col("rank") <= ANCHORS)
+    picked = inside.join(ranked, ["item", "at"]).withColumn("rank", F.row_number().over(rarest)).filter(F.col("rank") <= most)
     return picked.select("item", "s", "len", "at", "term")
 
 
@@ -76,7 +78,7 @@ def phrase_matches(
     words = materialize(item_words(items, item_col, item_text_col), "items")
     terms = words.select(F.explode("words").alias("word")).select(F.xxhash64("word").alias("term")).distinct()
     frequencies = term_frequencies(docs, text_col, materialize(terms, "terms"))
-    anchors = materialize(anchors_of(words, window, frequencies), "anchors")
+    anchors = materialize(anchors_of(words, window, frequencies, NEAR_ANCHORS if slop else ANCHORS), "anchors")
     index = posting_index(docs, id_col, text_col, anchors.select("term").distinct())
     texts = index.filter(F.col("term").isNull()).select("id", "key", F.col("pos").cast("long").alias("n_words"))
 
@@ -92,11 +94,12 @@ def phrase_matches(
         met = shifted.groupBy("id", "key", "item", "shift").agg(F.collect_set("at").alias("met"))  # at most the item's anchors
         met = met.withColumn("here", F.col("met"))
     needed = anchors.groupBy("item", "s", "len").agg(F.collect_set("at").alias("needed"))
-    wanted = needed.groupBy("item").agg(F.collect_set(F.struct("s", "len", "needed")).alias("windows"), F.min(F.size("needed")).alias("least"))
+    enough = lambda anchors: F.least(F.size(anchors), F.lit(AGREE if slop else ANCHORS))
+    wanted = needed.groupBy("item").agg(F.collect_set(F.struct("s", "len", "needed")).alias("windows"), F.min(enough(F.col("needed"))).alias("least"))
     cand = (
         met.join(bounded(wanted), "item")
         .filter(F.size("met") >= F.col("least"))
-        .withColumn("windows", F.filter("windows", lambda w: F.arrays_overlap(w["needed"], F.col("here")) & (F.size(F.array_except(w["needed"], F.col("met"))) == 0)))
+        .withColumn("windows", F.filter("windows", lambda w: F.arrays_overlap(w["needed"], F.col("here")) & (F.size(F.array_intersect(w["needed"], F.col("met"))) >= enough(w["needed"]))))
         .filter(F.size("windows") > 0)
         .select("id", "key", "item", "shift", F.transform("windows", lambda w: F.struct(w["s"].alias("s"), w["len"].alias("len"))).alias("windows"))
     )

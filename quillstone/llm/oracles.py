@@ -71,7 +71,7 @@ words AS (SELECT doc_id, unnest(w) AS word, unnest(range(0, len(w))) AS pos FROM
 df AS (SELECT word, count(*) AS df FROM words GROUP BY word),
 win AS (SELECT item_id, w, s, least(len(w), 10) AS n FROM (SELECT item_id, w, unnest(range(0, greatest(len(w) - 10, 0) + 1)) AS s FROM (SELECT DISTINCT * FROM b) WHERE len(w) > 0)),
 each AS (SELECT *, w[o + 1] AS word FROM (SELECT *, unnest(range(s, s + n)) AS o FROM win)),
-anc AS (SELECT e.*, least(n, {D.ANCHORS}) AS needed FROM each e LEFT JOIN df USING (word) QUALIFY row_number() OVER (PARTITION BY item_id, w, s ORDER BY coalesce(df, 0), o) <= {D.ANCHORS}),
+anc AS (SELECT e.*, least(n, {D.AGREE}) AS needed FROM each e LEFT JOIN df USING (word) QUALIFY row_number() OVER (PARTITION BY item_id, w, s ORDER BY coalesce(df, 0), o) <= {D.NEAR_ANCHORS}),
 sh AS (SELECT doc_id, item_id, w AS iw, s, n, needed, o, pos - o AS shift FROM words JOIN anc USING (word)),
 met AS (SELECT *, CASE WHEN max(o) OVER f > min(o) OVER f THEN 2 ELSE 1 END AS got FROM sh WINDOW f AS (PARTITION BY doc_id, item_id, iw, s ORDER BY shift RANGE BETWEEN CURRENT ROW AND {D.SLOP} FOLLOWING)),
 cand AS (SELECT DISTINCT doc_id, item_id, iw[s + 1:s + n] AS own, shift + s AS start, n FROM met WHERE got >= needed),
