@@ -39,6 +39,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 ROWS = 5
 #: Pairs of one leader that a task takes at once.
 LEADER_PAIRS = 2000
+#: Words of 64 bits of the filter that says which texts are compared: bounds what is broadcast. A fuller filter lets more rows through to the exact join.
+FILTER_WORDS = 1 << 18
 #: Points that are drawn at once beyond the first of each process: bounds a task's memory.
 POINTS = 200_000
 _WORDS, _SHINGLES, _TEXT = Hasher(21), Hasher(22), Hasher(23)
@@ -156,6 +158,15 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return materialize(dealt.mapInPandas(_verify, "leader long, node long, sim double"), "verified")
 
 
+def wanted_rows(rows: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
+    """The rows whose key (a long) wanted, distinct, has. A broadcast bit filter of bounded size keeps nearly all others out of the exact join's shuffle."""
+    place = F.pmod(F.xxhash64(key), F.lit(64 * FILTER_WORDS))
+    word, bit = F.shiftright(place, 6).alias("__word"), F.pmod(place, F.lit(64)).cast("int")
+    bits = wanted.select(word, bit.alias("__bit")).groupBy("__word").agg(F.bit_or(F.expr("shiftleft(1L, __bit)")).alias("__bits"))
+    near = rows.withColumn("__word", word).join(F.broadcast(bits), "__word").filter(F.getbit("__bits", bit) == 1)
+    return near.drop("__word", "__bits").join(wanted, key)  # a semi-join would be pushed below the filter
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, comp (smallest node it is linked to, over any number of links), for nodes with links: least labels with pointer jumping."""
     both = materialize(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
@@ -257,8 +268,9 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> D
     led = materialize(members.select("bucket", "node").join(leaders, "bucket"), "led")
     pairs = led.filter(F.col("node") != F.col("leader")).select("leader", "node").distinct()
 
-    wanted = members.select(F.col("node")).distinct()
-    own = materialize(texts.join(wanted, F.col("ord") == F.col("node"), "left_semi").groupBy(F.col("ord").alias("node")).agg(F.min("text").alias("text")), "texts")
+    wanted = materialize(members.select("node").distinct(), "wanted")
+    own = wanted_rows(texts.select(F.col("ord").alias("node"), "text"), wanted, "node")
+    own = materialize(own.groupBy("node").agg(F.min("text").alias("text")), "texts")
     first = verified(pairs, own)
     linked = first.filter(F.col("sim") >= threshold)
     comps = components(linked.select(F.col("leader").alias("a"), F.col("node").alias("b")))

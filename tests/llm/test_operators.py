@@ -328,6 +328,38 @@ def test_near_duplicates_of_a_drifting_group(spark):
     assert got == classes(rows)
 
 
+def test_near_duplicates_shuffle_compared_texts_only(spark):
+    """Only texts that share a bucket leave their task, also where their ids are too many to be broadcast."""
+    rng = np.random.default_rng(11)
+    rows = [(i, " ".join(rng.bytes(4).hex() for _ in range(900))) for i in range(200)]
+    rows += [(200 + i, rows[i][1] + " tail") for i in range(3)]
+    docs, jvm = spark.createDataFrame(rows, "doc_id long, text string").repartition(4).localCheckpoint(), spark.sparkContext._jsc.sc()
+
+    def shuffled():
+        jvm.listenerBus().waitUntilEmpty()
+        stages = jvm.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.length()))
+
+    least, before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), shuffled()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(docs).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", least)
+    assert got == {i: i % 200 for i, _ in rows}
+    assert shuffled() - before < 0.4 * sum(len(t) for _, t in rows)
+
+
+def test_wanted_rows_of_a_full_filter(spark, monkeypatch):
+    """A filter of one word lets every row through; the exact join still decides."""
+    monkeypatch.setattr(near_dedup, "FILTER_WORDS", 1)
+    rows, wanted = spark.range(-500, 1500).withColumnRenamed("id", "node"), spark.range(0, 1500, 3).withColumnRenamed("id", "node")
+    twice = rows.union(rows).withColumn("text", F.col("node").cast("string"))
+    got = sorted(map(tuple, near_dedup.wanted_rows(twice, wanted, "node").collect()))
+    assert got == sorted((i, str(i)) for i in range(0, 1500, 3) for _ in range(2))
+    assert near_dedup.wanted_rows(twice, wanted.limit(0), "node").count() == 0
+
+
 def test_signatures_are_unbiased():
     a = (np.arange(1, 61, dtype=np.uint64) * np.uint64(7919), np.array([1, 3, 5, 2] * 15))
     b = (np.arange(11, 71, dtype=np.uint64) * np.uint64(7919), np.array([2, 1, 4, 6] * 15))
