@@ -108,8 +108,9 @@ def context_search(spark, sf):
     direct = search.dense.cosine_top_k(v, q, "vec_id", "query_id", "embedding", 5)
     chunks = v.select("vec_id", F.col("label").alias("doc"))
     edges = chunks.select(F.col("doc").alias("src"), (F.col("doc") + 1).alias("dst")).distinct().filter("dst % 4 <> 0")
-    score = lambda pairs: search.dense.cosine_of(pairs, v, q, "vec_id", "query_id", "embedding")
-    found = search.expand_context(direct.select("query_id", "vec_id", "similarity"), chunks, edges, "query_id", "vec_id", "doc", score, 2, 2)
+    direct = store.spill(direct.select("query_id", "vec_id", "similarity"), "direct")
+    nearest = lambda pairs, k: search.dense.cosine_top_k_within(v.withColumnRenamed("label", "doc"), pairs, q, "vec_id", "query_id", "doc", "embedding", k)
+    found = search.expand_context(direct, chunks, edges, "query_id", "vec_id", "doc", nearest, 2, 2)
     return found.select("query_id", "vec_id", "doc", "hop", "similarity")
 
 
