@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quillstone.functions.text import dot, l2_normalize
 from quillstone.operators import dense
+from quillstone.plans import catalog
 
 KIND = "id long, v array<double>, mask long, doc string"
 
@@ -77,3 +78,9 @@ def test_half_goes_up_as_spark_rounds(spark):
     x = [0.1234565, -0.1234565, 0.0000005, 0.9999995, 0.3, 1.0000000000000002]
     want = [r[0] for r in spark.createDataFrame([(v,) for v in x], "x double").select(F.round("x", 6)).collect()]
     assert dense._half_up(np.array(x), 6).tolist() == want
+
+
+@pytest.mark.parametrize("name", ["cosine_topk"])
+def test_registered_search_meets_in_blocks(spark, name):
+    plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert "zip_with" not in plan
