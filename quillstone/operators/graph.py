@@ -66,6 +66,17 @@ def neighbours(edges: DataFrame, seeds: DataFrame, hops: int, seed: str = "seed"
     """
     both = edges.select(F.col("src").alias("__a"), F.col("dst").alias("node")).union(edges.select("dst", "src")).distinct()
     numbers = cut(numbered(seeds, seed))
+    pairs = _reached(both, numbers, hops).select("node", "block", "hop", F.explode(_on()).alias("bit"))
+    return pairs.join(numbers, ["block", "bit"]).select(F.col("seed").alias(seed), "node", "hop")
+
+
+def _on() -> Column:
+    """The bits of a row that are set."""
+    return F.filter(F.sequence(F.lit(0), F.lit(BITS - 1)), lambda i: F.bit_get(F.col("bits"), i) == 1)
+
+
+def _reached(both: DataFrame, numbers: DataFrame, hops: int) -> DataFrame:
+    """node, block, bits, hop: which seeds of a block come to a node at that distance, 1 at least. both: __a, node; numbers: seed, block, bit."""
     one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))
     frontier = cut(numbers.groupBy(F.col("seed").alias("node"), "block").agg(F.bit_or(one).alias("bits")).withColumn("hop", F.lit(0)))
     reached = frontier
@@ -75,9 +86,45 @@ def neighbours(edges: DataFrame, seeds: DataFrame, hops: int, seed: str = "seed"
         new = step.join(known, ["node", "block"], "left").withColumn("bits", F.col("bits").bitwiseAND(F.bitwise_not(F.coalesce("known", F.lit(0).cast("long")))))
         frontier = cut(new.filter("bits <> 0").select("node", "block", "bits", F.lit(hop).alias("hop")))
         reached = reached.unionByName(frontier)
-    on = F.filter(F.sequence(F.lit(0), F.lit(BITS - 1)), lambda i: F.bit_get(F.col("bits"), i) == 1)
-    pairs = reached.filter("hop > 0").select("node", "block", "hop", F.explode(on).alias("bit"))
-    return pairs.join(numbers, ["block", "bit"]).select(F.col("seed").alias(seed), "node", "hop")
+    return reached.filter("hop > 0")
+
+
+#: Nodes of at most so many neighbours are compared by them.
+FEW = 8
+#: Stands for an end that is null: it is come to, but nothing is reached from it.
+_NOWHERE = "\0"
+
+
+def neighbour_counts(edges: DataFrame, seeds: DataFrame, hops: int, seed: str = "seed") -> DataFrame:
+    """seed, hop, n: how many nodes lie at that least distance from each seed, either way; the counts of `neighbours`, without its pairs.
+
+    Nodes of the same few neighbours are as far from every other node, and two edges from each other: they are one node of a smaller
+    graph, with a weight. The search goes over that graph from the seeds' classes alone; counts are sums of weights, added up before
+    anything but them is shuffled. Leaves of hubs, however many, cost one node a hub.
+    """
+    named = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(_NOWHERE))
+    ends = edges.select(named("src").alias("__a"), named("dst").alias("node"))
+    both = ends.union(ends.select("node", "__a")).filter(F.col("__a") != F.col("node")).filter(F.col("__a") != _NOWHERE).distinct()
+    both = cut(both)
+    few = both.groupBy("__a").agg(F.count("*").alias("n")).filter(F.col("n") <= FEW).select("__a")
+    alike = both.join(few, "__a").groupBy("__a").agg(F.sort_array(F.collect_list("node")).alias("near"))  # at most FEW each
+    alike = cut(alike)
+    classes = cut(alike.groupBy("near").agg(F.min("__a").alias("class"), F.count("*").alias("weight")))
+    # joined by a few groups of any size: one row each on the right side
+    members = cut(alike.join(classes.filter("weight > 1"), "near").select(F.col("__a").alias("node"), "class"))
+    of = lambda df, c, name: df.join(members.select(F.col("node").alias(c), F.col("class").alias(name)), c, "left").withColumn(name, F.coalesce(name, c))
+    small = of(of(both, "__a", "__from"), "node", "__to").select(F.col("__from").alias("__a"), F.col("__to").alias("node")).distinct()
+    small = cut(small)
+    asked = seeds.select(F.col(seed)).distinct().withColumn("__a", F.col(seed).cast("string")).filter(F.col("__a").isNotNull())
+    asked = cut(of(asked, "__a", "__from").select(seed, F.col("__from").alias("class")))
+    numbers = cut(numbered(asked, "class"))
+    heavy = classes.filter("weight > 1").select(F.col("class").alias("node"), "weight")
+    met = _reached(small, numbers, hops).join(heavy, "node", "left").select("block", "hop", F.coalesce("weight", F.lit(1)).cast("long").alias("weight"), F.explode(_on()).alias("bit"))
+    counted = met.groupBy("block", "bit", "hop").agg(F.sum("weight").alias("n")).join(numbers, ["block", "bit"]).select(F.col("seed").alias("class"), "hop", "n")
+    # the other nodes of a seed's own class, by way of a neighbour that leads on
+    own = classes.filter("weight > 1").filter(F.exists("near", lambda x: x != _NOWHERE)).select("class", F.lit(2).alias("hop"), (F.col("weight") - 1).alias("n"))
+    every = counted.unionByName(own).filter(F.col("hop") <= hops).groupBy("class", "hop").agg(F.sum("n").alias("n"))
+    return asked.join(every, "class").select(seed, "hop", "n")
 
 
 def ancestors(nodes: DataFrame, node_id: str, parent: str, most: int = 32) -> DataFrame:

@@ -42,7 +42,7 @@ def two_edge_paths(spark, sf):
 
 def multi_hop(spark, sf):
     seeds = table(spark, sf, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("seed"))
-    return graph.neighbours(_edges(spark, sf), seeds, 3).groupBy("seed", "hop").agg(F.count("*").alias("n"))
+    return graph.neighbour_counts(_edges(spark, sf), seeds, 3)
 
 
 def min_hop_dedupe(spark, sf):
